@@ -19,6 +19,7 @@ from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -165,7 +166,7 @@ _KEPT: dict = {}
 
 def _chunks(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most about ``most`` bytes of text, one row at least."""
-    sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most:

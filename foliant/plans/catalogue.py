@@ -1,4 +1,551 @@
 """Named queries over the tables and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from foliant.functions import markup as M, text as X, timing as T
+from foliant.operators import chapters as C, queues as Q, timeline as L
+from foliant.operators.prefix import numbered
+from foliant.operators.similarity import top_similar
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+WS, BLANK = X.WS, X.BLANK
+
+
+def segments_sql(x: str) -> str:
+    """Segments in SQL: marks are replaced by a sentinel, since RE2 has no lookbehind."""
+    return rf"string_split(regexp_replace(regexp_replace({x}, '([.!?]){BLANK}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+def words_sql(x: str) -> str:
+    return rf"len(list_filter(string_split_regex({x}, '{BLANK}+'), lambda w: w <> ''))"
+
+
+def slug_sql(x: str) -> str:
+    s = f"trim(regexp_replace(coalesce({x}, ''), '[^A-Za-z0-9]+', '_', 'g'), '_')"
+    return f"CASE WHEN {s} = '' THEN 'chapter' ELSE {s} END"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def c(name: str):
+    return F.col(name)
+
+
+# --- chapters ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH w AS (SELECT book_id, chapter_id, chapter_number, chapter_title, coalesce({words_sql('content_text')}, 0) AS n FROM chapters WHERE book_id IS NOT NULL)
+SELECT book_id, count(*) AS n_chapters, sum(n)::BIGINT AS total_words, floor(sum(n) / count(*) + 0.5)::BIGINT AS mean_words,
+ (array_agg(chapter_id ORDER BY n DESC, chapter_number, chapter_id))[1] AS longest_id, (array_agg(chapter_id ORDER BY n, chapter_number, chapter_id))[1] AS shortest_id,
+ (array_agg(chapter_title ORDER BY chapter_number, chapter_id))[1] AS first_title, (array_agg(chapter_title ORDER BY chapter_number DESC, chapter_id DESC))[1] AS last_title
+FROM w GROUP BY book_id""")
+def chapter_summary(spark, d):
+    return C.summarise(t(spark, d, "chapters"))
+
+
+@query(f"SELECT chapter_id, coalesce({words_sql('content_text')}, 0)::BIGINT AS n_words FROM chapters")
+def chapter_word_counts(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", X.word_count(c("content_text")).alias("n_words"))
+
+
+@query("""SELECT book_id, chapter_id, chapter_number, row_number() OVER (PARTITION BY book_id ORDER BY chapter_number, chapter_id)::BIGINT AS new_number
+FROM chapters WHERE chapter_number IS NOT NULL AND book_id IS NOT NULL""")
+def chapter_renumber(spark, d):
+    return C.renumber(t(spark, d, "chapters")).select("book_id", "chapter_id", "chapter_number", "new_number")
+
+
+@query(f"""WITH r AS (SELECT book_id, chapter_id, chapter_number, chapter_title, {strip_sql("coalesce(content_text, '')")} AS body FROM chapters WHERE chapter_number IS NOT NULL AND book_id IS NOT NULL),
+w AS (SELECT *, (length(body) >= 100)::INT AS long FROM r),
+g AS (SELECT *, coalesce(sum(long) OVER (PARTITION BY book_id ORDER BY chapter_number, chapter_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind, sum(long) OVER (PARTITION BY book_id) AS n_long FROM w),
+p AS (SELECT *, least(behind, n_long - 1) AS grp FROM g WHERE n_long > 0)
+SELECT book_id, (grp + 1)::BIGINT AS new_number, max(CASE WHEN long = 1 THEN chapter_id END) AS chapter_id, (array_agg(chapter_title ORDER BY long DESC, chapter_number DESC, chapter_id DESC))[1] AS chapter_title,
+ string_agg(body, ' ' ORDER BY chapter_number, chapter_id) FILTER (WHERE body <> '') AS content_text FROM p GROUP BY book_id, grp""")
+def merge_short_chapters(spark, d):
+    return C.merge_short(t(spark, d, "chapters"))
+
+
+@query(f"SELECT chapter_id, left({strip_sql('content_text')}, 200) AS preview, length({strip_sql('content_text')})::BIGINT AS n_chars, left(translate(content_text, chr(10), ' '), 300) AS short FROM chapters")
+def chapter_preview(spark, d):
+    s = X.strip(c("content_text"))
+    return t(spark, d, "chapters").select("chapter_id", F.left(s, F.lit(200)).alias("preview"), F.length(s).cast("long").alias("n_chars"), F.left(F.translate("content_text", "\n", " "), F.lit(300)).alias("short"))
+
+
+@query("""WITH r AS (SELECT book_id, chapter_id, length(coalesce(content_text, ''))::BIGINT AS n_chars, row_number() OVER (PARTITION BY book_id ORDER BY length(coalesce(content_text, '')), chapter_number, chapter_id) AS k, count(*) OVER (PARTITION BY book_id) AS n FROM chapters WHERE book_id IS NOT NULL)
+SELECT book_id, chapter_id, n_chars FROM r WHERE k = n // 2 + 1""")
+def median_chapter(spark, d):
+    return C.upper_median(t(spark, d, "chapters"))
+
+
+@query("SELECT chapter_id, book_id FROM chapters WHERE book_id IN (SELECT id FROM books WHERE visibility = 1)")
+def select_chapters(spark, d):
+    visible = t(spark, d, "books").where("visibility = 1").select(c("id").alias("book_id"))
+    return C.select_or_all(t(spark, d, "chapters").select("chapter_id", "book_id"), visible, "book_id")
+
+
+@query("SELECT chapter_id, book_id FROM chapters c WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.book_id = c.book_id AND x.doc_kind = 'summary')")
+def missing_chapters(spark, d):
+    done = t(spark, d, "documents").where("doc_kind = 'summary'").select("book_id")
+    return t(spark, d, "chapters").select("chapter_id", "book_id").join(done, "book_id", "left_anti").select("chapter_id", "book_id")
+
+
+@query("SELECT chapter_id, coalesce(c.book_id IN (SELECT book_id FROM documents WHERE book_id IS NOT NULL AND doc_kind = 'show_notes'), false) AS has_notes FROM chapters c")
+def chapter_flags(spark, d):
+    marked = t(spark, d, "documents").where("doc_kind = 'show_notes'").select("book_id").distinct().withColumn("hit", F.lit(True))
+    return t(spark, d, "chapters").select("chapter_id", "book_id").join(marked, "book_id", "left").select("chapter_id", F.coalesce("hit", F.lit(False)).alias("has_notes"))
+
+
+@query(f"SELECT chapter_id, {slug_sql('chapter_title')} AS slug, format('{{:03d}}_{{}}.mp3', coalesce(chapter_number, 0), {slug_sql('chapter_title')}) AS file, coalesce(chapter_number, 0)::BIGINT AS episode_index, translate({slug_sql('chapter_title')}, '_', ' ') AS episode_title FROM chapters")
+def chapter_files(spark, d):
+    rows = t(spark, d, "chapters").select("chapter_id", X.slugify(c("chapter_title")).alias("slug"), X.chapter_filename(c("chapter_number"), c("chapter_title")).alias("file"))
+    e = X.episode_title(c("file"))
+    return rows.select("chapter_id", "slug", "file", e["index"].alias("episode_index"), e["title"].alias("episode_title"))
+
+
+@query("""WITH h AS (SELECT book_id, chapter_id, chapter_number, split_part(href, '#', 1) AS path, nullif(CASE WHEN instr(href, '#') > 0 THEN substr(href, instr(href, '#') + 1) END, '') AS anchor FROM chapters WHERE book_id IS NOT NULL),
+m AS (SELECT *, CASE WHEN lag(path) OVER w IS NOT DISTINCT FROM path THEN 0 ELSE 1 END AS ch FROM h WINDOW w AS (PARTITION BY book_id ORDER BY chapter_number, chapter_id)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY book_id ORDER BY chapter_number, chapter_id) AS run FROM m)
+SELECT book_id, chapter_id, path, anchor, first_value(anchor IGNORE NULLS) OVER (PARTITION BY book_id, run ORDER BY chapter_number, chapter_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_anchor FROM r""")
+def next_anchors(spark, d):
+    return C.next_anchor(t(spark, d, "chapters"))
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT chapter_id, {strip_sql(f"regexp_replace(content_text, '{BLANK}+', ' ', 'g')")} AS text FROM chapters")
+def normalized_text(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", X.normalize_ws(c("content_text")).alias("text"))
+
+
+@query(f"SELECT doc_id, (pos - 1)::BIGINT AS pos, segment FROM (SELECT doc_id, unnest({segments_sql('text')}) AS segment, generate_subscripts({segments_sql('text')}, 1) AS pos FROM documents WHERE text IS NOT NULL)")
+def regex_sentences(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(X.segments(c("text"))).alias("pos", "segment")).select("doc_id", c("pos").cast("long").alias("pos"), "segment")
+
+
+FIRST = rf"""WITH s AS (SELECT doc_id, text, {segments_sql('text')} AS parts FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, text, parts, unnest(parts) AS p, generate_subscripts(parts, 1) AS pos FROM s),
+y AS (SELECT doc_id, text, parts, pos, {strip_sql('p')} AS p, sum(length({strip_sql('p')})) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+f AS (SELECT doc_id, any_value(text) AS text, any_value(parts) AS parts, max(pos) AS used, {strip_sql(f"regexp_replace(coalesce(string_agg(p, ' ' ORDER BY pos) FILTER (WHERE p <> ''), ''), '{BLANK}+', ' ', 'g')")} AS first FROM y WHERE coalesce(before, 0) < 50 GROUP BY doc_id)
+"""
+
+
+@query(FIRST + f"SELECT doc_id, first, CASE WHEN {strip_sql('text')} = '' THEN 0 ELSE used END::BIGINT AS used FROM f")
+def first_sentence(spark, d):
+    f = X.first_sentence(c("text"))
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", f.alias("f")).select("doc_id", c("f.text").alias("first"), c("f.used").cast("long").alias("used"))
+
+
+@query(FIRST + f"""SELECT doc_id, CASE WHEN {strip_sql('text')} = '' THEN 'New.' || CASE WHEN len(r) = 0 THEN '' ELSE ' ' || array_to_string(r, ' ') END WHEN len(r) = 0 THEN 'New.' ELSE 'New. ' || array_to_string(r, ' ') END AS text
+FROM (SELECT doc_id, text, list_filter(list_transform(parts[used + 1:], lambda p: {strip_sql('p')}), lambda p: p <> '') AS r FROM f)""")
+def replace_first_sentence(spark, d):
+    f = X.first_sentence(c("text"))
+    rows = t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", f.alias("f"))
+    return rows.select("doc_id", X.replace_first_sentence(c("text"), c("f.used"), F.lit("New.")).alias("text"))
+
+
+@query(f"SELECT chapter_id, CASE WHEN {strip_sql("coalesce(chapter_title, '')")} = '' THEN content_text ELSE {strip_sql('chapter_title')} || '. ' || content_text END AS text FROM chapters")
+def titled_text(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", X.prepend_title(c("chapter_title"), c("content_text")).alias("text"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, list_filter(list_transform({segments_sql('text')}, lambda p: {strip_sql('p')}), lambda p: p <> '') AS parts FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN len(parts) < 2 OR parts[2] = 'Edited.' THEN text ELSE array_to_string(list_transform(parts, lambda p, i: CASE WHEN i = 2 THEN 'Edited.' ELSE p END), ' ') END AS text FROM s""")
+def sentence_edits(spark, d):
+    edits = F.create_map(F.lit(2), F.lit("Edited."), F.lit(1), F.lit(" "))
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.apply_edits(c("text"), edits).alias("text"))
+
+
+@query()
+def pack_sentences(spark, d):
+    packed = t(spark, d, "documents").select("doc_id", F.posexplode(X.pack_sentences(c("text"), 1000)).alias("pos", "chunk"))
+    return packed.select("doc_id", c("pos").cast("long").alias("pos"), "chunk")
+
+
+@query()
+def chunk_text(spark, d):
+    limits = t(spark, d, "chapters").where("content_text IS NOT NULL").select("chapter_id", F.posexplode(M.chunk_text(500)(c("content_text"))).alias("pos", "chunk"))
+    return limits.select("chapter_id", c("pos").cast("long").alias("pos"), "chunk")
+
+
+@query(r"SELECT chapter_id, regexp_replace(content_text, '\([^)]*\)', '', 'g') AS flat FROM chapters")
+def strip_parens(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", X.strip_parens_flat(c("content_text")).alias("flat"))
+
+
+@query("SELECT chapter_id, " + "regexp_replace(" * 8 + "content_text" + r", '\([^()]*\)', '', 'g')" * 8 + " AS deep FROM chapters")
+def strip_parens_deep(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", X.strip_parens_deep(c("content_text")).alias("deep"))
+
+
+@query(rf"SELECT chapter_id, regexp_replace(content_text, '\.{BLANK}*(?:\.{BLANK}*)+', '.', 'g') AS text FROM chapters")
+def collapse_dots(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", X.collapse_dots(c("content_text")).alias("text"))
+
+
+@query("SELECT chapter_id, (pos - 1)::BIGINT AS pos, substr(content_text, ((pos - 1) * 500 + 1)::BIGINT, 500) AS piece FROM (SELECT chapter_id, content_text, unnest(range(1, (length(content_text) - 1) // 500 + 2)) AS pos FROM chapters WHERE length(content_text) > 0)")
+def fixed_slices(spark, d):
+    rows = t(spark, d, "chapters").where("length(content_text) > 0").select("chapter_id", F.posexplode(X.fixed_slices(c("content_text"), 500)).alias("pos", "piece"))
+    return rows.select("chapter_id", c("pos").cast("long").alias("pos"), "piece")
+
+
+@query()
+def delimiter_split(spark, d):
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.split_at_delimiter(c("text"), 1000).alias("parts"))
+
+
+def _html(spark, d):
+    page = F.concat(F.lit("<html><head><style>p { margin: 0 }</style></head><body><h1>"), F.coalesce("chapter_title", F.lit("")), F.lit('</h1><div class="ad">Buy (now)</div><p id="a1">'), F.replace(F.coalesce("content_text", F.lit("")), F.lit("\n\n"), F.lit('</p>\n<p id="a2">')), F.lit("</p><footer>End &amp; out</footer></body></html>"))
+    return t(spark, d, "chapters").select("chapter_id", page.alias("html"))
+
+
+@query()
+def page_text(spark, d):
+    return _html(spark, d).select("chapter_id", M.strip_html()(c("html")).alias("text"))
+
+
+@query()
+def page_text_without_ads(spark, d):
+    return _html(spark, d).select("chapter_id", M.strip_html(("ad",), drop_script=True)(c("html")).alias("text"))
+
+
+@query()
+def page_text_feed(spark, d):
+    return _html(spark, d).select("chapter_id", M.strip_html_feed(c("html")).alias("text"))
+
+
+@query()
+def anchor_slices(spark, d):
+    return _html(spark, d).select("chapter_id", M.slice_by_anchor(c("html"), F.lit("a1"), F.lit("a2")).alias("part"))
+
+
+@query()
+def roman_numerals(spark, d):
+    return t(spark, d, "chapters").select("chapter_id", M.roman_to_digits(c("content_text")).alias("text"))
+
+
+# Cleanup rules, as data: fixed examples of what a reader approves.
+RULES = (r"\([^)]*\)", r"chapter_\d+\.mp3", r"\bvol\. \d+")
+
+
+@query("SELECT chapter_id, " + "regexp_replace(" * 3 + "content_text" + "".join(f", '{r}', '', 'gis')" for r in RULES) + " AS text, len(regexp_extract_all(content_text, '" + RULES[0] + "', 0, 'is'))::BIGINT AS n_removed FROM chapters WHERE content_text IS NOT NULL")
+def apply_rules(spark, d):
+    x = c("content_text")
+    n = F.size(F.regexp_extract_all(x, F.lit("(?is)" + RULES[0]), F.lit(0))).cast("long")
+    out = x
+    for r in RULES:
+        out = F.regexp_replace(out, "(?is)" + r, "")
+    return t(spark, d, "chapters").where("content_text IS NOT NULL").select("chapter_id", out.alias("text"), n.alias("n_removed"))
+
+
+@query("WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(RULES)) + ") v(rule_no, rule)), m AS (SELECT book_id, rule_no, chapter_number, chapter_id, left(regexp_extract(content_text, rule, 0, 'is'), 300) AS hit FROM chapters, r WHERE book_id IS NOT NULL AND regexp_matches(content_text, rule, 'is')) SELECT book_id, rule_no::BIGINT AS rule_no, (array_agg(hit ORDER BY chapter_number, chapter_id))[1] AS preview FROM m GROUP BY ALL")
+def rule_preview(spark, d):
+    """First match of each rule in each book; the rules are expressions, so nothing is joined."""
+    hits = F.array(*(F.struct(F.lit(i).cast("long").alias("rule_no"), F.left(F.regexp_extract(c("content_text"), "(?is)" + r, 0), F.lit(300)).alias("hit")) for i, r in enumerate(RULES)))
+    rows = t(spark, d, "chapters").where("book_id IS NOT NULL").select("book_id", "chapter_number", "chapter_id", F.explode(F.filter(hits, lambda h: h["hit"] != "")).alias("h"))
+    return rows.groupBy("book_id", c("h.rule_no").alias("rule_no")).agg(F.min(F.struct("chapter_number", "chapter_id", "h.hit"))["hit"].alias("preview"))
+
+
+# --- queues --------------------------------------------------------------------------------------------------------
+
+LOG = "(SELECT DISTINCT * FROM player_queue)"
+STATE = f"""WITH q AS (SELECT log_id, user_id, pod_id, episode_idx, start_pos, is_current, coalesce(model_name, '') AS model_name, logged_time FROM {LOG} WHERE user_id IS NOT NULL AND episode_idx IS NOT NULL),
+g AS (SELECT user_id, pod_id, episode_idx, min(row(logged_time, log_id)) AS first, (array_agg(row(start_pos, is_current, model_name) ORDER BY logged_time DESC, log_id DESC))[1] AS last FROM q GROUP BY ALL),
+s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first)::BIGINT AS idx, pod_id, episode_idx, last[1] AS start_pos, last[2] AS is_current, last[3] AS model_name FROM g) """
+STATE = STATE.replace("row(start_pos, is_current, model_name)", "{'a': start_pos, 'b': is_current, 'c': model_name}").replace("last[1]", "last.a").replace("last[2]", "last.b").replace("last[3]", "last.c").replace("min(row(logged_time, log_id)) AS first", "min({'t': logged_time, 'i': log_id}) AS first")
+
+
+def _queue(spark, d):
+    return Q.replay(Q.distinct_log(t(spark, d, "player_queue")))
+
+
+@query(STATE + "SELECT * FROM s")
+def player_queue(spark, d):
+    return _queue(spark, d)
+
+
+@query(f"SELECT user_id, '/pod/' || (array_agg(pod_id ORDER BY logged_time DESC, log_id DESC))[1] AS uri FROM {LOG} WHERE user_id IS NOT NULL GROUP BY user_id")
+def last_location(spark, d):
+    return Q.last_locations(Q.distinct_log(t(spark, d, "player_queue")))
+
+
+@query(STATE + "SELECT user_id, max(idx) + 1 AS next_idx FROM s GROUP BY user_id")
+def queue_next_index(spark, d):
+    return Q.next_ordinal(_queue(spark, d))
+
+
+@query(STATE + "SELECT user_id, idx - (idx > 2)::INT AS idx, pod_id, episode_idx FROM s WHERE idx <> 2")
+def queue_after_delete(spark, d):
+    return Q.delete_at(_queue(spark, d), F.lit(2)).select("user_id", "idx", "pod_id", "episode_idx")
+
+
+@query(STATE + ", b AS (SELECT *, count(*) FILTER (WHERE idx IN (1, 2)) OVER (PARTITION BY user_id) = 2 AS two FROM s) SELECT user_id, CASE WHEN two AND idx = 1 THEN 2 WHEN two AND idx = 2 THEN 1 ELSE idx END AS idx, pod_id, episode_idx FROM b")
+def queue_after_swap(spark, d):
+    return Q.swap_at(_queue(spark, d), 1).select("user_id", "idx", "pod_id", "episode_idx")
+
+
+@query(STATE + "SELECT user_id, r.i AS idx, r.p AS pod_id, r.e AS episode_idx FROM (SELECT user_id, min({'k': (NOT is_current)::INT, 'i': idx, 'p': pod_id, 'e': episode_idx}) AS r FROM s GROUP BY user_id)")
+def queue_current_item(spark, d):
+    return Q.current_item(_queue(spark, d))
+
+
+@query("""SELECT user_id, book_title, min(id) AS id, max(t) AS modified_time, (array_agg(visibility ORDER BY t DESC, id DESC))[1] AS visibility
+FROM (SELECT *, coalesce(modified_time, created_time) AS t FROM books WHERE user_id IS NOT NULL AND book_title IS NOT NULL) GROUP BY user_id, book_title""")
+def upsert_books(spark, d):
+    return Q.upsert_books(t(spark, d, "books"))
+
+
+@query("SELECT book_title, (array_agg(id ORDER BY (user_id <> (SELECT min(user_id) FROM books))::INT, id))[1] AS id FROM books WHERE book_title IS NOT NULL AND (user_id = (SELECT min(user_id) FROM books) OR visibility = 1) GROUP BY book_title")
+def preferred_books(spark, d):
+    books = t(spark, d, "books")
+    return Q.preferred_book(books, books.agg(F.min("user_id")).first()[0])
+
+
+@query("SELECT id, user_id, book_title, visibility, coalesce(user_id = (SELECT min(user_id) FROM books), false) AS is_owner FROM books WHERE user_id = (SELECT min(user_id) FROM books) OR visibility = 1")
+def visible_books(spark, d):
+    books = t(spark, d, "books")
+    me = books.agg(F.min("user_id")).first()[0]
+    return books.where((c("user_id") == me) | (c("visibility") == 1)).select("id", "user_id", "book_title", "visibility", F.coalesce(c("user_id") == me, F.lit(False)).alias("is_owner"))
+
+
+@query("SELECT count(*) FILTER (WHERE status IN ('queued', 'paused')) AS waiting, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status IN ('success', 'fail', 'cancelled')) AS done, count(*) AS total FROM jobs")
+def job_status_counts(spark, d):
+    s = c("status")
+    return t(spark, d, "jobs").agg(F.count_if(s.isin("queued", "paused")).alias("waiting"), F.count_if(s == "running").alias("running"), F.count_if(s.isin("success", "fail", "cancelled")).alias("done"), F.count("*").alias("total"))
+
+
+@query("SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY id)::BIGINT - 1 AS position FROM jobs WHERE status = 'queued'")
+def queue_position(spark, d):
+    waiting = t(spark, d, "jobs").where("status = 'queued'")
+    return numbered(waiting.select("id", "user_id"), ["user_id"], F.substring("id", 1, 9), ["id"], "n").select("id", "user_id", (c("n") - 1).alias("position"))
+
+
+@query("SELECT id FROM (SELECT id FROM jobs WHERE status <> 'running' AND (SELECT count(*) FROM jobs) > 1000 ORDER BY id LIMIT 500)")
+def prune_jobs(spark, d):
+    return Q.prune(t(spark, d, "jobs"))
+
+
+@query()
+def job_params(spark, d):
+    """Parameter bags as one map: key/value entries and one-entry maps, the last of a name wins."""
+    entry = lambda m: F.when(F.size(m) == 0, None).when(F.map_contains_key(m, "key"), F.struct(m["key"].alias("k"), m["value"].alias("v"))).otherwise(F.struct(F.element_at(F.map_keys(m), 1).alias("k"), F.element_at(F.map_values(m), 1).alias("v")))
+    pairs = F.filter(F.transform(F.coalesce("params", F.array().cast("array<map<string,string>>")), entry), lambda e: e["k"].isNotNull())
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda o: o["k"] == e["k"]))
+    return t(spark, d, "jobs").select("id", F.to_json(F.map_from_entries(F.array_sort(last))).alias("params"))
+
+
+@query(f"""SELECT id, greatest(0, least(100, progress))::BIGINT AS progress, lower(trim(command)) AS command,
+CASE WHEN lower(trim(command)) IN ('tts', 'generate_feed') THEN 'audio' WHEN lower(trim(command)) = 'parse_epub' THEN 'text' ELSE 'other' END AS kind, coalesce(lower(trim(progress_msg)) IN ('1', 'true', 'yes', 'y', 'on'), false) AS flag FROM jobs""")
+def job_fields(spark, d):
+    command = F.lower(F.trim("command"))
+    kind = F.when(command.isin("tts", "generate_feed"), "audio").when(command == "parse_epub", "text").otherwise("other")
+    return t(spark, d, "jobs").select("id", T.clamp_progress(c("progress")).cast("long").alias("progress"), command.alias("command"), kind.alias("kind"), X.is_true(c("progress_msg")).alias("flag"))
+
+
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:\d{2})?)?$"
+
+
+@query(rf"SELECT id, CASE WHEN regexp_matches(regexp_replace(trim(started_at), '[Zz]$', '+00:00'), '{ISO}') THEN epoch_us(try_cast(regexp_replace(trim(started_at), '[Zz]$', '+00:00') AS TIMESTAMPTZ)) END AS started_us FROM jobs")
+def job_times(spark, d):
+    return t(spark, d, "jobs").select("id", F.unix_micros(T.iso_timestamp(c("started_at"))).alias("started_us"))
+
+
+# --- timelines -----------------------------------------------------------------------------------------------------
+
+W = """WITH w AS (SELECT id, (pos - 1)::INT AS pos, x->>'word' AS word, (x->>'start')::DOUBLE AS s, (x->>'end')::DOUBLE AS e FROM (SELECT id, unnest(js) AS x, generate_subscripts(js, 1) AS pos FROM (SELECT id, from_json(CASE WHEN json_valid(transcript) THEN transcript END, '["JSON"]') AS js FROM clips WHERE transcript IS NOT NULL))) """
+
+
+def _words(spark, d):
+    return L.timed_words(t(spark, d, "clips"))
+
+
+@query(W + "SELECT id, p AS start, s AS \"end\" FROM (SELECT id, lag(e) OVER (PARTITION BY id ORDER BY pos) AS p, s FROM w WHERE s IS NOT NULL AND e IS NOT NULL) WHERE s > p + 0.001")
+def gap_complement(spark, d):
+    return L.speech_gaps(_words(spark, d))
+
+
+@query(W + """SELECT id, round(sum(e - s), 3) AS speech, round(greatest(0, max(e) - min(s) - sum(e - s)), 3) AS silence FROM w WHERE s IS NOT NULL AND e IS NOT NULL GROUP BY id""")
+def speech_totals(spark, d):
+    words = _words(spark, d).where("start IS NOT NULL AND `end` IS NOT NULL")
+    spoken = F.sum(c("end") - c("start"))
+    return words.groupBy("id").agg(F.round(spoken, 3).alias("speech"), F.round(F.greatest(F.lit(0.0), F.max("end") - F.min("start") - spoken), 3).alias("silence"))
+
+
+@query(W + """, r AS (SELECT *, regexp_matches(word, '[.?!;]+$')::INT AS is_end, lead(s) OVER (PARTITION BY id ORDER BY pos) AS nxt FROM w WHERE word IS NOT NULL),
+k AS (SELECT *, coalesce(sum(is_end) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM r),
+g AS (SELECT id, sentence::BIGINT AS sentence, string_agg(word, ' ' ORDER BY pos) AS text, min({'p': pos, 't': s}).t AS start, max({'p': pos, 't': coalesce(nxt - 0.02, e), 'x': is_end}) AS last FROM k GROUP BY id, k.sentence)
+SELECT id, sentence, text, round(start, 3) AS start, round(last.t, 3) AS "end" FROM g WHERE last.x = 1 AND last.t - start BETWEEN 6.0 AND 15.0""")
+def utterances_a(spark, d):
+    out = L.sentence_clips(_words(spark, d))
+    return out.select("id", c("sentence").cast("long").alias("sentence"), "text", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query()
+def utterances_within_budget(spark, d):
+    clips = L.sentence_clips(_words(spark, d)).join(t(spark, d, "clips").select("id", "user_id"), "id")
+    return L.within_budget(clips, "user_id", ["id", "sentence"], 0.4, 1800.0).select("user_id", "id", "sentence", "start", "end")
+
+
+@query()
+def utterances_b(spark, d):
+    return L.segment_groups(_words(spark, d))
+
+
+@query()
+def line_packing(spark, d):
+    words = F.transform(F.from_json("transcript", L.WORDS), lambda w: F.coalesce(w["word"], F.lit("")))
+    return t(spark, d, "clips").where("transcript IS NOT NULL").select("id", X.pack_lines(words).alias("lines"))
+
+
+@query(W + "SELECT w.id, pos, CASE WHEN c.start_timestamp + 5 >= e THEN 'spoken' WHEN c.start_timestamp + 5 >= s THEN 'current' ELSE 'pending' END AS state FROM w JOIN clips c ON c.id = w.id")
+def word_states(spark, d):
+    clips = t(spark, d, "clips")
+    at = clips.select("id", (c("start_timestamp") + 5).alias("at"))
+    return L.word_states(_words(spark, d).join(at, "id"), c("at")).select("id", "pos", "state")
+
+
+@query(W + "SELECT id, pos, round_even(coalesce(s, 0) + 12.5, 3) AS start FROM w")
+def word_offsets(spark, d):
+    return _words(spark, d).select("id", "pos", T.word_offset(c("start"), F.lit(12.5)).alias("start"))
+
+
+@query("""WITH s AS (SELECT id, (end_timestamp - start_timestamp) AS length, (id % 9 + 1)::INT AS n_lines FROM clips WHERE end_timestamp - start_timestamp > 0 AND end_timestamp - start_timestamp <= 60),
+f AS (SELECT *, length / 3 AS trigger, greatest(0, n_lines - 6) * 36 AS most, unnest(range(0, floor(length * 2)::BIGINT)) AS frame FROM s WHERE length * 2 >= 1)
+SELECT id, frame, CASE WHEN n_lines > 6 AND frame / 2 > trigger THEN floor(least(1.0, greatest(0.0, (frame / 2 - trigger) / (length - trigger))) * most) ELSE 0 END::BIGINT AS offset_px FROM f""")
+def scroll_offsets(spark, d):
+    length = c("end_timestamp") - c("start_timestamp")
+    clips = t(spark, d, "clips").where((length > 0) & (length <= 60)).select("id", length.alias("length"), (c("id") % 9 + 1).cast("int").alias("n_lines"), (length / 3).alias("trigger"))
+    return L.scroll_offsets(clips, 2, 6, 36).select("id", c("frame").cast("long").alias("frame"), "offset_px")
+
+
+@query("""WITH k AS (SELECT user_id AS chunk_idx, (event_id // 2 % 7 + 1)::INT AS attempt, (event_id % 2)::INT AS copy, round(value / 200, 6) AS silence FROM events WHERE event_id % 7 < 3 AND value IS NOT NULL),
+u AS (SELECT chunk_idx, attempt, copy, min(silence) AS silence FROM k GROUP BY ALL)
+SELECT chunk_idx, coalesce(a.attempt, l.attempt) AS attempt, coalesce(a.copy, l.copy) AS copy, coalesce(a.silence, l.silence) AS silence, a IS NOT NULL AS accepted FROM (
+SELECT chunk_idx, min({'attempt': attempt, 'copy': copy, 'silence': silence}) FILTER (WHERE silence <= 0.1) AS a, min({'s': silence, 'attempt': attempt, 'copy': copy, 'silence': silence}) AS l FROM u WHERE attempt <= 5 GROUP BY chunk_idx)""")
+def best_candidate(spark, d):
+    rows = t(spark, d, "events").where("event_id % 7 < 3 AND value IS NOT NULL").select(c("user_id").alias("chunk_idx"), (F.floor(c("event_id") / 2) % 7 + 1).cast("int").alias("attempt"), (c("event_id") % 2).cast("int").alias("copy"), F.round(c("value") / 200, 6).alias("silence"))
+    return L.best_candidates(rows.groupBy("chunk_idx", "attempt", "copy").agg(F.min("silence").alias("silence")))
+
+
+@query(rf"""WITH w AS (SELECT c.id, c.user_id, c.end_timestamp - c.start_timestamp AS secs, list_filter(string_split_regex(lower(coalesce(array_to_string(list_transform(from_json(CASE WHEN json_valid(transcript) THEN transcript END, '["JSON"]'), lambda x: x->>'word'), ' '), '')), ' '), lambda v: v <> '') AS words FROM clips c)
+SELECT user_id, round(sum(secs), 3) AS seconds, sum(len(words))::BIGINT AS n_words, sum(list_sum(list_transform(words, lambda v: greatest(len(regexp_extract_all(v, '[aeiouy]+')), 1))))::BIGINT AS n_syllables, round(sum(len(words)) / nullif(sum(secs) / 60, 0), 3) AS words_per_min FROM w WHERE secs > 0 AND user_id IS NOT NULL GROUP BY user_id""")
+def speaking_rate(spark, d):
+    words = F.filter(F.split(F.lower(F.coalesce(F.array_join(F.transform(F.from_json("transcript", L.WORDS), lambda w: w["word"]), " "), F.lit(""))), " "), lambda v: v != "")
+    n_syl = F.aggregate(F.transform(words, X.syllables), F.lit(0), lambda a, v: a + v)
+    rows = t(spark, d, "clips").where("user_id IS NOT NULL").select("user_id", (c("end_timestamp") - c("start_timestamp")).alias("secs"), F.size(words).alias("n"), n_syl.alias("syl")).where("secs > 0")
+    return rows.groupBy("user_id").agg(F.round(F.sum("secs"), 3).alias("seconds"), F.sum("n").alias("n_words"), F.when(F.sum("n") > 0, F.sum("syl")).cast("long").alias("n_syllables"), F.round(F.try_divide(F.sum("n"), F.sum("secs") / 60), 3).alias("words_per_min"))
+
+
+@query("SELECT id, end_timestamp - start_timestamp > 0 AND end_timestamp - start_timestamp <= 60 AND end_timestamp <= 86400 AS valid FROM clips")
+def clip_validity(spark, d):
+    n = c("end_timestamp") - c("start_timestamp")
+    return t(spark, d, "clips").select("id", ((n > 0) & (n <= 60) & (c("end_timestamp") <= 86400)).alias("valid"))
+
+
+# --- dates, durations, numbers -------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + to_days((o_orderkey % 30)::INT), '%a, %d %b %Y %H:%M:%S +0000') AS pub_date FROM orders")
+def publication_dates(spark, d):
+    moved = c("o_orderdate") + F.make_dt_interval((c("o_orderkey") % 30).cast("int"))
+    return t(spark, d, "orders").select("o_orderkey", T.rfc822(moved).alias("pub_date"))
+
+
+@query("""WITH v AS (SELECT event_id, value * 100 AS x, round_even(value * 100, 0)::BIGINT AS r, floor(value * 100)::BIGINT AS f FROM events WHERE value IS NOT NULL)
+SELECT event_id, CASE WHEN r >= 3600 THEN format('{}:{:02d}:{:02d}', r // 3600, r % 3600 // 60, r % 60) ELSE format('{:02d}:{:02d}', r // 60, r % 60) END AS feed,
+CASE WHEN f >= 3600 THEN format('{}:{:02d}:{:02d}', f // 3600, f % 3600 // 60, f % 60) ELSE format('{}:{:02d}', f // 60, f % 60) END AS list,
+CASE WHEN x < 0 THEN '0:00' ELSE format('{}:{:02d}', f // 60, f % 60) END AS clock,
+CASE WHEN x < 0 THEN '—' WHEN f >= 3600 THEN format('~{}h {}m', f // 3600, f % 3600 // 60) WHEN f >= 60 THEN format('~{}m {}s', f // 60, f % 60) ELSE format('~{}s', f) END AS eta, f::DOUBLE AS parsed FROM v""")
+def durations(spark, d):
+    x = c("value") * 100
+    rows = t(spark, d, "events").where("value IS NOT NULL").select("event_id", T.duration_feed(x).alias("feed"), T.duration_list(x).alias("list"), T.clock(x).alias("clock"), T.eta(x).alias("eta"))
+    return rows.withColumn("parsed", T.parse_duration(c("list")))
+
+
+@query("SELECT event_id, round_even((event_id % 17 + 1) / 17 * 100, 0)::INT AS pct, round(value / ((event_id % 99 + 1) / 100::DOUBLE) - value, 2) AS eta_s, (greatest(0, least(100, (value * 3)::INT)))::INT AS clamped FROM events WHERE value IS NOT NULL")
+def tts_progress(spark, d):
+    done = (c("event_id") % 99 + 1) / 100.0
+    return t(spark, d, "events").where("value IS NOT NULL").select("event_id", T.stage_percent(c("event_id") % 17 + 1, F.lit(17)).alias("pct"), F.round(c("value") / done - c("value"), 2).alias("eta_s"), T.clamp_progress(F.bround(c("value") * 3)).alias("clamped"))
+
+
+@query("""SELECT p_partkey, CASE WHEN w * 720 > h * 406 THEN (720 * (w / h))::BIGINT ELSE 406 END AS nw FROM (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 50 + 1)::DOUBLE AS h FROM part)""".replace("(720 * (w / h))::BIGINT", "floor(720 * (w / h))::BIGINT"))
+def cover_geometry(spark, d):
+    w, h = c("p_size").cast("double"), (c("p_partkey") % 50 + 1).cast("double")
+    return t(spark, d, "part").select("p_partkey", F.when(w * 720 > h * 406, F.floor(720 * (w / h))).otherwise(406).cast("long").alias("nw"))
+
+
+@query(r"""SELECT p_partkey, replace(replace(regexp_extract(p_name, '([^/]*)$', 1), ' ', ''), '\', '') AS pod, regexp_replace(regexp_replace(p_name, '\.[^.]+$', ''), '\s', '', 'g') AS name, regexp_replace(lower(trim(p_brand)), '-tts$', '') AS model FROM part""")
+def sanitize_titles(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.sanitize_title(c("p_name")).alias("pod"), X.sanitize_name(c("p_name")).alias("name"), X.strip_suffix(c("p_brand")).alias("model"))
+
+
+@query("SELECT id, url_encode(video_url) AS u FROM clips WHERE false")
+def quoted_urls(spark, d):
+    return t(spark, d, "clips").where("video_url IS NOT NULL").select("id", X.quote_path(c("video_url")).alias("u"))
+
+
+ORACLE.pop("quoted_urls")
+
+
+@query("SELECT id, title, CASE WHEN title = '' THEN 0 ELSE coalesce(try_cast(title AS BIGINT), 9007199254740991) END AS sort_key FROM (SELECT id, trim(coalesce(regexp_extract(book_title, '([0-9]+)$', 1), '')) AS title FROM books)")
+def sort_indices(spark, d):
+    title = F.coalesce(F.regexp_extract("book_title", "([0-9]+)$", 1), F.lit(""))
+    rows = t(spark, d, "books").select("id", title.alias("title"))
+    return rows.select("id", "title", F.when(c("title") == "", F.lit(0)).otherwise(F.coalesce(c("title").try_cast("long"), F.lit(9007199254740991))).cast("long").alias("sort_key"))
+
+
+@query("SELECT (array_agg(model_name ORDER BY log_id))[1] AS model_name, count(*) AS n FROM player_queue WHERE model_name IS NOT NULL AND trim(model_name) <> '' GROUP BY lower(trim(model_name))")
+def dedupe_names(spark, d):
+    rows = t(spark, d, "player_queue").where("model_name IS NOT NULL AND trim(model_name) <> ''")
+    return rows.groupBy(F.lower(F.trim("model_name")).alias("k")).agg(F.min(F.struct("log_id", "model_name"))["model_name"].alias("model_name"), F.count("*").alias("n")).drop("k")
+
+
+@query("SELECT user_id, list_sort(list_distinct(list_transform(array_agg(event_id % 20), lambda x: x::BIGINT))) AS ids, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id")
+def dedupe_ids(spark, d):
+    return t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(c("event_id") % 20)).alias("ids"), F.count_distinct("event_type").alias("n_types"))
+
+
+@query()
+def speaker_similarity(spark, d):
+    v = t(spark, d, "embeddings")
+    return top_similar(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT vec_id, len(t)::INT AS n_kept, round(list_sum(list_transform(embedding, lambda v: greatest(-0.1, least(0.1, v))))::DOUBLE, 4) AS clipped FROM (SELECT vec_id, embedding, CASE WHEN len(list_filter(embedding, lambda v: abs(v) > 0.01)) = 0 THEN embedding ELSE embedding[list_position(list_transform(embedding, lambda v: abs(v) > 0.01), true):len(embedding) - list_position(list_reverse(list_transform(embedding, lambda v: abs(v) > 0.01)), true) + 1] END AS t FROM embeddings)""")
+def sample_arrays(spark, d):
+    total = F.aggregate(F.transform("embedding", lambda v: F.greatest(F.lit(-0.1), F.least(F.lit(0.1), v.cast("double")))), F.lit(0.0), lambda a, v: a + v)
+    return t(spark, d, "embeddings").select("vec_id", F.size(T.trim_silence(c("embedding"))).alias("n_kept"), F.round(total, 4).alias("clipped"))
+
+
+# --- extensions over the star tables -------------------------------------------------------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+def ext_grouping_sets(spark, d):
+    rows = t(spark, d, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'")
+    return rows.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(c("l_extendedprice") * (1 - c("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def ext_hourly_events(spark, d):
+    return t(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))

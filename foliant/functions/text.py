@@ -136,7 +136,7 @@ def split_at_delimiter(x: Column, upper: int) -> Column:
     right = half + F.length(F.regexp_extract(s.substr(half + 1, F.length(s)), "(?s)^([^,;]*[,;])", 1)) - 1
     best = F.when((left >= 0) & ((right < half) | (half - left <= right - half)), left).when(right >= half, right)
     two = F.filter(F.array(strip(s.substr(F.lit(1), best + 1)), strip(s.substr(best + 2, F.length(s)))), lambda p: p != "")
-    return F.when((F.length(s) <= upper) | best.isNull(), F.filter(F.array(s), lambda p: p != "")).otherwise(two)
+    return F.when(x.isNull(), None).when((F.length(s) <= upper) | best.isNull(), F.filter(F.array(s), lambda p: p != "")).otherwise(two)
 
 
 def strip_code_fence(x: Column) -> Column:

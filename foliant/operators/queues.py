@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliant.operators.prefix import numbered
 
-LATER = F.struct("logged_time", "log_id")
-
 
 def distinct_log(log: DataFrame) -> DataFrame:
     """The log without rows that were delivered twice."""

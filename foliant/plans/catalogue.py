@@ -482,10 +482,10 @@ def durations(spark, d):
     return rows.withColumn("parsed", T.parse_duration(c("list")))
 
 
-@query("SELECT event_id, round_even((event_id % 17 + 1) / 17 * 100, 0)::INT AS pct, round(value / ((event_id % 99 + 1) / 100::DOUBLE) - value, 2) AS eta_s, (greatest(0, least(100, (value * 3)::INT)))::INT AS clamped FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, round_even((event_id % 17 + 1) / 17 * 100, 0)::INT AS pct, floor((value / ((event_id % 99 + 1) / 100::DOUBLE) - value) * 100)::BIGINT AS eta_cs, (greatest(0, least(100, (value * 3)::INT)))::INT AS clamped FROM events WHERE value IS NOT NULL")
 def tts_progress(spark, d):
     done = (c("event_id") % 99 + 1) / 100.0
-    return t(spark, d, "events").where("value IS NOT NULL").select("event_id", T.stage_percent(c("event_id") % 17 + 1, F.lit(17)).alias("pct"), F.round(c("value") / done - c("value"), 2).alias("eta_s"), T.clamp_progress(F.bround(c("value") * 3)).alias("clamped"))
+    return t(spark, d, "events").where("value IS NOT NULL").select("event_id", T.stage_percent(c("event_id") % 17 + 1, F.lit(17)).alias("pct"), F.floor((c("value") / done - c("value")) * 100).cast("long").alias("eta_cs"), T.clamp_progress(F.bround(c("value") * 3)).alias("clamped"))
 
 
 @query("""SELECT p_partkey, CASE WHEN w * 720 > h * 406 THEN (720 * (w / h))::BIGINT ELSE 406 END AS nw FROM (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 50 + 1)::DOUBLE AS h FROM part)""".replace("(720 * (w / h))::BIGINT", "floor(720 * (w / h))::BIGINT"))

@@ -83,8 +83,9 @@ def next_anchor(df: DataFrame) -> DataFrame:
     """Each entry's next anchor in the same run of entries of one document: (book_id, chapter_id, path, anchor, next_anchor)."""
     href = X.split_href(F.col("href"))
     rows = df.where("book_id IS NOT NULL").select("book_id", "chapter_number", "chapter_id", href["path"].alias("path"), href["anchor"].alias("anchor"))
-    w = Window.partitionBy("book_id").orderBy(*ORDER)
-    changed = F.when(F.lag("path").over(w).eqNullSafe(F.col("path")), 0).otherwise(1)
-    runs = rows.withColumn("run", F.sum(changed).over(w))
-    later = Window.partitionBy("book_id", "run").orderBy(*ORDER).rowsBetween(1, Window.unboundedFollowing)
+    placed = numbered(rows, ["book_id"], place(), ORDER, "pos")
+    before = placed.select("book_id", (F.col("pos") + 1).alias("pos"), F.col("path").alias("path_before"))
+    changed = placed.join(before, ["book_id", "pos"], "left").withColumn("new_run", F.when(F.col("path_before").eqNullSafe(F.col("path")), 0).otherwise(1))
+    runs = running_sum(changed, ["book_id"], F.floor(F.col("pos") / ID_BUCKET), ["pos"], F.col("new_run"), "run")
+    later = Window.partitionBy("book_id", "run").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     return runs.select("book_id", "chapter_id", "path", "anchor", F.first("anchor", ignorenulls=True).over(later).alias("next_anchor"))

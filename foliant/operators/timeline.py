@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from foliant.operators.prefix import running_sum
+
 WORDS = "array<struct<word:string,start:double,end:double>>"
 
 
@@ -36,10 +38,10 @@ def sentence_clips(words: DataFrame, pad: float = 0.02, shortest: float = 6.0, l
     return out.where((F.col("end") - F.col("start")).between(shortest, longest))
 
 
-def within_budget(clips: DataFrame, key: str, order: list[str], pad: float, budget: float) -> DataFrame:
-    """Clips of each key until their lengths and pads before them reach the budget."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return clips.withColumn("_before", F.coalesce(F.sum(F.col("end") - F.col("start") + pad).over(w), F.lit(0.0))).where(F.col("_before") < budget).drop("_before")
+def within_budget(clips: DataFrame, key: str, bucket: Column, order: list[str], pad: float, budget: float) -> DataFrame:
+    """Clips of each key until their lengths and pads before them, in whole milliseconds, reach the budget."""
+    length = F.round((F.col("end") - F.col("start") + pad) * 1000)
+    return running_sum(clips, [key], bucket, order, length, "_before", inclusive=False).where(F.col("_before") < budget * 1000).drop("_before")
 
 
 def _greedy(rows: list[tuple[float, float, str]], low: float, high: float, longest: float, least: float) -> list[tuple[float, float, str]]:

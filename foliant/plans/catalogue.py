@@ -400,10 +400,15 @@ def utterances_a(spark, d):
     return out.select("id", c("sentence").cast("long").alias("sentence"), "text", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query()
+@query(W + """, r AS (SELECT *, regexp_matches(word, '[.?!;]+$')::INT AS is_end, lead(s) OVER (PARTITION BY id ORDER BY pos) AS nxt FROM w WHERE word IS NOT NULL),
+k AS (SELECT *, coalesce(sum(is_end) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM r),
+g AS (SELECT id, sentence::BIGINT AS sentence, min({'p': pos, 't': s}).t AS start, max({'p': pos, 't': coalesce(nxt - 0.02, e), 'x': is_end}) AS last FROM k GROUP BY id, k.sentence),
+u AS (SELECT c.user_id, g.id, sentence, start, last.t AS e FROM g JOIN clips c ON c.id = g.id WHERE last.x = 1 AND last.t - start BETWEEN 6.0 AND 15.0),
+b AS (SELECT *, coalesce(sum(round((e - start + 0.4) * 1000)::BIGINT) OVER (PARTITION BY user_id ORDER BY id, sentence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+SELECT user_id, id, sentence, round(start, 3) AS start, round(e, 3) AS "end" FROM b WHERE before < 1800000""")
 def utterances_within_budget(spark, d):
     clips = L.sentence_clips(_words(spark, d)).join(t(spark, d, "clips").select("id", "user_id"), "id")
-    return L.within_budget(clips, "user_id", ["id", "sentence"], 0.4, 1800.0).select("user_id", "id", "sentence", "start", "end")
+    return L.within_budget(clips, "user_id", F.floor(c("id") / 4096), ["id", "sentence"], 0.4, 1800.0).select("user_id", "id", c("sentence").cast("long").alias("sentence"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 @query()

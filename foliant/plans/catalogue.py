@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.functions import markup as M, text as X, timing as T
 from foliant.operators import chapters as C, queues as Q, timeline as L
+from foliant.operators.layout import spread
 from foliant.operators.prefix import numbered
 from foliant.operators.similarity import top_similar
 
@@ -153,7 +154,7 @@ f AS (SELECT doc_id, any_value(text) AS text, any_value(parts) AS parts, max(pos
 @query(FIRST + f"SELECT doc_id, first, CASE WHEN {strip_sql('text')} = '' THEN 0 ELSE used END::BIGINT AS used FROM f")
 def first_sentence(spark, d):
     f = X.first_sentence(c("text"))
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", f.alias("f")).select("doc_id", c("f.text").alias("first"), c("f.used").cast("long").alias("used"))
+    return spread(t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", f.alias("f")).select("doc_id", c("f.text").alias("first"), c("f.used").cast("long").alias("used"))
 
 
 @query(FIRST + f"""SELECT doc_id, CASE WHEN {strip_sql('text')} = '' THEN 'New.' || CASE WHEN len(r) = 0 THEN '' ELSE ' ' || array_to_string(r, ' ') END WHEN len(r) = 0 THEN 'New.' ELSE 'New. ' || array_to_string(r, ' ') END AS text
@@ -178,13 +179,13 @@ def sentence_edits(spark, d):
 
 @query()
 def pack_sentences(spark, d):
-    packed = t(spark, d, "documents").select("doc_id", F.posexplode(X.pack_sentences(c("text"), 1000)).alias("pos", "chunk"))
+    packed = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.pack_sentences(c("text"), 1000)).alias("pos", "chunk"))
     return packed.select("doc_id", c("pos").cast("long").alias("pos"), "chunk")
 
 
 @query()
 def chunk_text(spark, d):
-    limits = t(spark, d, "chapters").where("content_text IS NOT NULL").select("chapter_id", F.posexplode(M.chunk_text(500)(c("content_text"))).alias("pos", "chunk"))
+    limits = spread(t(spark, d, "chapters").where("content_text IS NOT NULL").select("chapter_id", "content_text")).select("chapter_id", F.posexplode(M.chunk_text(500)(c("content_text"))).alias("pos", "chunk"))
     return limits.select("chapter_id", c("pos").cast("long").alias("pos"), "chunk")
 
 
@@ -211,12 +212,12 @@ def fixed_slices(spark, d):
 
 @query()
 def delimiter_split(spark, d):
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.split_at_delimiter(c("text"), 1000).alias("parts"))
+    return spread(t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", X.split_at_delimiter(c("text"), 1000).alias("parts"))
 
 
 def _html(spark, d):
     page = F.concat(F.lit("<html><head><style>p { margin: 0 }</style></head><body><h1>"), F.coalesce("chapter_title", F.lit("")), F.lit('</h1><div class="ad">Buy (now)</div><p id="a1">'), F.replace(F.coalesce("content_text", F.lit("")), F.lit("\n\n"), F.lit('</p>\n<p id="a2">')), F.lit("</p><footer>End &amp; out</footer></body></html>"))
-    return t(spark, d, "chapters").select("chapter_id", page.alias("html"))
+    return spread(t(spark, d, "chapters").select("chapter_id", page.alias("html")))
 
 
 @query()
@@ -241,7 +242,7 @@ def anchor_slices(spark, d):
 
 @query()
 def roman_numerals(spark, d):
-    return t(spark, d, "chapters").select("chapter_id", M.roman_to_digits(c("content_text")).alias("text"))
+    return spread(t(spark, d, "chapters").select("chapter_id", "content_text")).select("chapter_id", M.roman_to_digits(c("content_text")).alias("text"))
 
 
 # Cleanup rules, as data: fixed examples of what a reader approves.

@@ -12,6 +12,7 @@ names give rows of their own; an overlap of at least the limit counts as limit -
 
 from __future__ import annotations
 
+import functools
 import re
 from array import array
 from bisect import bisect_left, bisect_right
@@ -28,12 +29,7 @@ MOST_LIMITS = 1_000
 # Strength of a boundary, the lower the stronger.
 PARAGRAPH, SENTENCE, CLAUSE, SPACE = 0, 1, 2, 3
 
-BOUNDARY = re.compile(
-    r"(?P<p>\s*\n\s*\n\s*)"
-    r"|(?P<s>\s*\n\s*|[.!?…؟।॥]+[\"'”’»)\]]*\s+|[。！？｡]+[”’」』）》\"]*\s*)"
-    r"|(?P<c>[,;:،؛]\s+|[，、；：]\s*)"
-)
-KINDS = {"p": PARAGRAPH, "s": SENTENCE, "c": CLAUSE}
+BOUNDARY = re.compile("[\n.!?…؟।॥。！？｡,;:،؛，、；：][.!?…؟।॥。！？｡\"'”’»)\\]』」》）]*\\s*")
 WHITE = re.compile(r"\s+")
 # The marks that, beside white space, break a stretch.
 BREAKS = ".!?。！？｡…؟।"
@@ -42,6 +38,21 @@ BREAK = re.compile(rf"[\s{re.escape(BREAKS)}]")
 FINE = 160
 
 
+def _strength(g: str) -> int | None:
+    """The kind of a mark with what stands behind it; None if it is inside a number, name or the like."""
+    lines = g.count("\n")
+    if lines:
+        return PARAGRAPH if lines > 1 else SENTENCE
+    c = g[0]
+    if c in "。！？｡":
+        return SENTENCE
+    if c in "，、；：":
+        return CLAUSE
+    if not g[-1].isspace():
+        return None
+    return CLAUSE if c in ",;:،؛" else SENTENCE
+
+
 def boundaries(text: str, start: int, stop: int, offset: int, part: bool) -> tuple[array, array]:
     """Offsets (from ``offset``) right behind the boundaries of ``text`` that end in (start, stop], and their kinds.
 
@@ -63,24 +74,36 @@ def boundaries(text: str, start: int, stop: int, offset: int, part: bool) -> tup
             continue
         if e > stop:
             break
-        fine(e, part and last == start)
+        strength = _strength(m.group())
+        if strength is None:
+            continue
+        if e - last > FINE or part:
+            fine(e, part and last == start)
         at.append(e + offset)
-        kind.append(KINDS[m.lastgroup])
+        kind.append(strength)
         last = e
     fine(stop + 1, part)
     return at, kind
 
 
+@functools.cache
+def _stretch(least: int) -> re.Pattern:
+    marks = re.escape(BREAKS)
+    return re.compile(rf"[\s{marks}][^\s{marks}]{{{max(1, least)},}}")
+
+
 def widest_stretch(text: str, least: int) -> tuple[int, int, int]:
     """(first break, last break, widest stretch between two breaks if above ``least``); -1 and -1 without breaks."""
     first = BREAK.search(text)
     if first is None:
         return -1, -1, 0
-    tail = re.search(rf"[^\s{re.escape(BREAKS)}]*\Z", text)
+    last = len(text) - 1
+    while not (text[last] in BREAKS or text[last].isspace()):
+        last -= 1
     widest = 0
-    for m in re.finditer(rf"[^\s{re.escape(BREAKS)}]{{{max(1, least)},}}", text[first.start() : tail.start()]):
-        widest = max(widest, m.end() - m.start())
-    return first.start(), tail.start() - 1, widest
+    for m in _stretch(least).finditer(text, first.start(), last + 1):
+        widest = max(widest, m.end() - m.start() - 1)
+    return first.start(), last, widest
 
 
 RANGES = T.StructType(
@@ -94,7 +117,7 @@ RESULT = T.StructType(
 def scan_ranges(df: DataFrame, id_col: str, text_col: str, least: int, size: int = RANGE, halo: int = HALO) -> DataFrame:
     """One row per range of every text longer than ``least``: its boundary table and its summary of breaks."""
     n = F.length(text_col)
-    longer = df.where(n > least).select(F.col(id_col).cast("long").alias("id"), n.alias("n"), F.col(text_col).alias("text"))
+    longer = df.select(F.col(id_col).cast("long").alias("id"), n.alias("n"), F.col(text_col).alias("text")).where(F.col("n") > least)
     parts = spread(longer).select("id", "n", "text", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / size).cast("int"))).alias("part"))
     begin = F.greatest(F.lit(0), F.col("part") * size - halo)
     cut = F.when(F.col("n") <= size, F.col("text")).otherwise(F.expr(f"substring(text, greatest(0, part * {size} - {halo}) + 1, {size + 2 * halo})"))
@@ -182,10 +205,28 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str, text_col: str
     caps = [(r.model_name, r.max_chars, max(0, r.overlap_chars or 0)) for r in rows if r.max_chars is not None and r.max_chars > 0]
     if not caps:
         return df.sparkSession.createDataFrame([], RESULT)
-    scanned = scan_ranges(df, id_col, text_col, min(m for _, m, _ in caps), size, halo)
-    one = F.struct("part", "at", "kind", "first", "last", "widest", "n")
-    single = scanned.where(F.col("n") <= size).select("id", F.array(one).alias("ranges"))  # nothing to stitch, no shuffle
-    several = scanned.where(F.col("n") > size).groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("ranges"))
+    least = min(m for _, m, _ in caps)
+    n = F.length(text_col)
+    whole = df.where((n > least) & (n <= size)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scanned = scan_ranges(df.where(n > size), id_col, text_col, least, size, halo)
+    several = scanned.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "at", "kind", "first", "last", "widest", "n"))).alias("ranges"))
+
+    def put(out: tuple[list, ...], i: int, n: int, at: array, kind: array, widest: int) -> None:
+        for name, most, overlap in caps:
+            if n > most:
+                starts, ends = cut_offsets(n, at, kind, most, overlap)
+                for column, value in zip(out, (i, name, "forced" if widest > most else "natural", starts, ends)):
+                    column.append(value)
+
+    def run_whole(columns: Iterator[list[list]]) -> Iterator[list[list]]:
+        """A text of one range: its table needs no stitching."""
+        for ids, texts in columns:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, text in zip(ids, texts):
+                at, kind = boundaries(text, 0, len(text), 0, False)
+                first, last, inner = widest_stretch(text, least)
+                put(out, i, len(text), at, kind, max(inner, first, len(text) - 1 - last))
+            yield list(out)
 
     def run(columns: Iterator[list[list]]) -> Iterator[list[list]]:
         for ids, tables in columns:
@@ -193,15 +234,10 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str, text_col: str
             for i, ranges in zip(ids, tables):
                 rows = [tuple(r[k] for k in ("part", "at", "kind", "first", "last", "widest", "n")) for r in ranges]
                 n = rows[0][-1]
-                at, kind, widest = stitched(rows, size)
-                for name, most, overlap in caps:
-                    if n > most:
-                        starts, ends = cut_offsets(n, at, kind, most, overlap)
-                        for column, value in zip(out, (i, name, "forced" if widest > most else "natural", starts, ends)):
-                            column.append(value)
+                put(out, i, n, *stitched(rows, size))
             yield list(out)
 
-    return map_batches(single, run, RESULT).unionByName(map_batches(several, run, RESULT))
+    return map_batches(spread(whole), run_whole, RESULT).unionByName(map_batches(several, run, RESULT))
 
 
 def _split(spark, sf_dir: str) -> DataFrame:

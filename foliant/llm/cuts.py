@@ -1,7 +1,7 @@
 """Text cut off by field limits or mid-transfer.
 
-A backward character n-gram model is counted over all texts: for the last 8 and 4 characters before a position (10 and
-6 behind a mark), how often a line ends there, a sentence mark or line end follows, or a word ends. Counts live in
+A backward character n-gram model is counted over all texts: for the last 8 and 4 characters before a position, how
+often a line ends there, a sentence mark or line end follows, or a word ends. Counts live in
 tables of fixed size, by hash, so the model has one size for any corpus. Each text's final context is then read from its
 end, the longest well-seen order counts, and the log-odds that a text stops there are held against a threshold per
 language and column
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliant.llm.common import checkpointed, spread, table
 
-#: log2 of the buckets of a table. Seven tables of four numbers a bucket make 117 MB, for any corpus.
+#: log2 of the buckets of a table. Six tables of four bytes a bucket make 25 MB, for any corpus.
 BITS = 20
 #: Characters counted at a time.
 BLOCK = 1_500_000
@@ -46,7 +46,9 @@ OPENERS = "“‘„«([{‹「『（［【《¿¡"
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Order of each table, whether it holds contexts that end with a mark or closer, and the hash it takes. Two hashes of
 #: an order are read as one: the table that saw the context less often is the one with fewer strangers in its bucket.
-TABLES = ((4, False, 0), (8, False, 0), (8, False, 1), (6, True, 0), (6, True, 1), (10, True, 0), (10, True, 1))
+TABLES = ((4, False, 0), (8, False, 0), (8, False, 1), (4, True, 0), (8, True, 0), (8, True, 1))
+#: Steps of the bytes that hold log2 of a count, and log-odds.
+COUNT_STEP, ODDS_STEP = 1 / 4, 1 / 7
 
 
 def _hashes(codes: np.ndarray) -> list[np.ndarray]:
@@ -64,7 +66,7 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
 
         h2 = joined(h1, h1, 1, 1)
         h4 = joined(h2, h2, 2, 2)
-        of = {4: h4, 8: joined(h4, h4, 4, 3), 6: joined(h4, h2, 4, 4), 10: joined(joined(h4, h4, 4, 3), h2, 8, 4)}
+        of = {4: h4, 8: joined(h4, h4, 4, 3)}
         return [((of[order] * m[1 + hashed]) >> np.uint64(64 - BITS)).astype(np.int64) for order, _, hashed in TABLES]
 
 
@@ -133,8 +135,8 @@ def count_contexts(df: DataFrame, text_col: str) -> DataFrame:
 class Model:
     """Log-odds of the three events for contexts, backed off to shorter ones where longer ones were hardly seen."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, bytes_of: np.ndarray, base: np.ndarray):
+        self.bytes_of, self.base = bytes_of, base
 
     def odds(self, tails: np.ndarray) -> np.ndarray:
         """(contexts, 3) log-odds; ``tails`` holds the last 12 code points of each context, 0 where there are none."""
@@ -143,30 +145,37 @@ class Model:
         out = np.zeros((len(tails), 3))
         for with_mark in (False, True):
             own = np.nonzero(marked == with_mark)[0]
-            first = next(k for k, t in enumerate(TABLES) if t[1] == with_mark)
-            total = self.counts[first].sum(axis=1, dtype=np.float64)
-            base = np.clip(total[1:] / max(1.0, total[0]), 1e-6, 1 - 1e-6)
-            p = np.repeat(base[None, :], len(own), axis=0)
+            p = np.repeat(self.base[int(with_mark)][None, :], len(own), axis=0)
             for order in sorted({t[0] for t in TABLES if t[1] == with_mark}):
-                seen = np.stack([self.counts[k][:, buckets[k][own, -1]] for k, t in enumerate(TABLES) if t[:2] == (order, with_mark)])
+                seen = np.stack([self.bytes_of[k][:, buckets[k][own, -1]] for k, t in enumerate(TABLES) if t[:2] == (order, with_mark)])
                 least = seen[:, 0].argmin(axis=0)
                 got = seen[least, :, np.arange(len(own))].astype(np.float64)
-                n, hits = got[:, :1], got[:, 1:]
-                shortest = order == TABLES[first][0]
-                p = np.where((n >= SEEN) | shortest, (hits + WEIGHT * base) / (n + WEIGHT), p)
+                often = got[:, :1] * COUNT_STEP >= math.log2(SEEN + 1)
+                p = np.where(often, got[:, 1:] * ODDS_STEP, p)
             out[own] = p
-        out = np.clip(out, 1e-7, 1 - 1e-7)
-        return np.log(out / (1 - out))
+        return out
 
 
-def train(df: DataFrame, text_col: str) -> np.ndarray:
-    """The model's counts. The driver gets at most len(TABLES) * 2**BITS rows, whatever the corpus."""
-    out = np.zeros((len(TABLES), 4, 1 << BITS), np.float32)
+def train(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The model: a byte for log2 of the count and one for each event's log-odds, and the log-odds over all contexts.
+
+    The driver gets at most len(TABLES) * 2**BITS rows, whatever the corpus.
+    """
+    counts = np.zeros((len(TABLES), 4, 1 << BITS), np.float32)
     for batch in count_contexts(df, text_col).toArrow().to_batches():
         bucket = batch["bucket"].to_numpy()
         for j, c in enumerate(("n", "line", "term", "word")):
-            out[bucket >> BITS, j, bucket & ((1 << BITS) - 1)] = batch[c].to_numpy()
-    return out
+            counts[bucket >> BITS, j, bucket & ((1 << BITS) - 1)] = batch[c].to_numpy()
+    out = np.zeros(counts.shape, np.int8)
+    base = np.zeros((2, 3))
+    for k, (_, with_mark, _) in enumerate(TABLES):
+        n, hits = counts[k, 0], counts[k, 1:]
+        rate = np.clip(hits.sum(axis=1, dtype=np.float64) / max(1.0, n.sum(dtype=np.float64)), 1e-6, 1 - 1e-6)
+        base[int(with_mark)] = np.log(rate / (1 - rate))
+        p = np.clip((hits + WEIGHT * rate[:, None]) / (n + WEIGHT), 1e-7, 1 - 1e-7)
+        out[k, 0] = np.minimum(127, np.round(np.log2(n + 1) / COUNT_STEP))
+        out[k, 1:] = np.clip(np.round(np.log(p / (1 - p)) / ODDS_STEP), -127, 127)
+    return out, base
 
 
 def _ornament(c: str) -> bool:
@@ -219,12 +228,12 @@ SCORED = T.StructType(
 )
 
 
-def score(df: DataFrame, counts: np.ndarray) -> DataFrame:
+def score(df: DataFrame, trained: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Rule, lengths and log-odds of every text with an end to judge. ``df``: id, text, lang, source, kind."""
-    model = df.sparkSession.sparkContext.broadcast(counts)  # of fixed size, see BITS
+    model = df.sparkSession.sparkContext.broadcast(trained)  # of fixed size, see BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(model.value)
+        own = Model(*model.value)
         for batch in batches:
             rows, tails = [], []
             for i, text, lang, source, kind in zip(*(c.to_pylist() for c in batch.columns)):

@@ -175,20 +175,40 @@ def _encode(text: str, charset: str) -> bytes | None:
         return None
 
 
+MULTI_BYTE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
 def _decode(raw: bytes, charset: str) -> str | None:
     try:
         return raw.decode(charset)
     except UnicodeDecodeError:
         if charset != "utf_8":
             return None
+        if not MULTI_BYTE.search(raw):
+            return None
         text = raw.decode(charset, "replace")  # a few characters may be lost
         return text if text.count("�") * 6 <= len(text) + 6 else None
 
 
-PATHS: list[tuple[str, str]] = [(r, "utf_8") for r in READ_AS] + [(r, w) for r in READ_AS for w in WRITTEN_IN if w != "utf_8" and r != w]
+@functools.cache
+def _chars_of(charset: str) -> frozenset[str]:
+    return frozenset(_bytes_of(charset))
+
+
+class Paths:
+    """Steps in the order to try them: the one that worked last stands first in its list."""
+
+    def __init__(self):
+        self.utf8 = [(r, "utf_8") for r in READ_AS]
+        self.other = [(r, w) for r in READ_AS for w in WRITTEN_IN if w != "utf_8" and r != w]
 
+    def worked(self, step: tuple[str, str]) -> None:
+        own = self.utf8 if step[1] == "utf_8" else self.other
+        own.remove(step)
+        own.insert(0, step)
 
-def search(start: str, paths: list[tuple[str, str]] = PATHS, depth: int = 3, budget: int = 400) -> tuple[str, float, float, bool]:
+
+def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple[str, float, float, bool]:
     """The cheapest text reachable from ``start``, its cost, the cost of the start, and whether UTF-8 explains it.
 
     ``budget`` bounds the texts looked at for one segment, not the segments or their length.
@@ -206,27 +226,33 @@ def search(start: str, paths: list[tuple[str, str]] = PATHS, depth: int = 3, bud
             seen.add(hash(plain))
             n += 1
             heapq.heappush(queue, (cost(plain) + 0.4, level + 1, n, plain))
+        chars = set(text)
         raws: dict[str, bytes | None] = {}
-        for k, (r, w) in enumerate(paths):
-            if r not in raws:
-                raws[r] = _encode(text, r)
-            raw = raws[r]
-            if raw is None:
-                continue
-            out = _decode(raw, w)
-            if out is None or hash(out) in seen:
-                continue
-            seen.add(hash(out))
-            n += 1
-            c, bad = judged(out)
-            sure = w == "utf_8" and "�" not in out
-            c += 0.4 * level + (0.0 if sure else 0.4)
-            if c < best_cost:
-                best, best_cost, proof = out, c, sure
-            heapq.heappush(queue, (c, level + 1, n, out))
-            if best is out and not bad and (sure or base_bad >= 3):
-                paths.insert(0, paths.pop(k))
-                return best, best_cost, base, proof
+        for steps in (paths.utf8, paths.other):
+            proven = False  # well-formed UTF-8 explains this text: no other reading of it is tried
+            for r, w in steps:
+                if r not in raws:
+                    raws[r] = _encode(text, r) if r in MULTI or chars <= _chars_of(r) else None
+                raw = raws[r]
+                if raw is None:
+                    continue
+                out = _decode(raw, w)
+                if out is None or hash(out) in seen:
+                    continue
+                seen.add(hash(out))
+                n += 1
+                c, bad = judged(out)
+                sure = w == "utf_8" and "�" not in out
+                proven |= sure and c < at
+                c += 0.4 * level + (0.0 if sure else 0.4)
+                if c < best_cost:
+                    best, best_cost, proof = out, c, sure
+                heapq.heappush(queue, (c, level + 1, n, out))
+                if best is out and not bad and (sure or base_bad >= 3):
+                    paths.worked((r, w))
+                    return best, best_cost, base, proof
+            if proven:
+                break
     return best, best_cost, base, proof
 
 
@@ -293,7 +319,7 @@ class Repair:
     def __init__(self, keep: int = 50_000):
         self.memo: dict[str, tuple[str, bool]] = {}
         self.keep = keep
-        self.paths = list(PATHS)  # the latest successful step stands first
+        self.paths = Paths()
 
     def segment(self, part: str) -> tuple[str, bool]:
         got = self.memo.get(part)

@@ -245,6 +245,8 @@ def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: in
     compound = f"{prev.lower().rstrip('.')}.{short}" if prev.endswith(".") and len(prev) <= 3 else ""
     if not head.strip() and re.fullmatch("[IVXLC]+", w) or prev.lower() in CHAPTER_WORDS and re.fullmatch("[IVXLC]+", w):
         return False
+    if compound in MAYBE and len(w) == 1 and a0.isupper():
+        return True
     if compound in TITLES or len(w) == 1 and len(after) == 2 and after[1] == "." and after[0].isalpha():
         return False
     if short == "sr":  # a title before a name, or "senior" behind one

@@ -208,14 +208,23 @@ class Paths:
         own.insert(0, step)
 
 
-def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple[str, float, float, bool]:
-    """The cheapest text reachable from ``start``, its cost, the cost of the start, and whether UTF-8 explains it.
+def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple[str, float, float, bool, list[tuple[str, str]]]:
+    """The cheapest text reachable from ``start``, its cost, the cost of the start, whether UTF-8 explains it, the steps.
 
     ``budget`` bounds the texts looked at for one segment, not the segments or their length.
     """
     base, base_bad = judged(start)
     best, best_cost, proof = start, base, False
     seen = {hash(start)}
+    came: dict[str, tuple[str, tuple[str, str]]] = {}
+
+    def steps_to(text: str) -> list[tuple[str, str]]:
+        out: list[tuple[str, str]] = []
+        while text in came:
+            text, step = came[text]
+            out.append(step)
+        return out[::-1]
+
     queue: list[tuple[float, int, int, str]] = [(base, 0, 0, start)]
     n = 0
     while queue and n < budget:
@@ -224,6 +233,7 @@ def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple
             continue
         if "&" in text and (plain := html.unescape(text)) != text and hash(plain) not in seen:
             seen.add(hash(plain))
+            came[plain] = (text, ("", "unescape"))
             n += 1
             heapq.heappush(queue, (cost(plain) + 0.4, level + 1, n, plain))
         chars = set(text)
@@ -240,6 +250,7 @@ def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple
                 if out is None or hash(out) in seen:
                     continue
                 seen.add(hash(out))
+                came[out] = (text, (r, w))
                 n += 1
                 c, bad = judged(out)
                 sure = w == "utf_8" and "�" not in out
@@ -250,10 +261,10 @@ def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple
                 heapq.heappush(queue, (c, level + 1, n, out))
                 if best is out and not bad and (sure or base_bad >= 3):
                     paths.worked((r, w))
-                    return best, best_cost, base, proof
+                    return best, best_cost, base, proof, steps_to(best)
             if proven:
                 break
-    return best, best_cost, base, proof
+    return best, best_cost, base, proof, steps_to(best)
 
 
 # Characters that plain text of these languages holds none of, or only in other surroundings.
@@ -318,18 +329,22 @@ class Repair:
 
     def __init__(self, keep: int = 50_000):
         self.memo: dict[str, tuple[str, bool]] = {}
+        self.steps: dict[str, list[tuple[str, str]]] = {}
         self.keep = keep
         self.paths = Paths()
 
     def segment(self, part: str) -> tuple[str, bool]:
         got = self.memo.get(part)
         if got is None:
-            best, after, before, proof = search(part, self.paths)
+            best, after, before, proof, steps = search(part, self.paths)
             ok = best != part and (proof and before - after >= 0.2 or before - after >= 1.5 and after <= 0.6 * before)
             got = (best, True) if ok else (part, False)
             if len(self.memo) >= self.keep:
                 self.memo.clear()
+                self.steps.clear()
             self.memo[part] = got
+            if ok:
+                self.steps[part] = steps
         return got
 
     def parts(self, text: str) -> list[tuple[str, str, bool]]:
@@ -374,6 +389,49 @@ class Repair:
         return "".join(f for _, f, _ in parts), damaged or any(d for _, _, d in parts)
 
 
+    def aligned(self, text: str) -> tuple[str, list[int]] | None:
+        """The restored text and, for each of its characters, where it ends in the stored one; None if nothing changes."""
+        if text.isascii() or not suspicious(text) or not suspicious(plain_letters(text)):
+            return None
+        out: list[str] = []
+        ends: list[int] = []
+        at, changed = 0, False
+        for stored, _, damaged in self.parts(text):
+            got = _ends(stored, self.steps.get(stored, [])) if damaged else None
+            if got is None:
+                out.append(text[at : at + len(stored)])
+                ends += range(at + 1, at + len(stored) + 1)
+            else:
+                out.append(got[0])
+                ends += (at + e for e in got[1])
+                changed = True
+            at += len(stored)
+        return ("".join(out), ends) if changed else None
+
+
+def _ends(stored: str, steps: list[tuple[str, str]]) -> tuple[str, list[int]] | None:
+    """The text after the steps, and the end in ``stored`` of each of its characters; None where characters were lost."""
+    text, ends = stored, list(range(1, len(stored) + 1))
+    for r, w in steps:
+        raw = _encode(text, r) if w != "unescape" else None
+        out = _decode(raw, w) if raw is not None else None
+        if out is None or "\ufffd" in out:
+            return None
+        owner: list[int] = []  # of each byte the end of its character
+        for c, e in zip(text, ends):
+            owner += [e] * (len(c.encode(r)) if r in MULTI else 1)
+        at, new = 0, []
+        for c in out:
+            at += len(c.encode(w))
+            if at > len(owner):
+                return None
+            new.append(owner[at - 1])
+        if at != len(raw):
+            return None
+        text, ends = out, new
+    return text, ends
+
+
 FIXED = T.StructType([T.StructField("chapter_id", T.LongType()), T.StructField("field", T.StringType()), T.StructField("restored", T.StringType())])
 
 

@@ -3,7 +3,8 @@
 Every line is cut into candidate gaps: a run of terminal marks with the closers behind it. Spaced scripts decide each
 gap on a terminator lattice (mark, token before, token after); scripts without spaces decide it on a dictionary word
 lattice built around the gap, from final particles and reporting verbs before it and opening words after it. Marks in a
-matched quotation or bracket are never gaps; the gap behind its closer decides.
+matched quotation or bracket are never gaps; the gap behind its closer decides. Stretches that were decoded wrongly are
+restored first, and the ends found are carried back to the text as stored.
 
 Null, empty and blank texts have no units. A text of any length is read whole, line by line. Repeated rows give
 repeated units; other columns of the input are ignored, whatever their names.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliant.llm.common import map_batches, spread
+from foliant.llm.encodings import TO_LATIN, Repair, plain_letters
 
 # Abbreviations that never close a sentence, a name or number follows.
 TITLES = set(
@@ -65,7 +67,7 @@ FINAL = "了 吗 吧 呢 啊 呀 么 か よ ね な ぞ わ さ".split()
 
 BREAKS = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-ODD = re.compile("[­͏؜᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿！-－／-～⼀-⿟̀-ͯ]")
+ODD = re.compile("[­͏؜᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿！-－／-～⼀-⿟̀-ͯﬀ-ﬆ]")
 GAP = re.compile(r"(?:[.!?…؟।॥。！？｡]|;(?=\s|$|[»”\"]))+[\"'”’»)\]}›」』）］】〉》〕｣]*|(?<=[”’»」』）)])(?=\S)")
 CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 THAI = re.compile("[฀-๿]")
@@ -74,6 +76,7 @@ TOKEN_BEFORE = re.compile(r"[^\s“”„«»‘(\[{\"—–]+$")
 TOKEN_AFTER = re.compile(r"[\s]*([^\s]+)")
 DASH_SPEECH = re.compile(r"(?:^|(?<=[.!?…»”]))\s*[—–]\s?[^—–\n]{1,160}?[.!?…,]?\s?[—–]\s?(?=[a-zà-öø-ÿа-яё])")
 QUOTE_MARKS = re.compile("[“”„«»‘’(\\[)\\]「」『』（）《》〈〉【】‹›｢｣\"]")
+BORROWED = frozenset(map(chr, TO_LATIN))
 WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 for _c in "！？（），：；［］":  # of their own meaning in text without spaces
     WIDE.pop(ord(_c), None)
@@ -91,6 +94,11 @@ def _view(line: str) -> tuple[str, list[int] | None]:
                 at[-1] = i
             continue
         o = ord(c)
+        if 0xFB00 <= o <= 0xFB06:
+            for x in unicodedata.normalize("NFKC", c):
+                out.append(x)
+                at.append(i)
+            continue
         out.append(chr(WIDE[o]) if o in WIDE else unicodedata.normalize("NFKC", c)[0] if 0x2F00 <= o <= 0x2FDF else c)
         at.append(i)
     return "".join(out), at
@@ -343,6 +351,19 @@ def unit_ends(text: str | None) -> list[int]:
     return ends
 
 
+def stored_unit_ends(text: str | None, repair: Repair) -> list[int]:
+    """Unit ends of a text as stored; stretches with a wrong encoding are read as what they were."""
+    if not text or text.isascii():
+        return unit_ends(text)
+    got = repair.aligned(text)
+    restored, ends = got or (text, None)
+    chars = set(restored)
+    if not chars.isdisjoint(BORROWED) and not chars.isdisjoint("aeiouAEIOU"):
+        restored = plain_letters(restored)  # letters of another script, one for one
+    found = unit_ends(restored)
+    return [ends[e - 1] for e in found] if ends else found
+
+
 ENDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("end_pos", T.LongType())])
 
 
@@ -350,11 +371,12 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, end_pos) of every sentence unit of every row. Null, empty and blank texts give no row."""
 
     def run(columns: Iterator[list[list]]) -> Iterator[list[list]]:
+        repair = Repair()
         for ids, texts in columns:
             out_id: list[int] = []
             out_end: list[int] = []
             for i, t in zip(ids, texts):
-                ends = unit_ends(t)
+                ends = stored_unit_ends(t, repair)
                 out_id += [i] * len(ends)
                 out_end += ends
             yield [out_id, out_end]

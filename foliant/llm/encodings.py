@@ -279,7 +279,7 @@ SUSPECT = re.compile(
     "|&#?\\w{2,8};"
 )
 RARE_HAN = re.compile("[㐀-䶿一-鿿]{2,}")
-LOST = re.compile(r"�|[a-zà-öø-ÿ]\?[a-zà-öø-ÿ]|(?:^|[\s“«(])\?[a-zà-öø-ÿ]{2}|[A-ZÀ-Þ]\?[A-ZÀ-Þ](?![a-zà-ÿ])|\b[A-ZÀ-Þ]\?[a-zà-ÿ]{2}|[А-Яа-яΑ-ω]\?[а-яα-ω]|\?{3,}[ ?]|\?\?\s\?\?|\b[A-Z]{3,}\?\s[A-Z]{2,}\b")
+LOST = re.compile(r"�|\A…[a-zà-öø-ÿ]{4,}\Z|[a-zà-öø-ÿ]\?[a-zà-öø-ÿ]|(?:^|[\s“«(])\?[a-zà-öø-ÿ]{2}|[A-ZÀ-Þ]\?[A-ZÀ-Þ](?![a-zà-ÿ])|\b[A-ZÀ-Þ]\?[a-zà-ÿ]{2}|[А-Яа-яΑ-ω]\?[а-яα-ω]|\?{3,}[ ?]|\?\?\s\?\?|\b[A-Z]{3,}\?\s[A-Z]{2,}\b")
 PART = re.compile(r"[^.!?。！？।\n]+[.!?。！？।\"”»’]*[ \t]*|[.!?。！？।]+[ \t]*|\n+")
 
 
@@ -305,7 +305,7 @@ GREEK_IN_LATIN = re.compile("[a-z][ΘΓΣΦΩδεφστπ]|[ΘΓΣΦΩδφ][a-z]
 _kind_common = functools.cache(_common_han)
 
 
-MIXED_WORD = re.compile("[A-Za-zÀ-ÿ]*(?:[A-Za-zÀ-ÿ][ЀаеорсухѕіјԁһАВЕЅІЈКМНОРСТХУοναιρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ]|[аеорсухѕіјԁһАВЕЅІЈКМНОРСТХУοναιρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ][A-Za-zÀ-ÿ])[A-Za-zÀ-ÿЀ-ӿͰ-Ͽ]*")
+MIXED_WORD = re.compile(r"\w*(?:[A-Za-zÀ-ÿ][Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][A-Za-zÀ-ÿ])\w*")
 TO_LATIN = {ord(a): b for k in ("Cyrillic", "Greek") for a, b in zip(ALIKE[k][::2], ALIKE[k][1::2])}
 TO_CYRILLIC = {ord(b): a for a, b in zip(ALIKE["Cyrillic"][::2], ALIKE["Cyrillic"][1::2]) if "а" <= a <= "я" or "А" <= a <= "Я"}
 
@@ -361,8 +361,7 @@ class Repair:
             pieces, any_part = [], False
             for part in PART.findall(line):
                 fixed, hit = self.segment(part) if suspicious(part) else (part, False)
-                runs = [part]
-                if not hit and fixed is part and len(runs := BY_SCRIPT.findall(part)) > 1 and suspicious(part):
+                if not hit and len(runs := BY_SCRIPT.findall(part)) > 1 and suspicious(part):
                     for run in runs:
                         fixed, hit = self.segment(run) if suspicious(run) else (run, False)
                         pieces.append((run, fixed, hit))
@@ -388,7 +387,6 @@ class Repair:
         parts = self.parts(text)
         return "".join(f for _, f, _ in parts), damaged or any(d for _, _, d in parts)
 
-
     def aligned(self, text: str) -> tuple[str, list[int]] | None:
         """The restored text and, for each of its characters, where it ends in the stored one; None if nothing changes."""
         if text.isascii() or not suspicious(text) or not suspicious(plain_letters(text)):

@@ -58,3 +58,18 @@ def test_operator(spark):
     got = sorted((r.chapter_id, r.field, r.restored) for r in repaired_fields(df, "chapter_id", ["content_text", "chapter_title"]).collect())
     assert [g[:2] for g in got] == [(1, "content_text"), (2, "chapter_title")] and got[0][2] == "déjà vu"
     assert repaired_fields(df.limit(0), "chapter_id", ["content_text", "chapter_title"]).count() == 0
+
+
+def test_the_same_text_gets_the_same_answer_again():
+    text = "没有人知道他在桥下。一句话也没说，他数着木箱；钟表匠烧掉了文件".replace("一句话也没说，他数着木箱；钟表匠", "一句话也没说，他数着木箱；钟表匠".encode().decode("latin-1"))
+    repair = Repair()
+    first = repair.field(text)
+    assert first[1] and all(repair.field(text) == first for _ in range(3))
+
+
+def test_ends_are_carried_back():
+    text = "„Niemals!“, rief der Müller. Dann ging er über die Brücke."
+    bad = text.encode().decode("latin-1")
+    restored, ends = Repair().aligned(bad)
+    assert restored == text and len(ends) == len(text) and ends[-1] == len(bad)
+    assert [bad[:e].encode("latin-1").decode() for e in ends] == [text[: i + 1] for i in range(len(text))]

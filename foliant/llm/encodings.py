@@ -325,13 +325,21 @@ def plain_letters(text: str) -> str:
 
 
 class Repair:
-    """Repairs fields one after the other and keeps the answers for segments seen before."""
+    """Repairs fields one after the other.
 
-    def __init__(self, keep: int = 50_000):
+    What one segment teaches about the steps helps the next segments of the same text only, so a text's answer depends
+    on nothing but the text. Answers for short texts are kept.
+    """
+
+    def __init__(self, keep: int = 50_000, short: int = 256):
+        self.keep, self.short = keep, short
+        self.kept: dict[str, tuple[str, bool]] = {}
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.paths = Paths()
         self.memo: dict[str, tuple[str, bool]] = {}
         self.steps: dict[str, list[tuple[str, str]]] = {}
-        self.keep = keep
-        self.paths = Paths()
 
     def segment(self, part: str) -> tuple[str, bool]:
         got = self.memo.get(part)
@@ -339,9 +347,6 @@ class Repair:
             best, after, before, proof, steps = search(part, self.paths)
             ok = best != part and (proof and before - after >= 0.2 or before - after >= 1.5 and after <= 0.6 * before)
             got = (best, True) if ok else (part, False)
-            if len(self.memo) >= self.keep:
-                self.memo.clear()
-                self.steps.clear()
             self.memo[part] = got
             if ok:
                 self.steps[part] = steps
@@ -349,6 +354,7 @@ class Repair:
 
     def parts(self, text: str) -> list[tuple[str, str, bool]]:
         """(stored, restored, damaged) for consecutive stretches of ``text``."""
+        self._fresh()
         out: list[tuple[str, str, bool]] = []
         for line in re.split(r"(\n+)", plain_letters(text)):
             if not line or not suspicious(line):
@@ -384,8 +390,15 @@ class Repair:
         damaged = LOST.search(text) is not None
         if not suspicious(text) or not suspicious(plain_letters(text)):
             return text, damaged
+        if text in self.kept:
+            return self.kept[text]
         parts = self.parts(text)
-        return "".join(f for _, f, _ in parts), damaged or any(d for _, _, d in parts)
+        got = "".join(f for _, f, _ in parts), damaged or any(d for _, _, d in parts)
+        if len(text) <= self.short:
+            if len(self.kept) >= self.keep:
+                self.kept.clear()
+            self.kept[text] = got
+        return got
 
     def aligned(self, text: str) -> tuple[str, list[int]] | None:
         """The restored text and, for each of its characters, where it ends in the stored one; None if nothing changes."""

@@ -68,7 +68,9 @@ FINAL = "了 吗 吧 呢 啊 呀 么 か よ ね な ぞ わ さ".split()
 BREAKS = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
 ODD = re.compile("[­͏؜᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿！-－／-～⼀-⿟̀-ͯﬀ-ﬆ]")
-GAP = re.compile(r"(?:[.!?…؟।॥。！？｡]|;(?=\s|$|[»”\"]))+[\"'”’»)\]}›」』）］】〉》〕｣]*|(?<=[”’»」』）)])(?=\S)")
+GAP = re.compile(r"(?:[.!?…؟।॥。！？｡]|;(?=\s|$|[»”\"]))+[\"'”’»)\]}›」』）］】〉》〕｣]*")
+# What may close a quotation, and what may stand before that at the end of a sentence.
+CLOSING, TERMINAL = CLOSERS + "“", ".!?…؟।॥;。！？｡"
 CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 THAI = re.compile("[฀-๿]")
 GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
@@ -163,8 +165,8 @@ def _spaceless(line: str, start: int, mark: str, end: int, opener: int | None) -
         return False
     if closer in "）)":
         return not before
-    inside = line[end - 2] if end >= 2 else ""
-    terminal = inside in "。！？｡!?….،"
+    inside = line[:end].rstrip(CLOSING)[-1:]
+    terminal = inside != "" and inside in "。！？｡!?….،"
     follow = STOPS.split(rest, maxsplit=1)[0]
     if closer in "」』":
         if _lattice(rest, JA_AFTER, False):
@@ -195,12 +197,12 @@ def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: in
     glued = nxt.start(1) == end
     a0 = after[0]
     if opener is not None:  # behind a quotation or bracket
-        inside = line[end - 2] if end >= 2 else ""
+        inside = line[:end].rstrip(CLOSING + " \xa0\u202f")[-1:]
         if a0 in ",;:—–-.…!?" and not (a0 in "—–" and not line[nxt.start(1) + 1 :].lstrip()[:1].islower()):
             return False
         if line[end - 1] in ")]}" and line[start:opener].strip():
             return False
-        if inside not in ".!?…؟।;。！？" :
+        if not inside or inside not in TERMINAL:
             return False
         if a0.islower() or a0.isdigit() and line[start:opener].strip():
             return False
@@ -296,38 +298,28 @@ def _line(raw: str, base: int, ends: list[int]) -> None:
     n_cjk = len(CJK.findall(body))
     spaceless = n_cjk * 4 > len(body)
     greek = ";" in body and len(GREEK.findall(body)) * 3 > len(body)
-    start, k, last = 0, 0, 0
     put = lambda e: ends.append(base + (at[e - 1] if at else e - 1) + 1)
+    gaps: list[tuple[int, int, str, int | None]] = []  # end, beginning of the mark, mark, opener of the closer before the gap
+    k = 0
     for m in GAP.finditer(body):
         i, e = m.span()
-        mark = m.group().rstrip(CLOSERS) or ""
         while k < len(spans) and spans[k][1] <= i:
             k += 1
-        opener = None
-        if e > i and k < len(spans) and spans[k][0] <= i < spans[k][1]:
-            a, b = spans[k]
-            if e < b:
-                continue
-            opener, e = a, b
-            if body[b - 1 : b] not in CLOSERS:
-                continue
-        elif e == i:
-            if not (k and spans[k - 1][1] == i) and not any(b == i for _, b in spans[max(0, k - 2) : k + 1]):
-                continue
-            continue_at = next(((a, b) for a, b in spans if b == i), None)
-            if continue_at is None or e <= last:
-                continue
-            opener = continue_at[0]
-            if body[i - 1] not in CLOSERS or body[i - 2 : i - 1] not in ".!?…؟।;。！？｡":
-                continue
-        elif mark and e > i + len(mark):
-            opener = start  # closers without a known opener
-            if body[e - 1] in "'’" and not mark:
-                opener = None
+        if any(x <= i < y for x, y in spans[k : k + 3]):
+            continue  # a mark inside a quotation or bracket
+        gaps.append((e, i, m.group().rstrip(CLOSERS), None))
+    for x, y in spans:
+        inner = body[x + 1 : y - 1].rstrip()[-1:]
+        if body[y - 1] in CLOSING and inner and inner in TERMINAL and not any(x2 < x and y < y2 for x2, y2 in spans):
+            gaps.append((y, y, "", x))
+    gaps.sort(key=lambda g: g[0])
+    start = last = 0
+    for e, i, mark, opener in gaps:
         if e <= last:
             continue
-        cjk_after = CJK.match(body, e) is not None
-        cjk_side = spaceless and (cjk_after or CJK.match(body[i - 1 : i]) is not None or (opener is not None and body[e - 1] in "”」』》）"))
+        if mark and e > i + len(mark):
+            opener = start  # closers without a known opener
+        cjk_side = spaceless and (CJK.match(body, e) is not None or CJK.match(body[i - 1 : i]) is not None or (opener is not None and body[e - 1] in "”」』》）"))
         if mark and mark[0] == "." and spaceless and opener is None and len(mark) == 1:
             continue  # a decimal or an initial
         if _spaceless(body, start, mark, e, opener) if cjk_side else _spaced(body, start, mark, i, e, opener, greek):

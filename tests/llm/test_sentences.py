@@ -22,6 +22,8 @@ MARKED = [
     "没有人知道。|“走吧！”船夫喊道。|船夫问：“钥匙在哪里？”|他沉默了……然后走了。|第3页写着“为什么？”三个字。|《为什么？》卖了3本。|（灯还热。）|A. 王先生来了。|",
     "誰が直した？|「行こう！」船頭は叫んだ。|「鍵はどこですか。」と彼は言った。|劇団「夜。」の公演は3回続いた。|『手紙』を読んだ。|",
     "คนแจวเรือนับลังไม้|  ดร.สมิทธ์เดินไป3.26กิโลเมตร|",
+    "„Dr. Roth ist da.“| „Wo ist der Schlüssel?“, fragte er.| „Die Flut kommt.“| Das Blatt „Warum nicht?“ erschien.|",
+    "« La marée est en retard. »| Pourquoi vint-il ?| (Or did he?)| «La Dra. Luz ha llegado.»| ¿Por qué?|",
     "Heading|\n\nFirst line.| Second|\nThird.|",
     "Fim.|O dia veio.|",
 ]

@@ -7,13 +7,14 @@ from pyspark.sql import Column, functions as F
 # White space as a character class that Java, RE2 and Python read alike.
 WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = rf"[{WS}]"
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Splits behind a terminal mark with white space after it, and at line breaks.
 SEGMENT = rf"(?<=[.!?]){BLANK}+|\n+"
 
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def normalize_ws(x: Column) -> Column:
@@ -22,7 +23,7 @@ def normalize_ws(x: Column) -> Column:
 
 def word_count(x: Column) -> Column:
     """Number of tokens between white space; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(x, rf"{BLANK}+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(x, F.lit(rf"[^{WS}]+")), F.lit(0)).cast("long")
 
 
 def segments(x: Column) -> Column:

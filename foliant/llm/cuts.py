@@ -30,7 +30,7 @@ BLOCK = 1_500_000
 #: The longest order whose context was seen so often is the one that counts; the weight of the overall rate in it.
 SEEN, WEIGHT = 60, 5.0
 #: A text stops implausibly if its odds are so many nats below what is usual in its language and column.
-NATS_LINE, NATS_TERM, NATS_WORD = 4.0, 4.2, 3.5
+NATS_LINE, NATS_TERM, NATS_WORD = 4.0, 4.2, 4.5
 #: A length of a source is a limit if it holds at least so many of its texts and this share of them.
 PILE, PILE_SHARE = 4, 0.006
 
@@ -90,6 +90,8 @@ def count_contexts(df: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term, word, thai, marked = _kinds()
+        spaced_mark = np.zeros(0x10001, bool)
+        spaced_mark[[*map(ord, "?!»")]] = True
         size = 1 << BITS
         sums = np.zeros((len(TABLES), 4, size), np.int32)
 
@@ -98,12 +100,14 @@ def count_contexts(df: DataFrame, text_col: str) -> DataFrame:
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             codes = np.minimum(codes, 0x10000)
             here, then = codes[:-1], codes[1:]
+            beyond = np.append(then[1:], np.uint32(0))
+            spaced = ((then == 32) | (then == 0xA0) | (then == 0x202F)) & spaced_mark[beyond]  # French marks stand off
             keep = (here != 0) & (then != 0)  # a text's own end is no evidence
             buckets = _hashes(codes)
             for with_mark in (False, True):
                 at = np.nonzero(keep & (marked[here] == with_mark))[0]
                 after, cur = then[at], here[at]
-                events = [after == 10, term[after] | thai[cur] & (after == 32), word[cur] & ~word[after]]
+                events = [after == 10, term[after] | spaced[at] | thai[cur] & (after == 32), word[cur] & ~word[after]]
                 for k, (_, of_mark, _) in enumerate(TABLES):
                     if of_mark == with_mark:
                         h = buckets[k][at]
@@ -201,14 +205,15 @@ def ending(text: str, kind: str | None) -> tuple[str, str] | None:
             return "cut", before
         return ("dots", before) if before else None
     if LIST_LINE.match(last):
-        return ("list" if body[-1].isalnum() else "list_end"), body
+        return ("list" if body[-1].isalpha() and body[-1].lower() != body[-1].upper() else "list_end"), body
     c = body[-1]
     if c in TERMINATORS:
         return "mark", body
     if c == ";" and re.search("[Ͱ-Ͽ]", body[-12:]):
         return "mark", body
     if c in CLOSERS and not (c == "“" and "„" not in body[-200:]) and not (c in "’'" and body[-2:-1].isalnum() and kind != "verse"):
-        return "closer" if body[-2:-1] in TERMINATORS or body[-2:-1] in CLOSERS else "bare_closer", body
+        inner = body[:-1].rstrip()[-1:]
+        return "closer" if inner and inner in TERMINATORS + CLOSERS else "bare_closer", body
     if kind == "letter" and last == paragraph and SIGNATURE.match(last) or SIGNATURE.match(last) and last == paragraph and last in ("The End", "Fin", "Ende"):
         return "signature", body
     if c in ",،、，:：—–-(" or c in OPENERS:

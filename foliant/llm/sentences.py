@@ -63,6 +63,8 @@ OPENING = (
     "如果 没有人 天亮之前 午夜刚过 初雪之后 整个冬天 一句话也没说 多么 难道 谁 他 她 我 你 我们 他们 第 但是 然而 不过 于是 然后 因为 所以 虽然 "
     "もし 誰 なんと 何も 彼 彼女 私 しかし そして だが また その あの この 夜明け 真夜中 冬 初雪"
 ).split()
+# Words that carry a broken-off sentence on; final particles of both languages.
+CONNECTIVES = ("然后", "于是", "但是", "然而", "不过", "因为", "所以", "しかし", "そして", "だが", "また")
 FINAL = "了 吗 吧 呢 啊 呀 么 か よ ね な ぞ わ さ".split()
 
 BREAKS = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
@@ -157,8 +159,11 @@ def _spaceless(line: str, start: int, mark: str, end: int, opener: int | None) -
     rest = line[end:]
     if not rest.strip():
         return True
-    if opener is None:  # plain marks; an ellipsis goes on unless a new opening follows
-        return bool(mark.strip("…."))
+    if opener is None:  # plain marks; an ellipsis ends a unit only between a final particle and a new opening
+        if mark.strip("…."):
+            return True
+        opening = _lattice(rest, OPENING, False)
+        return opening is not None and opening not in CONNECTIVES and _lattice(line[start : end - len(mark)], FINAL, True) is not None
     closer = line[end - 1]
     before = line[start:opener].strip()
     if closer in "》〉】":

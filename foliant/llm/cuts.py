@@ -31,6 +31,9 @@ BLOCK = 1_500_000
 SEEN, WEIGHT = 60, 5.0
 #: A text stops implausibly if its odds are so many nats below what is usual in its language and column.
 NATS_LINE, NATS_TERM, NATS_WORD = 4.0, 4.2, 4.5
+#: The share of ends inside texts that may lie lower than the threshold taken from them plus NATS_BELOW; how many of
+#: them a language needs for a threshold of its own.
+RARE, NATS_BELOW, LEAST = 0.05, 1.0, 20
 #: A length of a source is a limit if it holds at least so many of its texts and this share of them.
 PILE, PILE_SHARE = 4, 0.006
 
@@ -229,12 +232,29 @@ def ending(text: str, kind: str | None) -> tuple[str, str] | None:
 
 
 SCORED = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("n_chars", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("line", T.FloatType()), T.StructField("term", T.FloatType()), T.StructField("word", T.FloatType())]
+    [T.StructField("id", T.LongType()), T.StructField("inner", T.BooleanType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("n_chars", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("line", T.FloatType()), T.StructField("term", T.FloatType()), T.StructField("word", T.FloatType())]
 )
 
 
+KINDS = (pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+
+
+def endings(text: str, kind: str | None) -> Iterator[tuple[bool, str, str]]:
+    """(inner, rule, text before) of the text's end and of the end of the line before its last, where a line did end.
+
+    Lines that end with a mark are left out inside, lists aside.
+    """
+    if got := ending(text, kind):
+        yield False, *got
+        at = text.rfind("\n", 0, len(text.rstrip()))
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        if at > 0 and (text[at - 1] not in TERMINATORS + CLOSERS or LIST_LINE.match(text[text.rfind("\n", 0, at) + 1 : at])) and (got := ending(text[:at], kind)):
+            yield True, *got
+
+
 def score(df: DataFrame, trained: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rule, lengths and log-odds of every text with an end to judge. ``df``: id, text, lang, source, kind."""
+    """Rule, lengths and log-odds of every text's ends, see ``endings``. ``df``: id, text, lang, source, kind."""
     model = df.sparkSession.sparkContext.broadcast(trained)  # of fixed size, see BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,14 +262,12 @@ def score(df: DataFrame, trained: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         for batch in batches:
             rows, tails = [], []
             for i, text, lang, source, kind in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text or not (got := ending(text, kind)):
-                    continue
-                rule, body = got
-                tail = [min(ord(c), 0x10000) for c in body[-12:]]
-                tails.append([0] * (12 - len(tail)) + tail)
-                rows.append((i, source, (lang or "").strip().lower()[:2], rule, len(text), len(text.encode("utf-8", "surrogatepass"))))
+                for inner, rule, body in endings(text or "", kind):
+                    tail = [min(ord(c), 0x10000) for c in body[-12:]]
+                    tails.append([0] * (12 - len(tail)) + tail)
+                    rows.append((i, inner, source, (lang or "").strip().lower()[:2], rule, len(text), len(text.encode("utf-8", "surrogatepass"))))
             odds = own.odds(np.array(tails, np.uint32).reshape(-1, 12))
-            columns = [pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()))] if rows else [pa.array([], f) for f in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())]
+            columns = [pa.array(list(c), f) for c, f in zip(zip(*rows), KINDS)] if rows else [pa.array([], f) for f in KINDS]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(odds[:, j].astype(np.float32)) for j in range(3)], names=SCORED.names)
 
     return df.mapInArrow(run, SCORED)
@@ -263,16 +281,26 @@ def limits_of(scored: DataFrame) -> DataFrame:
     return counted.where(F.col("n") >= PILE).join(totals, "source").where(F.col("n") >= PILE_SHARE * F.col("total")).select("source", "unit", "length")
 
 
+def least_odds(both: DataFrame, rules: list[str], column: str, name: str) -> DataFrame:
+    """(lang, name): what ``column`` rarely falls below where lines that end like ``rules`` inside texts did end, less
+    NATS_BELOW. Languages with fewer than LEAST such lines take it from all languages."""
+    inner, rare = both.where(F.col("inner") & F.col("rule").isin(rules)), F.percentile_approx(column, RARE) - NATS_BELOW
+    own = inner.groupBy("lang").agg(rare.alias("own"), F.count("*").alias("n"))
+    overall = inner.agg(rare.alias("overall"))
+    return both.select("lang").distinct().join(own, "lang", "left").crossJoin(overall).select("lang", F.when(F.col("n") >= LEAST, F.col("own")).otherwise(F.col("overall")).alias(name))
+
+
 def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", kind_col: str = "doc_kind") -> DataFrame:
     """(id, source, cut) of every text with an end to judge."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(kind_col).alias("kind")).where("text IS NOT NULL")
     slim = spread(slim)
-    scored = checkpointed(score(slim, train(slim, "text")))
+    both = checkpointed(score(slim, train(slim, "text")))
+    scored = both.where("NOT inner")
     usual = scored.where("rule = 'mark'").groupBy("lang").agg(F.percentile_approx("line", 0.5).alias("usual_line"))
     piles = limits_of(scored)
     chars = piles.where("unit = 'chars'").select(F.col("source").alias("s1"), F.col("length").alias("n_chars"), F.lit(True).alias("at_chars"))
     nbytes = piles.where("unit = 'bytes'").select(F.col("source").alias("s2"), F.col("length").alias("n_bytes"), F.lit(True).alias("at_bytes"))
-    x = scored.join(usual, "lang", "left")
+    x = scored.join(usual, "lang", "left").join(least_odds(both, ["list_end"], "line", "least_list"), "lang", "left")
     x = x.join(chars, (x["source"] == chars["s1"]) & (x["n_chars"] == chars["n_chars"]), "left").drop(chars["n_chars"])
     x = x.join(nbytes, (x["source"] == nbytes["s2"]) & (x["n_bytes"] == nbytes["n_bytes"]), "left").drop(nbytes["n_bytes"])
     usual_line = F.coalesce(F.col("usual_line"), F.lit(math.log(0.15)))
@@ -284,7 +312,7 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         .when(F.col("rule").isin("mark", "closer"), odd_line)
         .when(F.col("rule") == "verse", F.col("term") < -NATS_TERM - 1.0)
         .when(F.col("rule") == "list", F.col("word") < -NATS_WORD)
-        .when(F.col("rule") == "list_end", False)
+        .when(F.col("rule") == "list_end", F.col("line") < F.coalesce(F.col("least_list"), usual_line - NATS_LINE))
         .when(F.col("rule") == "signature", F.col("word") < -NATS_WORD)
         .when(F.col("rule") == "heading", F.col("line") < 0.0)
         .otherwise(True)

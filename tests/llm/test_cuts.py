@@ -46,3 +46,13 @@ def test_endings_on_purpose(judged):
 
 def test_empty_table(spark):
     assert C.cut_texts(spark.createDataFrame([], "doc_id long, text string, lang string, source string, doc_kind string")).count() == 0
+
+
+def test_lists_without_case(spark):
+    rng = random.Random(3)
+    schema = "doc_id long, text string, lang string, source string, doc_kind string"
+    item = {"zh": lambda: f"第{rng.randint(1, 9)}章　灯塔", "en": lambda: f"Chapter {rng.randint(10, 60)} of 60"}
+    cut = {"zh": lambda: f"第{rng.randint(1, 9)}章　灯", "en": lambda: f"Chapter {rng.randint(10, 60)} of 6"}
+    rows = [Row(doc_id=i, text="\n".join(f"- {item[lang]()}" for _ in range(6)) + "\n- " + (cut if i % 10 == 0 else item)[lang](), lang=lang, source="s", doc_kind="show_notes") for i in range(600) for lang in [["zh", "en"][i % 4 // 2]]]
+    got = {r.id: r.cut for r in C.cut_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {i: i % 10 == 0 for i in range(600)}

@@ -1,8 +1,9 @@
 """Text cut off by field limits or mid-transfer.
 
-A backward character n-gram model is counted over all texts: for the last 8 and 4 characters before a position, how
-often a line ends there, a sentence mark or line end follows, or a word ends. Counts live in
-tables of fixed size, by hash, so the model has one size for any corpus. Each text's final context is then read from its
+A backward character n-gram model is counted over all texts: for the last 8, 4 and 2 characters before a position (10,
+8, 6 and 4 behind a mark), how often a line ends there, a sentence mark or line end follows, or a word ends. Only
+contexts that occur at an end to judge are counted, and those exactly, by a hash of 61 bits: a bitmap of them, of at most
+32 MB, keeps most others back, and a join drops the rest. Each text's final context is then read from its
 end, the longest well-seen order counts, and the log-odds that a text stops there are held against a threshold per
 language and column
 that comes from the texts which end with a mark. Layout (verse, lists, signatures, headings) decides which of the
@@ -23,8 +24,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from foliant.llm.common import checkpointed, spread, table
 
-#: log2 of the buckets of a table. Six tables of four bytes a bucket make 25 MB, for any corpus.
-BITS = 20
+#: Bits of the bitmap a context to count, and log2 of the least and most bits. Its size decides how many rows are
+#: shuffled, not what is counted.
+ROOM, BITS = 16, (16, 28)
+#: log2 of the bits that one task sets.
+CHUNK = 20
 #: Characters counted at a time.
 BLOCK = 1_500_000
 #: The longest order whose context was seen so often is the one that counts; the weight of the overall rate in it.
@@ -47,15 +51,12 @@ SIGNATURE = re.compile(r"^(?:[—–-]\s*\w[\w .'-]*|(?:Yours|Love|Best|Sincerel
 OPENERS = "“‘„«([{‹「『（［【《¿¡"
 
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Order of each table, whether it holds contexts that end with a mark or closer, and the hash it takes. Two hashes of
-#: an order are read as one: the table that saw the context less often is the one with fewer strangers in its bucket.
-TABLES = ((4, False, 0), (8, False, 0), (8, False, 1), (4, True, 0), (8, True, 0), (8, True, 1))
-#: Steps of the bytes that hold log2 of a count, and log-odds.
-COUNT_STEP, ODDS_STEP = 1 / 4, 1 / 7
+#: Orders of the contexts that don't end with a mark or closer, and of those that do.
+ORDERS = ((2, 4, 8), (4, 6, 8, 10))
 
 
-def _hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """For every position the bucket in each table of the context that ends there."""
+def _hashes(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """For each order the hash, its low three bits clear, of the context that ends at each position."""
     m = [np.uint64(x) for x in MULT]
     with np.errstate(over="ignore"):
         h1 = (codes.astype(np.uint64) + np.uint64(7)) * m[0]
@@ -69,8 +70,9 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
 
         h2 = joined(h1, h1, 1, 1)
         h4 = joined(h2, h2, 2, 2)
-        of = {4: h4, 8: joined(h4, h4, 4, 3)}
-        return [((of[order] * m[1 + hashed]) >> np.uint64(64 - BITS)).astype(np.int64) for order, _, hashed in TABLES]
+        h8 = joined(h4, h4, 4, 3)
+        of = {2: h2, 4: h4, 6: joined(h4, h2, 4, 4), 8: h8, 10: joined(h8, h2, 8, 4)}
+        return {order: (h * m[1]) & ~np.uint64(7) for order, h in of.items()}
 
 
 def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,20 +87,51 @@ def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return term, word, thai, marked
 
 
-COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("bucket", "n", "line", "term", "word")])
+COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "line", "term", "word")])
 
 
-def count_contexts(df: DataFrame, text_col: str) -> DataFrame:
-    """Summed counts by bucket (table * 2**BITS + hash): seen, line end next, sentence mark or line end next, word end next."""
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap, by the high bits of ``key``, of the distinct keys; each task sets 2**CHUNK bits of it."""
+    bits = min(max(BITS[0], math.ceil(math.log2(ROOM * max(1, keys.count())))), BITS[1])
+    slots = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("slot")).distinct()
+
+    def packed(part: pa.Table) -> pa.Table:
+        own = np.zeros(1 << min(bits, CHUNK), bool)
+        own[part["slot"].to_numpy() & (len(own) - 1)] = True
+        return pa.table({"chunk": part["chunk"][:1], "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    step = 1 << min(bits, CHUNK) >> 3
+    for row in slots.withColumn("chunk", F.shiftright("slot", CHUNK)).groupBy("chunk").applyInArrow(packed, "chunk long, bits binary").toLocalIterator():
+        out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def count_contexts(df: DataFrame, text_col: str, bitmap: np.ndarray) -> DataFrame:
+    """Summed counts by key: seen, line end next, sentence mark or line end next, word end next. Keys 0 and 1 hold the
+    sums over all contexts without and with a mark; keys that the bitmap doesn't have are left out."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term, word, thai, marked = _kinds()
         spaced_mark = np.zeros(0x10001, bool)
         spaced_mark[[*map(ord, "?!»")]] = True
-        size = 1 << BITS
-        sums = np.zeros((len(TABLES), 4, size), np.int32)
-
-        def add(texts: list[str]) -> None:
+        wanted = np.unpackbits(shared.value).view(bool)
+        high = np.uint64(64 - (len(wanted).bit_length() - 1))
+        events_of = np.array([[1, e & 1, e >> 1 & 1, e >> 2] for e in range(8)], np.int64)
+
+        def rows(coded: np.ndarray) -> pa.RecordBatch:
+            """``coded``: keys with their events in the low three bits."""
+            each, n = np.unique(coded, return_counts=True)
+            key = each & ~np.uint64(7)
+            first = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+            sums = np.add.reduceat(n[:, None] * events_of[(each & np.uint64(7)).astype(np.int64)], first, axis=0)
+            return batch(key[first].view(np.int64), sums)
+
+        def batch(key: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(sums[:, j].copy()) for j in range(4))], names=COUNTS.names)
+
+        def counted(texts: list[str]) -> Iterator[pa.RecordBatch]:
             joined = "\0" * 12 + ("\0" * 12).join(texts) + "\0"
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             codes = np.minimum(codes, 0x10000)
@@ -106,83 +139,54 @@ def count_contexts(df: DataFrame, text_col: str) -> DataFrame:
             beyond = np.append(then[1:], np.uint32(0))
             spaced = ((then == 32) | (then == 0xA0) | (then == 0x202F)) & spaced_mark[beyond]  # French marks stand off
             keep = (here != 0) & (then != 0)  # a text's own end is no evidence
-            buckets = _hashes(codes)
-            for with_mark in (False, True):
-                at = np.nonzero(keep & (marked[here] == with_mark))[0]
+            hashes = _hashes(codes)
+            for with_mark, orders in enumerate(ORDERS):
+                at = np.nonzero(keep & (marked[here] == bool(with_mark)))[0]
+                if not len(at):
+                    continue
                 after, cur = then[at], here[at]
-                events = [after == 10, term[after] | spaced[at] | thai[cur] & (after == 32), word[cur] & ~word[after]]
-                for k, (_, of_mark, _) in enumerate(TABLES):
-                    if of_mark == with_mark:
-                        h = buckets[k][at]
-                        sums[k, 0] += np.bincount(h, minlength=size).astype(np.int32)
-                        for j, event in enumerate(events):
-                            sums[k, j + 1] += np.bincount(h[event], minlength=size).astype(np.int32)
+                event = ((after == 10) + 2 * (term[after] | spaced[at] | thai[cur] & (after == 32)) + 4 * (word[cur] & ~word[after])).astype(np.uint64)
+                yield batch(np.array([with_mark]), (np.bincount(event.astype(np.int64), minlength=8) @ events_of)[None, :])
+                for order in orders:
+                    h = hashes[order][at]
+                    hit = wanted[h >> high]
+                    if hit.any():
+                        yield rows(h[hit] | event[hit])
 
         held, chars = [], 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
+        for part in batches:
+            for t in part.column(0).to_pylist():
                 if t:
                     held.append(t)
                     chars += len(t)
                     if chars >= BLOCK:
-                        add(held)
+                        yield from counted(held)
                         held, chars = [], 0
         if held:
-            add(held)
-        for k in range(len(TABLES)):
-            at = np.nonzero(sums[k, 0])[0]
-            for a in range(0, len(at), 100_000):
-                part = at[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part + k * size), *(pa.array(sums[k, j][part].astype(np.int64)) for j in range(4))], names=COUNTS.names)
+            yield from counted(held)
 
     found = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(run, COUNTS)
-    return found.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "line", "term", "word")))
+    return found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "line", "term", "word")))
 
 
-class Model:
-    """Log-odds of the three events for contexts, backed off to shorter ones where longer ones were hardly seen."""
+EVENTS = ("line", "term", "word")
 
-    def __init__(self, bytes_of: np.ndarray, base: np.ndarray):
-        self.bytes_of, self.base = bytes_of, base
 
-    def odds(self, tails: np.ndarray) -> np.ndarray:
-        """(contexts, 3) log-odds; ``tails`` holds the last 12 code points of each context, 0 where there are none."""
-        marked = _kinds()[3][tails[:, -1]] if len(tails) else np.zeros(0, bool)
-        buckets = _hashes(tails)
-        out = np.zeros((len(tails), 3))
-        for with_mark in (False, True):
-            own = np.nonzero(marked == with_mark)[0]
-            p = np.repeat(self.base[int(with_mark)][None, :], len(own), axis=0)
-            for order in sorted({t[0] for t in TABLES if t[1] == with_mark}):
-                seen = np.stack([self.bytes_of[k][:, buckets[k][own, -1]] for k, t in enumerate(TABLES) if t[:2] == (order, with_mark)])
-                least = seen[:, 0].argmin(axis=0)
-                got = seen[least, :, np.arange(len(own))].astype(np.float64)
-                often = got[:, :1] * COUNT_STEP >= math.log2(SEEN + 1)
-                p = np.where(often, got[:, 1:] * ODDS_STEP, p)
-            out[own] = p
-        return out
+def with_odds(ends: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """``ends`` (with ``marked`` and ``keys``, shortest order first) with the log-odds of the three events at each: of
+    the longest order seen SEEN times, else over all contexts."""
+    tails = ends.select(F.element_at("keys", -1).alias("longest"), F.posexplode("keys").alias("pos", "key")).distinct()
+    counts = checkpointed(count_contexts(df, text_col, bitmap_of(tails.select("key").distinct())))
+    overall = {r.key: r for r in counts.where("key IN (0, 1)").collect()}
+    rate = [{c: min(max((overall[k][c] if k in overall else 0) / (overall[k].n if k in overall else 1), 1e-6), 1 - 1e-6) for c in EVENTS} for k in (0, 1)]
 
+    def of(c: str):
+        return F.when(F.col("marked"), rate[1][c]).otherwise(rate[0][c])
 
-def train(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """The model: a byte for log2 of the count and one for each event's log-odds, and the log-odds over all contexts.
-
-    The driver gets at most len(TABLES) * 2**BITS rows, whatever the corpus.
-    """
-    counts = np.zeros((len(TABLES), 4, 1 << BITS), np.float32)
-    for batch in count_contexts(df, text_col).toArrow().to_batches():
-        bucket = batch["bucket"].to_numpy()
-        for j, c in enumerate(("n", "line", "term", "word")):
-            counts[bucket >> BITS, j, bucket & ((1 << BITS) - 1)] = batch[c].to_numpy()
-    out = np.zeros(counts.shape, np.int8)
-    base = np.zeros((2, 3))
-    for k, (_, with_mark, _) in enumerate(TABLES):
-        n, hits = counts[k, 0], counts[k, 1:]
-        rate = np.clip(hits.sum(axis=1, dtype=np.float64) / max(1.0, n.sum(dtype=np.float64)), 1e-6, 1 - 1e-6)
-        base[int(with_mark)] = np.log(rate / (1 - rate))
-        p = np.clip((hits + WEIGHT * rate[:, None]) / (n + WEIGHT), 1e-7, 1 - 1e-7)
-        out[k, 0] = np.minimum(127, np.round(np.log2(n + 1) / COUNT_STEP))
-        out[k, 1:] = np.clip(np.round(np.log(p / (1 - p)) / ODDS_STEP), -127, 127)
-    return out, base
+    best = tails.join(counts.where(F.col("n") >= SEEN), "key").groupBy("longest").agg(F.max(F.struct("pos", "n", *EVENTS)).alias("best"))
+    x = ends.withColumn("longest", F.element_at("keys", -1)).join(best, "longest", "left")
+    p = {c: F.least(F.greatest(F.coalesce((F.col(f"best.{c}") + WEIGHT * of(c)) / (F.col("best.n") + WEIGHT), of(c)), F.lit(1e-7)), F.lit(1 - 1e-7)) for c in EVENTS}
+    return x.select(*(c for c in ends.columns if c not in ("keys", "marked")), *(F.log(p[c] / (1 - p[c])).cast("float").alias(c) for c in EVENTS))
 
 
 def _ornament(c: str) -> bool:
@@ -231,8 +235,8 @@ def ending(text: str, kind: str | None) -> tuple[str, str] | None:
     return "open", body
 
 
-SCORED = T.StructType(
-    [T.StructField("id", T.LongType()), T.StructField("inner", T.BooleanType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("n_chars", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("line", T.FloatType()), T.StructField("term", T.FloatType()), T.StructField("word", T.FloatType())]
+ENDS = T.StructType(
+    [T.StructField("id", T.LongType()), T.StructField("inner", T.BooleanType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("n_chars", T.IntegerType()), T.StructField("n_bytes", T.IntegerType()), T.StructField("marked", T.BooleanType()), T.StructField("keys", T.ArrayType(T.LongType()))]
 )
 
 
@@ -253,12 +257,11 @@ def endings(text: str, kind: str | None) -> Iterator[tuple[bool, str, str]]:
             yield True, *got
 
 
-def score(df: DataFrame, trained: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rule, lengths and log-odds of every text's ends, see ``endings``. ``df``: id, text, lang, source, kind."""
-    model = df.sparkSession.sparkContext.broadcast(trained)  # of fixed size, see BITS
+def ends_of(df: DataFrame) -> DataFrame:
+    """Rule, lengths and keys of every text's ends, see ``endings``. ``df``: id, text, lang, source, kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*model.value)
+        marked_of = _kinds()[3]
         for batch in batches:
             rows, tails = [], []
             for i, text, lang, source, kind in zip(*(c.to_pylist() for c in batch.columns)):
@@ -266,11 +269,14 @@ def score(df: DataFrame, trained: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                     tail = [min(ord(c), 0x10000) for c in body[-12:]]
                     tails.append([0] * (12 - len(tail)) + tail)
                     rows.append((i, inner, source, (lang or "").strip().lower()[:2], rule, len(text), len(text.encode("utf-8", "surrogatepass"))))
-            odds = own.odds(np.array(tails, np.uint32).reshape(-1, 12))
-            columns = [pa.array(list(c), f) for c, f in zip(zip(*rows), KINDS)] if rows else [pa.array([], f) for f in KINDS]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(odds[:, j].astype(np.float32)) for j in range(3)], names=SCORED.names)
+            if not rows:
+                continue
+            codes = np.array(tails, np.uint32)
+            marked, hashes = marked_of[codes[:, -1]], {k: h[:, -1].view(np.int64).tolist() for k, h in _hashes(codes).items()}
+            keys = [[hashes[k][j] for k in ORDERS[x]] for j, x in enumerate(marked.tolist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), f) for c, f in zip(zip(*rows), KINDS)), pa.array(marked), pa.array(keys, pa.list_(pa.int64()))], names=ENDS.names)
 
-    return df.mapInArrow(run, SCORED)
+    return df.mapInArrow(run, ENDS)
 
 
 def limits_of(scored: DataFrame) -> DataFrame:
@@ -294,7 +300,7 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """(id, source, cut) of every text with an end to judge."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(kind_col).alias("kind")).where("text IS NOT NULL")
     slim = spread(slim)
-    both = checkpointed(score(slim, train(slim, "text")))
+    both = checkpointed(with_odds(checkpointed(ends_of(slim)), slim, "text"))
     scored = both.where("NOT inner")
     usual = scored.where("rule = 'mark'").groupBy("lang").agg(F.percentile_approx("line", 0.5).alias("usual_line"))
     piles = limits_of(scored)

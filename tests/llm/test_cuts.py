@@ -56,3 +56,24 @@ def test_lists_without_case(spark):
     rows = [Row(doc_id=i, text="\n".join(f"- {item[lang]()}" for _ in range(6)) + "\n- " + (cut if i % 10 == 0 else item)[lang](), lang=lang, source="s", doc_kind="show_notes") for i in range(600) for lang in [["zh", "en"][i % 4 // 2]]]
     got = {r.id: r.cut for r in C.cut_texts(spark.createDataFrame(rows, schema)).collect()}
     assert got == {i: i % 10 == 0 for i in range(600)}
+
+
+def test_odds_are_those_of_exact_counts(spark, monkeypatch):
+    monkeypatch.setattr(C, "BITS", (3, 3))  # a bitmap too small to keep much back changes nothing
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(["So it was said (", "So it is said ("]) + rng.choice(["a", "b"]) + rng.choice([") there.", ") here.\n\n", ")"]) for _ in range(90)) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, "en", "s", "verse") for i, t in enumerate(texts)], "id long, text string, lang string, source string, kind string")
+    got = {(r.id, r.inner): r for r in C.with_odds(C.ends_of(df), df, "text").collect()}
+    places = [(t, k) for t in texts for k in range(len(t) - 1)]
+    behind = lambda c: c in C.TERMINATORS + C.CLOSERS + ";"
+    for i, text in enumerate(texts):
+        body = C.ending(text, "verse")[1]
+        own = [(t, k) for t, k in places if behind(t[k]) == behind(body[-1])]
+        rate = sum(t[k + 1] == "\n" for t, k in own) / len(own)
+        orders = C.ORDERS[behind(body[-1])]
+        seen = [[(t, k) for t, k in own if t[max(0, k - n + 1) : k + 1] == body[-n:]] for n in orders]
+        best = next((x for x in reversed(seen) if len(x) >= C.SEEN), None)
+        p = (sum(t[k + 1] == "\n" for t, k in best) + C.WEIGHT * rate) / (len(best) + C.WEIGHT) if best else rate
+        p = min(max(p, 1e-7), 1 - 1e-7)
+        assert abs(got[i, False].line - C.math.log(p / (1 - p))) < 1e-4
+    assert C.ORDERS[1][-1] == 10

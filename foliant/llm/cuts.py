@@ -35,9 +35,20 @@ BLOCK = 1_500_000
 SEEN, WEIGHT = 60, 5.0
 #: A text stops implausibly if its odds are so many nats below what is usual in its language and column.
 NATS_LINE, NATS_TERM, NATS_WORD = 4.0, 4.2, 4.5
-#: The share of ends inside texts that may lie lower than the threshold taken from them plus NATS_BELOW; how many of
-#: them a language needs for a threshold of its own.
-RARE, NATS_BELOW, LEAST = 0.05, 1.0, 20
+#: So many ends inside texts a language needs for a threshold of its own.
+LEAST = 20
+#: Thresholds by language: the rules whose ends inside texts give them, the odds, the share of those ends that lies lower,
+#: and how many nats below it the threshold is. Headings and open text go on as a rule, so they must end as plausibly as
+#: the upper tenth of the ends without a mark. Signatures stand at texts' ends only, so these give their threshold.
+PLAIN = ["list", "list_end", "heading", "verse", "open"]
+LEAST_OF = {
+    "list_end": (["list_end"], "line", 0.05, 1.0),
+    "list": (["list"], "word", 0.01, 3.0),
+    "signature": (["signature"], "word", 0.05, 3.0),
+    "verse": (["verse"], "term", 0.01, 2.0),
+    "dots": (PLAIN, "term", 0.05, 0.7),
+    "open": (PLAIN, "line", 0.9, 0.0),
+}
 #: A length of a source is a limit if it holds at least so many of its texts and this share of them.
 PILE, PILE_SHARE = 4, 0.006
 
@@ -287,13 +298,19 @@ def limits_of(scored: DataFrame) -> DataFrame:
     return counted.where(F.col("n") >= PILE).join(totals, "source").where(F.col("n") >= PILE_SHARE * F.col("total")).select("source", "unit", "length")
 
 
-def least_odds(both: DataFrame, rules: list[str], column: str, name: str) -> DataFrame:
-    """(lang, name): what ``column`` rarely falls below where lines that end like ``rules`` inside texts did end, less
-    NATS_BELOW. Languages with fewer than LEAST such lines take it from all languages."""
-    inner, rare = both.where(F.col("inner") & F.col("rule").isin(rules)), F.percentile_approx(column, RARE) - NATS_BELOW
-    own = inner.groupBy("lang").agg(rare.alias("own"), F.count("*").alias("n"))
-    overall = inner.agg(rare.alias("overall"))
-    return both.select("lang").distinct().join(own, "lang", "left").crossJoin(overall).select("lang", F.when(F.col("n") >= LEAST, F.col("own")).otherwise(F.col("overall")).alias(name))
+def least_odds(both: DataFrame) -> DataFrame:
+    """By language the thresholds of LEAST_OF, from the odds where lines inside texts (signatures: texts) end like its rules.
+
+    Languages with fewer than LEAST such lines take it from all languages, no language with any from nowhere: null.
+    """
+    inner, out = both.where("inner OR rule = 'signature'"), both.select("lang").distinct()
+    own, overall = [], []
+    for name, (rules, column, share, below) in LEAST_OF.items():
+        of = F.when(F.col("rule").isin(rules), F.col(column))
+        own.append(F.when(F.count(of) >= LEAST, F.percentile_approx(of, share) - below).alias(f"own_{name}"))
+        overall.append((F.percentile_approx(of, share) - below).alias(f"all_{name}"))
+    found = out.join(inner.groupBy("lang").agg(*own), "lang", "left").crossJoin(inner.agg(*overall))
+    return found.select("lang", *(F.coalesce(f"own_{n}", f"all_{n}").alias(f"least_{n}") for n in LEAST_OF))
 
 
 def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", kind_col: str = "doc_kind") -> DataFrame:
@@ -306,22 +323,26 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     piles = limits_of(scored)
     chars = piles.where("unit = 'chars'").select(F.col("source").alias("s1"), F.col("length").alias("n_chars"), F.lit(True).alias("at_chars"))
     nbytes = piles.where("unit = 'bytes'").select(F.col("source").alias("s2"), F.col("length").alias("n_bytes"), F.lit(True).alias("at_bytes"))
-    x = scored.join(usual, "lang", "left").join(least_odds(both, ["list_end"], "line", "least_list"), "lang", "left")
+    x = scored.join(usual, "lang", "left").join(least_odds(both), "lang", "left")
     x = x.join(chars, (x["source"] == chars["s1"]) & (x["n_chars"] == chars["n_chars"]), "left").drop(chars["n_chars"])
     x = x.join(nbytes, (x["source"] == nbytes["s2"]) & (x["n_bytes"] == nbytes["n_bytes"]), "left").drop(nbytes["n_bytes"])
     usual_line = F.coalesce(F.col("usual_line"), F.lit(math.log(0.15)))
     odd_line = F.col("line") < usual_line - NATS_LINE
     at_limit = F.coalesce(F.col("at_chars") | F.col("at_bytes"), F.col("at_chars"), F.col("at_bytes"), F.lit(False))
+
+    def below(name: str, column: str, otherwise):
+        """Below the language's threshold, or below a constant where no line of any text ended like that."""
+        return F.col(column) < F.coalesce(F.col(f"least_{name}"), F.lit(otherwise) if isinstance(otherwise, float) else otherwise)
+
     cut = (
         F.when(F.col("rule") == "cut", True)
-        .when(F.col("rule") == "dots", at_limit | (F.col("term") < -NATS_TERM))
+        .when(F.col("rule") == "dots", at_limit | below("dots", "term", -NATS_TERM))
         .when(F.col("rule").isin("mark", "closer"), odd_line)
-        .when(F.col("rule") == "verse", F.col("term") < -NATS_TERM - 1.0)
-        .when(F.col("rule") == "list", F.col("word") < -NATS_WORD)
-        .when(F.col("rule") == "list_end", F.col("line") < F.coalesce(F.col("least_list"), usual_line - NATS_LINE))
-        .when(F.col("rule") == "signature", F.col("word") < -NATS_WORD)
-        .when(F.col("rule") == "heading", F.col("line") < 0.0)
-        .otherwise(True)
+        .when(F.col("rule") == "verse", below("verse", "term", -NATS_TERM - 1.0))
+        .when(F.col("rule") == "list", below("list", "word", -NATS_WORD))
+        .when(F.col("rule") == "list_end", below("list_end", "line", usual_line - NATS_LINE))
+        .when(F.col("rule") == "signature", below("signature", "word", -NATS_WORD))
+        .otherwise(below("open", "line", 0.0))
     )
     return x.select("id", "source", cut.alias("cut"))
 

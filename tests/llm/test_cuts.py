@@ -77,3 +77,14 @@ def test_odds_are_those_of_exact_counts(spark, monkeypatch):
         p = min(max(p, 1e-7), 1 - 1e-7)
         assert abs(got[i, False].line - C.math.log(p / (1 - p))) < 1e-4
     assert C.ORDERS[1][-1] == 10
+
+
+def test_open_paragraph_that_ends_on_purpose(spark):
+    rng = random.Random(4)
+    schema, rows = "doc_id long, text string, lang string, source string, doc_kind string", []
+    for i in range(400):
+        end = "He kept a careful note of all of it and it is filed under Lamp"
+        text = "\n".join(sentence(rng) for _ in range(5)) + "\n\nfiled under Lamp\n" + (end[:-7] if i % 10 == 0 else end)
+        rows.append(Row(doc_id=i, text=text, lang="en", source="s", doc_kind="chapter"))
+    got = {r.id: r.cut for r in C.cut_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert C.ending(rows[1].text, "chapter")[0] == "open" and got == {i: i % 10 == 0 for i in range(400)}

@@ -1,8 +1,8 @@
 """Sentence boundaries across languages and scripts.
 
 Every line is cut into candidate gaps: a run of terminal marks with the closers behind it. Spaced scripts decide each
-gap on a terminator lattice (mark, token before, token after); scripts without spaces decide it on a dictionary word
-lattice built around the gap, from final particles and reporting verbs before it and opening words after it. Marks in a
+gap on a terminator lattice (mark, token before, token after); scripts without spaces decide it by fixed lists of final
+particles and reporting verbs before the gap and opening words after it, without segmenting the text. Marks in a
 matched quotation or bracket are never gaps; the gap behind its closer decides. Stretches that were decoded wrongly are
 restored first, and the ends found are carried back to the text as stored.
 
@@ -143,7 +143,7 @@ def _protected(line: str) -> list[tuple[int, int]]:
 
 
 def _lattice(text: str, words: tuple[str, ...] | list[str], at_end: bool) -> str | None:
-    """The longest word of the dictionary on the lattice path that touches the gap, before it (at_end) or after it."""
+    """The longest of the words that touches the gap, before it (at_end) or after it."""
     best = None
     for w in words:
         if (text.endswith(w) if at_end else text.startswith(w)) and (best is None or len(w) > len(best)):

@@ -79,10 +79,12 @@ def strip_parens_flat(x: Column) -> Column:
 
 
 def strip_parens_deep(x: Column, depth: int = 8) -> Column:
-    """Innermost brackets go first, ``depth`` times; deeper nesting keeps its outer marks."""
+    """Innermost brackets go first, until none are left; after ``depth`` times it is looked whether any are."""
+    pattern = r"\([^()]*\)"
     for _ in range(depth):
-        x = F.regexp_replace(x, r"\([^()]*\)", "")
-    return x
+        x = F.regexp_replace(x, pattern, "")
+    again = F.aggregate(F.sequence(F.lit(1), F.regexp_count(x, F.lit(r"\("))), x, lambda a, _: F.when(F.regexp_like(a, F.lit(pattern)), F.regexp_replace(a, pattern, "")).otherwise(a))
+    return F.when(F.regexp_like(x, F.lit(pattern)), again).otherwise(x)
 
 
 def collapse_dots(x: Column) -> Column:

@@ -131,3 +131,9 @@ def test_similarity_is_exact(spark):
         s = unit @ unit[q]
         want = [int(i) for i in np.argsort(-s, kind="stable") if i != q][:3]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: -r.score)] == want
+
+
+def test_parens_of_any_depth(spark):
+    texts = ["a" + "(b" * n + ")" * n + "c" for n in (1, 8, 9, 40)] + ["((((((((((x)))))))))) (y", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.x for r in df.select(X.strip_parens_deep(F.col("t")).alias("x")).collect()] == ["ac"] * 4 + [" (y", "", None]

@@ -10,13 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
+#: Bytes of input below which a scan may give fewer tasks than there are cores.
+SPLIT = 4 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of what the frame reads, from the file sizes its plan knows; no job runs."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition only where a scan gives fewer tasks than the cluster has cores.
+    """Repartition only where a scan is too small to give every core a task.
 
-    Large inputs already have more splits than cores, so at scale this adds no shuffle.
+    Large inputs have more splits than cores, so at scale this adds no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if input_bytes(df) < cores * SPLIT else df
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list[list]]], schema: T.StructType) -> DataFrame:
@@ -37,11 +47,16 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[lis
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names; a local folder only where none is set (tests)."""
+    """Cut lineage in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a session on one machine (tests, the bench) gets a folder of its own; on a cluster that is an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "foliant-checkpoints"))
     return df.checkpoint()
 

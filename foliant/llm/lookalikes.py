@@ -1,9 +1,12 @@
 """Visually identical text with different characters.
 
 A text's skeleton: canonical decomposition, every character replaced by its prototype, decomposition again. Prototypes
-come from one rule over the Unicode character data (width, font, ligature and presentation forms decompose; invisible
-characters vanish; every space is a space) and a short table of letters drawn alike in several scripts. Raised and
-circled forms keep their own look. Two texts look the same exactly when their skeletons are equal.
+come from the public look-alike table of Unicode, as the ICU library that Spark ships holds it (read once on the driver;
+its size is that of Unicode), and from a rule over the Unicode character data: width, font, ligature and presentation
+forms decompose, invisible characters vanish, every space is a space. The public table takes 1, l and I, or 0 and O, for
+one; here case, digits and letters count, so a character's prototype is the member of its look-alike class of its own
+kind, and ASCII characters are their own. Raised and circled forms keep their own look. Two texts look the same exactly
+when their skeletons are equal.
 
 Null and blank texts are left out of pairs. Texts of any length are read whole. Identically stored texts form one class
 and are no pair. Extra columns don't matter.
@@ -11,16 +14,15 @@ and are no pair. Extra columns don't matter.
 
 from __future__ import annotations
 
-import functools
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from foliant.llm.common import map_batches, spread, table
+from foliant.llm.common import checkpointed, map_batches, spread, table
 
 # Letters of Cyrillic and Greek (and hyphens) drawn like a Latin letter, beside that letter.
 ALIKE = {
@@ -33,7 +35,50 @@ KEPT_TAGS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 KEPT = "ſªº№℀℁℅℆"
 
 
-def _prototypes() -> dict[int, str]:
+def slanted(c: str) -> bool:
+    """Whether ``c`` is a basic Greek or Cyrillic letter that the short list doesn't name."""
+    return 0x370 <= ord(c) < 0x460 and c not in LISTED
+
+
+LISTED = frozenset(c for row in ALIKE.values() for c in row[::2])
+
+
+def public_classes(spark: SparkSession) -> dict[str, str]:
+    """Of each letter and digit its class in the public look-alike table: the skeleton that ICU gives it alone."""
+    letters = [c for c in map(chr, range(0x21, 0x1FFFF)) if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Nd")]
+    checker = getattr(spark._jvm, "com.ibm.icu.text.SpoofChecker$Builder")().build()
+    return dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True))
+
+
+def public_prototypes(classes: dict[str, str]) -> dict[int, str]:
+    """Prototypes by the public classes: for a cased letter or a digit the member of its class of its own kind, ASCII
+    ones first, then those of Greek and the scripts behind it; for a letter without case the class's own sign.
+
+    Greek and Cyrillic letters of the table that only slant like a Latin one (such as the fourth of the Cyrillic alphabet
+    and r) keep their look: between these scripts and ASCII the short list holds.
+    """
+
+    def rank(c: str) -> tuple[bool, bool, int]:
+        return not c.isascii(), not 0x370 <= ord(c) < 0x590, ord(c)
+
+    least: dict[tuple[str, str], str] = {}
+    for c, look in classes.items():
+        own = (look, unicodedata.category(c))
+        if not slanted(c):
+            least[own] = min(least.get(own, c), c, key=rank)
+    table = {}
+    for c, look in classes.items():
+        d = unicodedata.decomposition(c)
+        if c.isascii() or d.startswith(KEPT_TAGS) or c in KEPT:
+            continue
+        kind = unicodedata.category(c)
+        to = look if kind == "Lo" else least.get((look, kind), c)
+        if to != c and to != unicodedata.normalize("NFD", c) and not (to.isascii() and slanted(c)):
+            table[ord(c)] = to
+    return table
+
+
+def _prototypes(classes: dict[str, str]) -> dict[int, str]:
     table: dict[int, str] = {}
     for o in range(0xA0, min(sys.maxunicode, 0x2FFFF)):
         c = chr(o)
@@ -48,51 +93,69 @@ def _prototypes() -> dict[int, str]:
                 full = unicodedata.normalize("NFKD", c)
                 if not full.startswith(" "):
                     table[o] = full
-    for o in (*range(0x2F800, 0x2FA20), *range(0xF900, 0xFB00)):
-        full = unicodedata.normalize("NFKD", chr(o))
-        if full != chr(o):
-            table[o] = full
-    alike = {ord(a): b for row in ALIKE.values() for a, b in zip(row[::2], row[1::2])}
+    alike = public_prototypes(classes) | {ord(a): b for row in ALIKE.values() for a, b in zip(row[::2], row[1::2])}
     for o, full in table.items():
         table[o] = full.translate(alike)
-    for o in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):  # accented letters whose bare form has a prototype
-        full = unicodedata.normalize("NFD", chr(o))
-        if len(full) > 1 and full != full.translate(alike):
-            table[o] = full.translate(alike)
-    table |= alike
+    table = alike | table
     for o in (*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F):
         table[o] = ""
     return table
 
 
-@functools.cache
-def prototypes() -> dict[str, str]:
+_built: dict[str, str] = {}
+
+
+def prototypes(spark: SparkSession | None = None) -> dict[str, str]:
     """Every character that isn't its own prototype, with its prototype, decomposed."""
-    return {chr(o): unicodedata.normalize("NFD", full) for o, full in _prototypes().items()}
+    if not _built:
+        classes = public_classes(spark or SparkSession.active())
+        _built.update((chr(o), unicodedata.normalize("NFD", full)) for o, full in _prototypes(classes).items())
+    return _built
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, protos: dict[str, str] | None = None) -> str:
     """The form shared by all texts that look like ``text``."""
-    protos = prototypes()
+    protos = prototypes() if protos is None else protos
+    text = unicodedata.normalize("NFD", text)
     for c in protos.keys() & set(text):
         text = text.replace(c, protos[c])
     return unicodedata.normalize("NFD", text)
 
 
-@functools.cache
-def _scripts() -> tuple[dict, dict, re.Pattern, re.Pattern]:
-    back = {k: str.maketrans({b: a for a, b in reversed(list(zip(ALIKE[k][::2], ALIKE[k][1::2])))}) for k in ("Cyrillic", "Greek")}
-    own = {"Cyrillic": re.compile("[Ѐ-ԯ]"), "Greek": re.compile("[Ͱ-Ͽ]")}
-    latin = "".join(sorted({c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"} - {b for k in ("Cyrillic", "Greek") for b in ALIKE[k][1::2]}))
-    return back, own, re.compile(f"[{latin}]"), re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+# The letters of the two scripts that share most letters with Latin.
+BASIC = {"Cyrillic": range(0x400, 0x460), "Greek": range(0x391, 0x3CA)}
+
+
+def scripts(protos: dict[str, str]) -> tuple[dict, dict, re.Pattern, re.Pattern]:
+    """(letter of a script by its prototype, prototypes that only one of the scripts has, Latin letters that no listed
+    letter looks like, words)."""
+    back = {k: {protos.get(c, c): c for c in map(chr, reversed(letters)) if len(protos.get(c, c)) == 1} for k, letters in BASIC.items()}
+    own = {}
+    for k in BASIC:
+        others = {x for j in BASIC if j != k for x in back[j]}
+        own[k] = re.compile("[" + "".join(sorted(x for x in back[k] if not x.isascii() and x not in others)) + "]")
+    images = {x for k in BASIC for x in back[k] if x.isascii()}
+    latin = "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in images)
+    return {k: str.maketrans(x) for k, x in back.items()}, own, re.compile(f"[{latin}]"), re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
 
 
-def one_form(text: str) -> str:
+_known: dict[int, tuple] = {}
+
+
+def _scripts(protos: dict[str, str]) -> tuple:
+    if id(protos) not in _known:
+        _known.clear()
+        _known[id(protos)] = (protos, scripts(protos))
+    return _known[id(protos)][1]
+
+
+def one_form(text: str, protos: dict[str, str] | None = None) -> str:
     """A readable form, a function of the skeleton alone: words take the script of their unmistakable letters."""
-    s = skeleton(text)
+    protos = prototypes() if protos is None else protos
+    s = skeleton(text, protos)
     if s.isascii():
         return s
-    back, own, latin, word = _scripts()
+    back, own, latin, word = _scripts(protos)
     counts = {k: len(p.findall(s)) for k, p in own.items()}
     main = max(counts, key=counts.get)
     if not counts[main]:
@@ -116,14 +179,15 @@ KEYS = T.StructType([T.StructField("id", T.LongType()), T.StructField("skeleton_
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, 128-bit key of the skeleton, 128-bit key of the text as stored) of every non-blank text."""
+    shared = df.sparkSession.sparkContext.broadcast(prototypes(df.sparkSession))  # as large as Unicode makes it, not the data
 
     def run(columns: Iterator[list[list]]) -> Iterator[list[list]]:
-        digest = xxhash.xxh3_128_digest
+        digest, protos = xxhash.xxh3_128_digest, shared.value
         for ids, texts in columns:
             keep = [(i, t) for i, t in zip(ids, texts) if t and not t.isspace()]
             yield [
                 [i for i, _ in keep],
-                [digest(skeleton(t).encode("utf-8", "surrogatepass")) for _, t in keep],
+                [digest(skeleton(t, protos).encode("utf-8", "surrogatepass")) for _, t in keep],
                 [digest(t.encode("utf-8", "surrogatepass")) for _, t in keep],
             ]
 
@@ -131,6 +195,17 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(spread(slim), run, KEYS)
 
 
+def look_classes(keys: DataFrame, group_cols: list[str]) -> DataFrame:
+    """One row per look: (group columns, skeleton_key, class_id = its lowest id, n texts, whether stored in several ways)."""
+    return keys.groupBy(*group_cols, "skeleton_key").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), (F.min("stored_key") != F.max("stored_key")).alias("several"))
+
+
+def members(keys: DataFrame, group_cols: list[str]) -> DataFrame:
+    """One row per text: (group columns, id, class_id, n texts of its look, whether the look is stored in several ways)."""
+    on = [*group_cols, "skeleton_key"]
+    return keys.join(look_classes(keys, group_cols), on).select(*group_cols, "id", "class_id", "n", "several")
+
+
 def same_look_pairs(keys: DataFrame, group_cols: list[str], block: int = 50_000) -> DataFrame:
     """Pairs id_a < id_b of one skeleton whose stored forms differ.
 
@@ -139,18 +214,27 @@ def same_look_pairs(keys: DataFrame, group_cols: list[str], block: int = 50_000)
     """
     keys = keys.select(*group_cols, "id", "skeleton_key", "stored_key")
     on = [*group_cols, "skeleton_key"]
-    classes = keys.groupBy(*on, "stored_key").agg(F.count("*").alias("n"))
-    multi = classes.groupBy(*on).agg(F.count("*").alias("forms"), F.sum("n").alias("n")).where("forms > 1").select(*on, F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    members = keys.join(multi, on, "inner")
-    left = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(*on, "part", F.col("id").alias("id_a"), F.col("stored_key").alias("stored_a"))
-    right = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*on, "part", F.col("id").alias("id_b"), F.col("stored_key").alias("stored_b"))
+    multi = look_classes(keys, group_cols).where("several").select(*on, F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    found = keys.join(multi, on)
+    left = found.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select(*on, "part", F.col("id").alias("id_a"), F.col("stored_key").alias("stored_a"))
+    right = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*on, "part", F.col("id").alias("id_b"), F.col("stored_key").alias("stored_b"))
     return left.join(right, [*on, "part"]).where("id_a < id_b AND stored_a <> stored_b").select(*group_cols, "id_a", "id_b")
 
 
-def p2_found(spark, sf_dir: str) -> DataFrame:
+def _keys(spark, sf_dir: str) -> DataFrame:
+    """Keys of both fields, 48 bytes a text, kept so that the texts are read and reduced once."""
     books = keyed(table(spark, sf_dir, "books"), "id", "book_title").withColumn("field", F.lit("book_title"))
     chapters = keyed(table(spark, sf_dir, "chapters"), "chapter_id", "content_text").withColumn("field", F.lit("content_text"))
-    return same_look_pairs(books.unionByName(chapters), ["field"])
+    return checkpointed(books.unionByName(chapters))
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    return same_look_pairs(_keys(spark, sf_dir), ["field"])
+
+
+def p2_classes(spark, sf_dir: str) -> DataFrame:
+    """Every non-blank text with the class of its look: (field, id, class_id, n, several)."""
+    return members(_keys(spark, sf_dir), ["field"])
 
 
 FORMS = T.StructType([T.StructField("id", T.LongType()), T.StructField("form", T.StringType())])
@@ -159,9 +243,11 @@ FORMS = T.StructType([T.StructField("id", T.LongType()), T.StructField("form", T
 def same_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, form): every text in one consistent form; null and empty texts keep their value."""
 
+    shared = df.sparkSession.sparkContext.broadcast(prototypes(df.sparkSession))
+
     def run(columns: Iterator[list[list]]) -> Iterator[list[list]]:
         for ids, texts in columns:
-            yield [ids, [one_form(t) if t else t for t in texts]]
+            yield [ids, [one_form(t, shared.value) if t else t for t in texts]]
 
     return map_batches(spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), run, FORMS)
 
@@ -172,4 +258,4 @@ def p2_forms(spark, sf_dir: str) -> DataFrame:
     return books.unionByName(chapters).select("field", "id", "form")
 
 
-QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms}

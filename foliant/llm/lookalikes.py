@@ -2,10 +2,10 @@
 
 A text's skeleton: canonical decomposition, every character replaced by its prototype, decomposition again. Prototypes
 come from the public look-alike table of Unicode, as the ICU library that Spark ships holds it (read once on the driver;
-its size is that of Unicode), and from a rule over the Unicode character data: width, font, ligature and presentation
+its size is that of Unicode), as far as it joins letters of different scripts, and from a rule over the Unicode character data: width, font, ligature and presentation
 forms decompose, invisible characters vanish, every space is a space. The public table takes 1, l and I, or 0 and O, for
-one; here case, digits and letters count, so a character's prototype is the member of its look-alike class of its own
-kind, and ASCII characters are their own. Raised and circled forms keep their own look. Two texts look the same exactly
+one; here case, digits and letters count, so a letter's prototype is the member of its look-alike class of its own
+case, and ASCII characters and digits are their own. Raised and circled forms keep their own look. Two texts look the same exactly
 when their skeletons are equal.
 
 Null and blank texts are left out of pairs. Texts of any length are read whole. Identically stored texts form one class
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import xxhash
@@ -35,45 +36,49 @@ KEPT_TAGS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 KEPT = "ſªº№℀℁℅℆"
 
 
-def slanted(c: str) -> bool:
-    """Whether ``c`` is a basic Greek or Cyrillic letter that the short list doesn't name."""
-    return 0x370 <= ord(c) < 0x460 and c not in LISTED
+# The letters of the two scripts that share most letters with Latin.
+BASIC = {"CYRILLIC": range(0x400, 0x460), "GREEK": range(0x391, 0x3CA)}
+LISTED = frozenset(c for row in ALIKE.values() for c in row[::2])
 
 
-LISTED = frozenset(c for row in ALIKE.values() for c in row[::2])
+def script(c: str) -> str:
+    """The script of a letter: the first word of its name."""
+    return unicodedata.name(c, "").partition(" ")[0]
 
 
 def public_classes(spark: SparkSession) -> dict[str, str]:
-    """Of each letter and digit its class in the public look-alike table: the skeleton that ICU gives it alone."""
-    letters = [c for c in map(chr, range(0x21, 0x1FFFF)) if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo", "Nd")]
+    """Of each letter its class in the public look-alike table: the skeleton that ICU gives it alone."""
+    letters = [c for c in map(chr, range(0x21, 0x1FFFF)) if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo")]
     checker = getattr(spark._jvm, "com.ibm.icu.text.SpoofChecker$Builder")().build()
     return dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n"), strict=True))
 
 
 def public_prototypes(classes: dict[str, str]) -> dict[int, str]:
-    """Prototypes by the public classes: for a cased letter or a digit the member of its class of its own kind, ASCII
-    ones first, then those of Greek and the scripts behind it; for a letter without case the class's own sign.
+    """Prototypes by the public classes: for a cased letter the member of its class of its own case, for one without
+    case the class's own sign; ASCII first, then Latin, Cyrillic and Greek.
 
-    Greek and Cyrillic letters of the table that only slant like a Latin one (such as the fourth of the Cyrillic alphabet
-    and r) keep their look: between these scripts and ASCII the short list holds.
+    The table is wider than equal looks: within one script two letters are two letters; letters that join change their
+    shape; and Greek and Cyrillic letters that only slant like a Latin one (such as the fourth of the Cyrillic alphabet
+    and r) keep their look, since between these scripts and ASCII the short list holds.
     """
 
-    def rank(c: str) -> tuple[bool, bool, int]:
-        return not c.isascii(), not 0x370 <= ord(c) < 0x590, ord(c)
+    def rank(c: str) -> tuple[bool, bool, bool, int]:
+        o = ord(c)
+        return not c.isascii(), o >= 0x250, not any(o in letters for letters in BASIC.values()), o
 
-    least: dict[tuple[str, str], str] = {}
-    for c, look in classes.items():
-        own = (look, unicodedata.category(c))
-        if not slanted(c):
-            least[own] = min(least.get(own, c), c, key=rank)
+    def slanted(c: str) -> bool:
+        return 0x370 <= ord(c) < 0x460 and c not in LISTED
+
+    plain = {c: look for c, look in classes.items() if unicodedata.bidirectional(c) == "L" and not unicodedata.decomposition(c) and c not in KEPT}
+    least: dict[tuple[str, str, bool], str] = {}
+    for c, look in plain.items():
+        own = (look, unicodedata.category(c), slanted(c))
+        least[own] = min(least.get(own, c), c, key=rank)
     table = {}
-    for c, look in classes.items():
-        d = unicodedata.decomposition(c)
-        if c.isascii() or d.startswith(KEPT_TAGS) or c in KEPT:
-            continue
+    for c, look in plain.items():
         kind = unicodedata.category(c)
-        to = look if kind == "Lo" else least.get((look, kind), c)
-        if to != c and to != unicodedata.normalize("NFD", c) and not (to.isascii() and slanted(c)):
+        to = look if kind == "Lo" else min((least[k] for k in ((look, kind, False), (look, kind, True)) if k in least and not (slanted(c) and least[k].isascii())), key=rank)
+        if not c.isascii() and to != c and len(to) == 1 and to in classes and unicodedata.bidirectional(to) == "L" and script(c) != script(to):
             table[ord(c)] = to
     return table
 
@@ -122,56 +127,60 @@ def skeleton(text: str, protos: dict[str, str] | None = None) -> str:
     return unicodedata.normalize("NFD", text)
 
 
-# The letters of the two scripts that share most letters with Latin.
-BASIC = {"Cyrillic": range(0x400, 0x460), "Greek": range(0x391, 0x3CA)}
-
-
-def scripts(protos: dict[str, str]) -> tuple[dict, dict, re.Pattern, re.Pattern]:
-    """(letter of a script by its prototype, prototypes that only one of the scripts has, Latin letters that no listed
-    letter looks like, words)."""
-    back = {k: {protos.get(c, c): c for c in map(chr, reversed(letters)) if len(protos.get(c, c)) == 1} for k, letters in BASIC.items()}
-    own = {}
-    for k in BASIC:
-        others = {x for j in BASIC if j != k for x in back[j]}
-        own[k] = re.compile("[" + "".join(sorted(x for x in back[k] if not x.isascii() and x not in others)) + "]")
-    images = {x for k in BASIC for x in back[k] if x.isascii()}
-    latin = "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" if c not in images)
-    return {k: str.maketrans(x) for k, x in back.items()}, own, re.compile(f"[{latin}]"), re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
-
-
-_known: dict[int, tuple] = {}
-
-
-def _scripts(protos: dict[str, str]) -> tuple:
-    if id(protos) not in _known:
-        _known.clear()
-        _known[id(protos)] = (protos, scripts(protos))
-    return _known[id(protos)][1]
+class Forms:
+    """What puts a skeleton back into the letters of its own scripts."""
+
+    def __init__(self, protos: dict[str, str]):
+        self.protos = protos
+        self.back: dict[str, dict[int, str]] = {}
+        for c, to in sorted(protos.items(), reverse=True):
+            if len(to) == 1 and to.isalpha() and not unicodedata.decomposition(c) and script(c) != script(to):
+                self.back.setdefault(script(c), {})[ord(to)] = c
+        for k, letters in BASIC.items():
+            self.back[k] = {ord(protos.get(c, c)): c for c in map(chr, reversed(letters)) if len(protos.get(c, c)) == 1}
+        kana = {x: c for k in ("KATAKANA",) for x, c in self.back.pop(k, {}).items()}
+        for k in ("HIRAGANA", "CJK", "BOPOMOFO", "HANGUL", "LATIN"):
+            self.back.pop(k, None)
+        shared = {x for i, a in self.back.items() if i in BASIC for j, b in self.back.items() if j in BASIC and i != j for x in a if x in b}
+        #: Letters that only one of these scripts has, with it.
+        self.owner = {c: k for c in map(chr, range(0x370, 0x1FFFF)) if c not in protos and c.isalpha() and ord(c) not in shared and (k := script(c)) in self.back}
+        self.owner |= {chr(x): k for k in BASIC for x in self.back[k] if x not in shared and script(chr(x)) != "LATIN"}
+        images = {chr(x) for k in BASIC for x in self.back[k]}
+        self.latin = re.compile("[" + "".join(c for c in map(chr, range(0x41, 0x7B)) if c.isalpha() and c not in images) + "]")
+        self.word = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f]+[^\W\d_]*)*")
+        signs = "".join(map(chr, kana))
+        self.kana, self.of_kana = kana, re.compile(rf"(?<=[ァ-ヺー])[{signs}]+|[{signs}]+(?=[ァ-ヺー])") if signs else None
+
+    def one_form(self, text: str) -> str:
+        s = skeleton(text, self.protos)
+        if s.isascii():
+            return s
+        if self.of_kana:
+            s = self.of_kana.sub(lambda m: m.group().translate(self.kana), s)
+        if self.owner.keys().isdisjoint(s):
+            return unicodedata.normalize("NFC", s)
+        counts = Counter(map(self.owner.get, s))
+        counts.pop(None, None)
+        main, n = min(counts.items(), key=lambda x: (-x[1], x[0]))
+        home = main if n > len(self.latin.findall(s)) else None
+
+        def put(m: re.Match) -> str:
+            w = m.group()
+            k = next((k for c in w if (k := self.owner.get(c))), None if self.latin.search(w) else home)
+            return w.translate(self.back[k]) if k else w
+
+        return unicodedata.normalize("NFC", self.word.sub(put, s))
+
+
+_forms: list[Forms] = []
 
 
 def one_form(text: str, protos: dict[str, str] | None = None) -> str:
     """A readable form, a function of the skeleton alone: words take the script of their unmistakable letters."""
     protos = prototypes() if protos is None else protos
-    s = skeleton(text, protos)
-    if s.isascii():
-        return s
-    back, own, latin, word = _scripts(protos)
-    counts = {k: len(p.findall(s)) for k, p in own.items()}
-    main = max(counts, key=counts.get)
-    if not counts[main]:
-        return unicodedata.normalize("NFC", s)
-    home = main if counts[main] > len(latin.findall(s)) else None
-
-    def put(m: re.Match) -> str:
-        w = m.group()
-        if latin.search(w):
-            return w
-        for k, p in own.items():
-            if p.search(w):
-                return w.translate(back[k])
-        return w.translate(back[home]) if home else w
-
-    return unicodedata.normalize("NFC", word.sub(put, s))
+    if not _forms or _forms[0].protos is not protos:
+        _forms[:] = [Forms(protos)]
+    return _forms[0].one_form(text)
 
 
 KEYS = T.StructType([T.StructField("id", T.LongType()), T.StructField("skeleton_key", T.BinaryType()), T.StructField("stored_key", T.BinaryType())])

@@ -1,10 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
 Every line is cut into candidate gaps: a run of terminal marks with the closers behind it. Spaced scripts decide each
-gap on a terminator lattice (mark, token before, token after); scripts without spaces decide it by fixed lists of final
-particles and reporting verbs before the gap and opening words after it, without segmenting the text. Marks in a
-matched quotation or bracket are never gaps; the gap behind its closer decides. Stretches that were decoded wrongly are
-restored first, and the ends found are carried back to the text as stored.
+gap on a terminator lattice (mark, token before, token after). Scripts without spaces are segmented into words beside
+the gap, by the cheapest path through the lattice of a dictionary counted over the corpus; final particles, linking
+words and reporting verbs that end the path before the gap, and opening words behind it, decide. Marks in a matched
+quotation or bracket are never gaps; the gap behind its closer decides. In Thai a space ends a unit. Stretches that were
+decoded wrongly are restored first, and the ends found are carried back to the text as stored.
 
 Null, empty and blank texts have no units. A text of any length is read whole, line by line. Repeated rows give
 repeated units; other columns of the input are ignored, whatever their names.
@@ -14,11 +15,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliant.llm.common import map_batches, spread
+from foliant.llm.common import map_batches, spread, table
+from foliant.llm.dictionary import RUN, Lattice, count_words
 from foliant.llm.encodings import TO_LATIN, Repair, plain_letters
 
 # Abbreviations that never close a sentence, a name or number follows.
@@ -42,8 +44,6 @@ MAYBE = set(
 MONTHS = set("jan feb mar apr jun jul aug sept sep oct nov dec янв февр апр авг сент окт нояб дек".split())
 # Nouns that a single letter or number designates, so that the letter can close the sentence.
 DESIGNATORS = set("letter letters initial initials plan type section class group point grade vitamin option figure part".split())
-# Names that hold a terminal mark.
-MARKED_NAMES = {"hallo!", "yahoo!", "jeopardy!", "oklahoma!", "ho!"}
 # German words before an ordinal number.
 ORDINAL_LEAD = set("der die das dem den des am im vom zum beim ins ihr ihre sein seine jeder jede jedes".split())
 CHAPTER_WORDS = set("chapter kapitel chapitre capítulo capitulo глава teil partie parte part book band tome тома volume κεφάλαιο".split())
@@ -53,19 +53,21 @@ CLOSERS = "\"'”’»)]}›」』）］】〉》〕｣"
 OPENERS = "\"'“‘„«([{‹「『（［【〈《〔¿¡—–―-｢"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‘": "’", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "《": "》", "〈": "〉", "【": "】", "‹": "›", "｢": "｣", '"': '"'}
 # Verbs and verb forms that report speech.
-ZH_REPORT = ("说", "道", "问", "喊", "答", "叫", "嚷", "讲")
-JA_AFTER = ("と", "って", "の", "を", "は", "が", "に", "も", "で", "や", "へ", "から", "など", "という", "とは")
-JA_REPORT = ("言った", "叫んだ", "答えた", "尋ねた", "聞いた", "つぶやいた", "呟いた", "ささやいた", "言う", "述べた", "語った", "話した", "怒鳴った", "囁いた", "訊いた")
+ZH_REPORT = frozenset("说 道 问 喊 答 叫 嚷 讲 说道 问道 喊道 答道 叫道 嚷道 讲道 笑道 回答 回答说 回答道 喊叫 大喊 大叫 低声说 轻声说".split())
+JA_REPORT = frozenset("言った 叫んだ 答えた 尋ねた 聞いた つぶやいた 呟いた ささやいた 囁いた 言う 言います 言いました 述べた 語った 話した 怒鳴った 訊いた 笑った".split())
 HI_REPORT = ("कहा", "पूछा", "बोला", "बोली", "बोले", "चिल्लाया", "चिल्लाई", "जवाब दिया", "उत्तर दिया", "फुसफुसाया", "सोचा")
 AR_REPORT = ("سأل", "قال", "صاح", "أجاب", "رد", "همس", "صرخ", "هتف", "سألت", "قالت", "أجابت", "صاحت", "همست", "أضاف", "تساءل", "نادى")
-# Words that open a sentence in Chinese and Japanese; final particles of both.
-OPENING = (
-    "如果 没有人 天亮之前 午夜刚过 初雪之后 整个冬天 一句话也没说 多么 难道 谁 他 她 我 你 我们 他们 第 但是 然而 不过 于是 然后 因为 所以 虽然 "
-    "もし 誰 なんと 何も 彼 彼女 私 しかし そして だが また その あの この 夜明け 真夜中 冬 初雪"
-).split()
-# Words that carry a broken-off sentence on; final particles of both languages.
-CONNECTIVES = ("然后", "于是", "但是", "然而", "不过", "因为", "所以", "しかし", "そして", "だが", "また")
-FINAL = "了 吗 吧 呢 啊 呀 么 か よ ね な ぞ わ さ".split()
+# Fixed values, closed classes of Chinese and Japanese: particles that tie a quotation to its clause; final particles and
+# endings; words that a clause can't end with; words that carry a broken-off sentence on; pronouns, question words and
+# conjunctions that open one.
+JA_AFTER = frozenset("と って の を は が に も で や へ から など という とは".split())
+FINAL = frozenset("了 吗 吧 呢 啊 呀 么 嘛 啦 哦 か よ ね な ぞ わ さ だ た です ます でした ました".split())
+LINKING = frozenset("的 地 得 把 被 在 和 与 跟 向 从 给 是 很 不 没 也 都 这 那 は が を に へ と の で も や から まで て".split())
+CONNECTIVES = frozenset("然后 于是 但是 可是 然而 不过 因为 所以 而且 并且 只是 就 才 也 还 又 再 却 而 便 接着 しかし そして だが また それから けれど けれども でも".split())
+OPENING = frozenset(
+    "我 你 他 她 它 我们 你们 他们 她们 谁 为什么 怎么 哪里 什么 如果 虽然 难道 多么 没有人 第 彼 彼女 私 僕 あなた 誰 なぜ どこ もし なんと 何 それ これ この その あの".split()
+)
+CLOSED = frozenset().union(ZH_REPORT, JA_REPORT, JA_AFTER, FINAL, LINKING, CONNECTIVES, OPENING)
 
 BREAKS = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -76,9 +78,9 @@ CLOSING, TERMINAL = CLOSERS + "“", ".!?…؟।॥;。！？｡"
 CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 THAI = re.compile("[฀-๿]")
 GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
-TOKEN_BEFORE = re.compile(r"[^\s“”„«»‘(\[{\"—–]+$")
+EDGES = frozenset("“”„«»‘([{\"—–")
 TOKEN_AFTER = re.compile(r"[\s]*([^\s]+)")
-DASH_SPEECH = re.compile(r"(?:^|(?<=[.!?…»”]))\s*[—–]\s?[^—–\n]{1,160}?[.!?…,]?\s?[—–]\s?(?=[a-zà-öø-ÿа-яё])")
+DASH_SPEECH = re.compile(r"(?:^|(?<=[.!?…]))\s*[—–]\s?[^—–\n]+?[.!?…,]?\s?[—–]\s?(?=[a-zà-öø-ÿа-яё])")
 QUOTE_MARKS = re.compile("[“”„«»‘’(\\[)\\]「」『』（）《》〈〉【】‹›｢｣\"]")
 BORROWED = frozenset(map(chr, TO_LATIN))
 WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
@@ -142,50 +144,81 @@ def _protected(line: str) -> list[tuple[int, int]]:
     return sorted(spans)
 
 
-def _lattice(text: str, words: tuple[str, ...] | list[str], at_end: bool) -> str | None:
-    """The longest of the words that touches the gap, before it (at_end) or after it."""
-    best = None
-    for w in words:
-        if (text.endswith(w) if at_end else text.startswith(w)) and (best is None or len(w) > len(best)):
-            best = w
-    return best
-
-
 STOPS = re.compile("[。！？｡“「『《（\n]")
+LAST_RUN = re.compile(f"(?:{RUN.pattern})$")
+
+
+class Gaps:
+    """Decides gaps in scripts without spaces from the words beside them on the cheapest path of the lattice."""
+
+    def __init__(self, cost: dict[str, float] | None = None, names: Iterable[str] = ()):
+        """``cost``: the dictionary; ``names``: words of spaced scripts that hold a terminal mark."""
+        apart = tuple(w for w in CONNECTIVES | OPENING | ZH_REPORT | JA_REPORT if len(w) > 1)  # no part of a longer word
+        kept = {w: c for w, c in (cost or {}).items() if w in CLOSED or not (w.startswith(apart) or w.endswith(apart))}
+        self.lattice = Lattice(kept, CLOSED)
+        self.names = frozenset(names)
+
+    def after(self, text: str) -> str:
+        """The first word of ``text``, '' where it begins with something else."""
+        m = RUN.match(text)
+        return self.lattice.words(m.group())[0] if m else ""
+
+    def before(self, text: str) -> tuple[str, ...]:
+        """The words at the end of ``text``."""
+        m = LAST_RUN.search(text)
+        return self.lattice.words(m.group()) if m else ()
+
+    def reports(self, clause: str, verbs: frozenset[str]) -> bool:
+        """Whether the clause ends with a verb that reports speech, of one word or several."""
+        words = self.before(clause.rstrip())
+        return any("".join(words[k:]) in verbs for k in range(max(-4, -len(words)), 0))
+
+    def broken_off(self, before: str, rest: str) -> bool:
+        """Whether an ellipsis between the two ends a unit: not before a word that goes on, not behind one that must,
+        and not in a stammer."""
+        first, words = self.after(rest), self.before(before)
+        last = words[-1] if words else ""
+        if first in CONNECTIVES or not last and not first:
+            return False
+        if last in FINAL:
+            return True
+        if last in LINKING or first in JA_AFTER:
+            return False
+        return not (first and first == last) and not (len(words) == 1 and len(last) <= 2 and len(before.strip()) == len(last))
 
-
-def _spaceless(line: str, start: int, mark: str, end: int, opener: int | None) -> bool:
-    """Whether the gap at ``end`` closes a unit in a script without spaces."""
-    rest = line[end:]
-    if not rest.strip():
-        return True
-    if opener is None:  # plain marks; an ellipsis ends a unit only between a final particle and a new opening
-        if mark.strip("…."):
+    def closes(self, line: str, start: int, mark: str, end: int, opener: int | None) -> bool:
+        """Whether the gap at ``end`` closes a unit."""
+        rest = line[end:]
+        if not rest.strip():
             return True
-        opening = _lattice(rest, OPENING, False)
-        return opening is not None and opening not in CONNECTIVES and _lattice(line[start : end - len(mark)], FINAL, True) is not None
-    closer = line[end - 1]
-    before = line[start:opener].strip()
-    if closer in "》〉】":
-        return False
-    if closer in "）)":
-        return not before
-    inside = line[:end].rstrip(CLOSING)[-1:]
-    terminal = inside != "" and inside in "。！？｡!?….،"
-    follow = STOPS.split(rest, maxsplit=1)[0]
-    if closer in "」』":
-        if _lattice(rest, JA_AFTER, False):
+        if opener is None:  # plain marks; only an ellipsis leaves it open
+            return bool(mark.strip("….")) or self.broken_off(line[start : end - len(mark)], rest)
+        closer = line[end - 1]
+        before = line[start:opener].strip()
+        if closer in "》〉】":
+            return False
+        if closer in "）)":
+            return not before
+        inside = line[:end].rstrip(CLOSING)[-1:]
+        if inside == "" or inside not in "。！？｡!?….،" or rest[0] in "，,、；":
             return False
+        if before.endswith(("：", ":", "，")):
+            return True
+        first, follow = self.after(rest), STOPS.split(rest, maxsplit=1)[0]
+        if closer in "」』":
+            if first in JA_AFTER:
+                return False
+            return first in OPENING if before else not self.reports(follow, JA_REPORT)
         if before:
-            return False if not terminal else _lattice(rest, OPENING, False) is not None
-        return terminal and not any(follow.endswith(v) for v in JA_REPORT)
-    if before.endswith(("：", ":", "，")):
-        return terminal
-    if rest[0] in "，,、；":
-        return False
-    if not before:
-        return terminal and _lattice(follow, ZH_REPORT, True) is None
-    return terminal and _lattice(rest, OPENING, False) is not None
+            return first not in CONNECTIVES and self.reports(before, ZH_REPORT) or first in OPENING
+        return not self.reports(follow, ZH_REPORT)
+
+
+def _token_before(line: str, start: int, end: int) -> str:
+    at = end
+    while at > start and not line[at - 1].isspace() and line[at - 1] not in EDGES:
+        at -= 1
+    return line[at:end]
 
 
 def _opens(after: str) -> bool:
@@ -193,7 +226,7 @@ def _opens(after: str) -> bool:
     return c.isupper() or c.istitle() or c in OPENERS or c.isdigit()
 
 
-def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: int | None, greek: bool) -> bool:
+def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: int | None, greek: bool, names: frozenset[str]) -> bool:
     """Whether the gap at ``end`` closes a unit in a spaced script."""
     nxt = TOKEN_AFTER.match(line, end)
     if not nxt:
@@ -224,8 +257,7 @@ def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: in
     if glued:
         if a0 in CLOSERS or a0 in ",;:-—":
             return False
-        word = TOKEN_BEFORE.search(line, max(start, m_start - 24), m_start)
-        w = word.group() if word else ""
+        w = _token_before(line, start, m_start)
         if CJK.match(a0) or "ऀ" <= a0 <= "ॿ" and mark[0] in "।॥?!":
             return mark[0] != "."
         if not (a0.isupper() or a0 in "¿¡«“„") or not w:
@@ -238,13 +270,12 @@ def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: in
     if a0 in "—–―-" and (x := line[nxt.start(1) + 1 :].lstrip()[:1]) and x.islower():
         return False
     if mark[0] in "!?؟":
-        word = TOKEN_BEFORE.search(line, start, m_start)
-        return not (word and (word.group().lower() + mark[0]) in MARKED_NAMES and line[start : word.start()].strip())
+        word = _token_before(line, start, m_start)
+        return not (word + mark[0] in names and line[start : m_start - len(word)].strip())
     if mark[0] in "।॥;。｡" or len(mark) > 1 or mark[0] == "…":
         return _opens(after) or not a0.isascii()
     # a single full stop
-    word = TOKEN_BEFORE.search(line, max(start, m_start - 40), m_start)
-    w = word.group() if word else ""
+    w = _token_before(line, start, m_start)
     low = w.lower()
     head = line[start : m_start - len(w)]
     if not w:
@@ -273,7 +304,7 @@ def _spaced(line: str, start: int, mark: str, m_start: int, end: int, opener: in
         lead = head[: first.start()].rstrip()
         word0 = lead.rsplit(None, 1)[-1].lower() if lead else ""
         return word0 in DESIGNATORS
-    if "." in w and len(w) <= 8 and all(len(x) <= 1 for x in w.split(".")):  # C.B.R
+    if "." in w and all(len(x) <= 1 for x in w.split(".")):  # C.B.R
         return _opens(after) and w.lower() in MAYBE
     if short in TITLES:
         if w[0].isupper() or len(short) <= 2 or short not in ("no", "min", "max", "art", "sec", "fig", "al", "me", "da", "hr", "cap", "gen", "sen"):
@@ -290,7 +321,7 @@ def _thai(line: str, base: int, ends: list[int], at: list[int] | None) -> None:
         ends.append(base + (at[e - 1] if at else e - 1) + 1)
 
 
-def _line(raw: str, base: int, ends: list[int]) -> None:
+def _line(raw: str, base: int, ends: list[int], lattice: Gaps) -> None:
     line, at = _view(raw)
     body = line.rstrip()
     if not body.strip():
@@ -310,7 +341,10 @@ def _line(raw: str, base: int, ends: list[int]) -> None:
         i, e = m.span()
         while k < len(spans) and spans[k][1] <= i:
             k += 1
-        if any(x <= i < y for x, y in spans[k : k + 3]):
+        j = k
+        while j < len(spans) and spans[j][0] <= i and spans[j][1] <= i:
+            j += 1
+        if j < len(spans) and spans[j][0] <= i:
             continue  # a mark inside a quotation or bracket
         gaps.append((e, i, m.group().rstrip(CLOSERS), None))
     for x, y in spans:
@@ -327,7 +361,7 @@ def _line(raw: str, base: int, ends: list[int]) -> None:
         cjk_side = spaceless and (CJK.match(body, e) is not None or CJK.match(body[i - 1 : i]) is not None or (opener is not None and body[e - 1] in "”」』》）"))
         if mark and mark[0] == "." and spaceless and opener is None and len(mark) == 1:
             continue  # a decimal or an initial
-        if _spaceless(body, start, mark, e, opener) if cjk_side else _spaced(body, start, mark, i, e, opener, greek):
+        if lattice.closes(body, start, mark, e, opener) if cjk_side else _spaced(body, start, mark, i, e, opener, greek, lattice.names):
             put(e)
             start = last = e
     tail = body[start:].rstrip()
@@ -335,45 +369,69 @@ def _line(raw: str, base: int, ends: list[int]) -> None:
         put(start + len(tail))
 
 
-def unit_ends(text: str | None) -> list[int]:
+def unit_ends(text: str | None, gaps: Gaps) -> list[int]:
     """Ends of the sentence units of ``text``: code points up to and including each unit's last character."""
     ends: list[int] = []
     if not text or not text.strip():
         return ends
     at = 0
     for m in BREAKS.finditer(text):
-        _line(text[at : m.start()], at, ends)
+        _line(text[at : m.start()], at, ends, gaps)
         at = m.end()
-    _line(text[at:], at, ends)
+    _line(text[at:], at, ends, gaps)
     return ends
 
 
-def stored_unit_ends(text: str | None, repair: Repair) -> list[int]:
+def stored_unit_ends(text: str | None, repair: Repair, gaps: Gaps) -> list[int]:
     """Unit ends of a text as stored; stretches with a wrong encoding are read as what they were."""
     if not text or text.isascii():
-        return unit_ends(text)
+        return unit_ends(text, gaps)
     got = repair.aligned(text)
     restored, ends = got or (text, None)
     chars = set(restored)
     if not chars.isdisjoint(BORROWED) and not chars.isdisjoint("aeiouAEIOU"):
         restored = plain_letters(restored)  # letters of another script, one for one
-    found = unit_ends(restored)
+    found = unit_ends(restored, gaps)
     return [ends[e - 1] for e in found] if ends else found
 
 
+def marked_names(df: DataFrame, text_col: str) -> list[str]:
+    """Capitalised words with a mark, such as a paper's name, that inside sentences stand with it rather than without.
+
+    At most a millionth part of the capitalised words inside sentences each, so at most a million.
+    """
+    text = F.col(text_col)
+    inside = F.regexp_extract_all(text, F.lit(r"[\p{Ll},] (\p{Lu}\p{L}+[!?]?)(?=[ ,.;:])"), F.lit(1))
+    words = df.where(text.isNotNull()).select(F.explode(inside).alias("w"))
+    marked = F.col("w").rlike("[!?]$")
+    counts = words.groupBy(F.regexp_replace("w", "[!?]$", "").alias("bare")).agg(F.count("*").alias("n"), F.count_if(marked).alias("n_marked"), F.mode(F.when(marked, F.col("w")), True).alias("w"))
+    least = F.greatest(F.lit(3.0), F.lit(words.count() / 1e6))
+    return [r.w for r in counts.where((F.col("n_marked") * 2 > F.col("n")) & (F.col("n_marked") >= least)).select("w").collect()]
+
+
 ENDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("end_pos", T.LongType())])
 
 
-def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, end_pos) of every sentence unit of every row. Null, empty and blank texts give no row."""
+def learn(df: DataFrame, text_col: str) -> tuple[dict[str, float], list[str]]:
+    """The dictionary and the names with a mark of a corpus."""
+    texts = spread(df.select(text_col))
+    return count_words(texts, text_col), marked_names(texts, text_col)
+
+
+def sentence_units(df: DataFrame, id_col: str, text_col: str, learnt: tuple[dict[str, float], list[str]] | None = None) -> DataFrame:
+    """(id, end_pos) of every sentence unit of every row. Null, empty and blank texts give no row.
+
+    ``learnt``: what ``learn`` counted over the corpus the rows belong to, by default over the rows themselves.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(learn(df, text_col) if learnt is None else learnt)  # both of bounded size
 
     def run(columns: Iterator[list[list]]) -> Iterator[list[list]]:
-        repair = Repair()
+        repair, gaps = Repair(), Gaps(*shared.value)
         for ids, texts in columns:
             out_id: list[int] = []
             out_end: list[int] = []
             for i, t in zip(ids, texts):
-                ends = stored_unit_ends(t, repair)
+                ends = stored_unit_ends(t, repair, gaps)
                 out_id += [i] * len(ends)
                 out_end += ends
             yield [out_id, out_end]
@@ -383,8 +441,9 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    chapters = spark.read.parquet(f"{sf_dir}/chapters.parquet").where("src_format = 'epub'")
-    return sentence_units(chapters, "chapter_id", "content_text").withColumnRenamed("id", "chapter_id")
+    chapters = table(spark, sf_dir, "chapters")
+    learnt = learn(chapters, "content_text")
+    return sentence_units(chapters.where("src_format = 'epub'"), "chapter_id", "content_text", learnt).withColumnRenamed("id", "chapter_id")
 
 
 QUERIES = {"p1_found": p1_found}

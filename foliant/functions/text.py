@@ -156,8 +156,16 @@ def syllables(word: Column) -> Column:
 
 
 def quote_path(x: Column) -> Column:
-    """Percent-encoding that keeps slashes and writes blanks as %20."""
-    return F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """Percent-encoding that keeps letters, digits, ``_.-~`` and slashes."""
+    x = F.url_encode(x)
+    for written, wanted in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        x = F.replace(x, F.lit(written), F.lit(wanted))
+    return x
+
+
+def numeric_key(x: Column) -> Column:
+    """What a list is sorted by: the number, 0 for an empty sign, the largest exact integer for any other sign."""
+    return F.when(F.trim(x) == "", 0).otherwise(F.coalesce(x.try_cast("long"), F.lit(9007199254740991))).cast("long")
 
 
 def host_port(x: Column) -> Column:

@@ -87,3 +87,18 @@ def cosine(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def fill_frame(width: Column, height: Column, frame_width: int, frame_height: int) -> Column:
+    """struct(new_width, new_height, left_px, top_px): an image scaled to cover a frame, and where its centre crop begins."""
+    ratio = width / height
+    wider = ratio > frame_width / frame_height
+    w = F.when(wider, F.floor(frame_height * ratio)).otherwise(frame_width).cast("long")
+    h = F.when(wider, frame_height).otherwise(F.floor(frame_width / ratio)).cast("long")
+    return F.struct(w.alias("new_width"), h.alias("new_height"), F.floor((w - frame_width) / 2).cast("long").alias("left_px"), F.floor((h - frame_height) / 2).cast("long").alias("top_px"))
+
+
+def overall_percent(chapter: Column, chapters: Column, done: Column, total: Column) -> Column:
+    """Whole percent done at chunk ``done`` of ``total`` in the ``chapter``-th (from 1) of ``chapters``."""
+    base = (chapter - 1) / chapters
+    return F.floor((base + done / F.greatest(F.lit(1), total) / chapters) * 100).cast("int")

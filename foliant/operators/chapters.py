@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from foliant.functions import text as X
 from foliant.operators.prefix import numbered, running_sum
@@ -44,20 +48,23 @@ def renumber(df: DataFrame) -> DataFrame:
 def merge_short(df: DataFrame, least: int = 100) -> DataFrame:
     """Short chapters are carried into the next long one, the last ones into the last long one.
 
-    (book_id, new_number, chapter_id, chapter_title, content_text) of the long chapters; a book without any has no row.
+    (book_id, new_number, chapter_id, chapter_title, href, content_text) of the long chapters; a book without any has no
+    row. A chapter without an href takes the first one carried into it.
     """
     body = X.strip(F.coalesce(F.col("content_text"), F.lit("")))
-    rows = df.where("chapter_number IS NOT NULL AND book_id IS NOT NULL").select("book_id", "chapter_id", "chapter_number", "chapter_title", body.alias("body"), (F.length(body) >= least).cast("int").alias("long"))
-    slim = running_sum(rows.drop("body", "chapter_title"), ["book_id"], place(), ORDER, F.col("long"), "behind", inclusive=False)
+    rows = df.where("chapter_number IS NOT NULL AND book_id IS NOT NULL").select("book_id", "chapter_id", "chapter_number", "chapter_title", "href", body.alias("body"), (F.length(body) >= least).cast("int").alias("long"))
+    slim = running_sum(rows.drop("body", "chapter_title", "href"), ["book_id"], place(), ORDER, F.col("long"), "behind", inclusive=False)
     totals = rows.groupBy("book_id").agg(F.sum("long").alias("n_long")).where("n_long > 0")
-    groups = slim.join(totals, "book_id").select("chapter_id", F.least(F.col("behind"), F.col("n_long") - 1).alias("grp"))
+    groups = slim.join(totals, "book_id").select("chapter_id", "behind", F.least(F.col("behind"), F.col("n_long") - 1).alias("grp"))
     placed = rows.join(groups, "chapter_id")
     part = F.struct("chapter_number", "chapter_id", "body")
     merged = placed.groupBy("book_id", "grp").agg(
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["body"]), lambda b: b != ""), " ").alias("content_text"),
-        F.max(F.when(F.col("long") == 1, F.struct("chapter_number", "chapter_id", "chapter_title"))).alias("own"),
+        F.max(F.when(F.col("long") == 1, F.struct("chapter_number", "chapter_id", "chapter_title", "href"))).alias("own"),
+        F.min(F.when((F.col("long") == 0) & (F.col("href") != "") & (F.col("behind") == F.col("grp")), F.struct("chapter_number", "chapter_id", "href")))["href"].alias("carried"),
     )
-    return merged.select("book_id", (F.col("grp") + 1).alias("new_number"), F.col("own.chapter_id").alias("chapter_id"), F.col("own.chapter_title").alias("chapter_title"), "content_text")
+    href = F.coalesce(F.nullif("own.href", F.lit("")), "carried")
+    return merged.select("book_id", (F.col("grp") + 1).alias("new_number"), F.col("own.chapter_id").alias("chapter_id"), F.col("own.chapter_title").alias("chapter_title"), href.alias("href"), "content_text")
 
 
 def upper_median(df: DataFrame) -> DataFrame:
@@ -89,3 +96,40 @@ def next_anchor(df: DataFrame) -> DataFrame:
     runs = running_sum(changed, ["book_id"], F.floor(F.col("pos") / ID_BUCKET), ["pos"], F.col("new_run"), "run")
     later = Window.partitionBy("book_id", "run").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     return runs.select("book_id", "chapter_id", "path", "anchor", F.first("anchor", ignorenulls=True).over(later).alias("next_anchor"))
+
+
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """(rule_no, rule, valid, error): whether each rule is a pattern that can be applied; null isn't one."""
+    schema = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(schema)
+    def check(rule: pd.Series) -> pd.DataFrame:
+        found = []
+        for r in rule:
+            try:
+                re.compile(r, re.S | re.I)
+                found.append((True, None))
+            except (re.error, TypeError) as e:
+                found.append((False, f"Discarding invalid regex rule: {r!r} ({e})"))
+        return pd.DataFrame(found, columns=schema.names)
+
+    return rules.select("rule_no", "rule", check("rule").alias("c")).select("rule_no", "rule", "c.valid", "c.error")
+
+
+def with_rules(df: DataFrame, text_col: str, rules: Sequence[str]) -> DataFrame:
+    """``df`` with the rules applied to its text in turn, and ``removed``: what they took, stripped and not blank.
+
+    Of a rule with one group the group's text is noted, of one with several nothing. Invalid rules change nothing.
+    """
+    text, removed = F.col(text_col), F.array().cast("array<string>")
+    for rule in rules:
+        try:
+            groups = re.compile(rule, re.S | re.I).groups
+        except re.error:
+            continue
+        pattern = "(?isu)" + rule
+        if groups < 2:
+            hits = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)), X.strip), lambda m: m != "")
+            removed = F.concat(removed, hits)
+        text = F.regexp_replace(text, pattern, "")
+    return df.withColumn("removed", removed).withColumn(text_col, text)

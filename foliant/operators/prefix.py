@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, value: Column, name: str, inclusive: bool = True) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of the key up to (and with) each row.
 
-    ``bucket`` must not decrease along ``order``. Null values count as 0.
+    ``bucket`` must not decrease along ``order``. Null values count as 0. Without keys all rows are one sequence.
     """
     b, v = f"_{name}_bucket", f"_{name}_value"
     df = df.withColumn(b, bucket).withColumn(v, F.coalesce(value, F.lit(0)).cast("long"))

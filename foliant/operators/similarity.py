@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-#: Queries of one block; a block is the most that one row of the search side meets at a time.
-BLOCK = 512
-#: Ids of one pack of vectors.
-PACK = 4096
+from foliant.operators.layout import UNKNOWN, input_bytes
+
+#: Ids that one block of queries, and one pack of vectors, spans.
+BLOCK, PACK = 40_960, 4096
+#: Bytes of vectors that meet one copy of the queries.
+SHARE = 128 << 20
 SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -23,11 +25,13 @@ def top_similar(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
     """
     usable = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("v IS NOT NULL AND aggregate(v, 0D, (s, x) -> s + x * x) > 0")
     q = usable(queries)
-    n_blocks = max(1, -(-q.count() // BLOCK))
-    pack = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
-    blocks = q.groupBy(pack.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    blocks = q.groupBy(F.floor(F.col("id") / BLOCK).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     packs = usable(vectors).groupBy(F.floor(F.col("id") / PACK).alias("pack")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    met = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    # every pack meets every block: each share of the packs gets a copy of the blocks, and there are as many shares as tasks
+    size, cores = input_bytes(vectors), vectors.sparkSession.sparkContext.defaultParallelism
+    shares = max(cores, size // SHARE) if size < UNKNOWN else 8 * cores
+    sent = packs.withColumn("share", F.pmod(F.xxhash64("pack"), F.lit(shares)).cast("int"))
+    met = sent.join(blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), "share")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unit(items) -> tuple[np.ndarray, np.ndarray]:

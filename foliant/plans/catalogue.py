@@ -2,56 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from foliant.functions import markup as M, text as X, timing as T
 from foliant.operators import chapters as C, queues as Q, timeline as L
 from foliant.operators.layout import spread
 from foliant.operators.prefix import numbered
 from foliant.operators.similarity import top_similar
-
-QUERIES: dict = {}
-ORACLE: dict = {}
-WS, BLANK = X.WS, X.BLANK
-
-
-def segments_sql(x: str) -> str:
-    """Segments in SQL: marks are replaced by a sentinel, since RE2 has no lookbehind."""
-    return rf"string_split(regexp_replace(regexp_replace({x}, '([.!?]){BLANK}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))"
-
-
-def strip_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
-
-
-def words_sql(x: str) -> str:
-    return rf"len(list_filter(string_split_regex({x}, '{BLANK}+'), lambda w: w <> ''))"
-
-
-def slug_sql(x: str) -> str:
-    s = f"trim(regexp_replace(coalesce({x}, ''), '[^A-Za-z0-9]+', '_', 'g'), '_')"
-    return f"CASE WHEN {s} = '' THEN 'chapter' ELSE {s} END"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def c(name: str):
-    return F.col(name)
-
+from foliant.plans.registry import BLANK, ORACLE, QUERIES, c, query, segments_sql, slug_sql, strip_sql, t, words_sql
 
 # --- chapters ------------------------------------------------------------------------------------------------------
 
@@ -76,11 +34,12 @@ def chapter_renumber(spark, d):
     return C.renumber(t(spark, d, "chapters")).select("book_id", "chapter_id", "chapter_number", "new_number")
 
 
-@query(f"""WITH r AS (SELECT book_id, chapter_id, chapter_number, chapter_title, {strip_sql("coalesce(content_text, '')")} AS body FROM chapters WHERE chapter_number IS NOT NULL AND book_id IS NOT NULL),
+@query(f"""WITH r AS (SELECT book_id, chapter_id, chapter_number, chapter_title, href, {strip_sql("coalesce(content_text, '')")} AS body FROM chapters WHERE chapter_number IS NOT NULL AND book_id IS NOT NULL),
 w AS (SELECT *, (length(body) >= 100)::INT AS long FROM r),
 g AS (SELECT *, coalesce(sum(long) OVER (PARTITION BY book_id ORDER BY chapter_number, chapter_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind, sum(long) OVER (PARTITION BY book_id) AS n_long FROM w),
 p AS (SELECT *, least(behind, n_long - 1) AS grp FROM g WHERE n_long > 0)
 SELECT book_id, (grp + 1)::BIGINT AS new_number, max(CASE WHEN long = 1 THEN chapter_id END) AS chapter_id, (array_agg(chapter_title ORDER BY long DESC, chapter_number DESC, chapter_id DESC))[1] AS chapter_title,
+ coalesce(nullif(max(CASE WHEN long = 1 THEN href END), ''), (array_agg(href ORDER BY chapter_number, chapter_id) FILTER (WHERE long = 0 AND href <> '' AND behind = grp))[1]) AS href,
  string_agg(body, ' ' ORDER BY chapter_number, chapter_id) FILTER (WHERE body <> '') AS content_text FROM p GROUP BY book_id, grp""")
 def merge_short_chapters(spark, d):
     return C.merge_short(t(spark, d, "chapters"))
@@ -104,10 +63,11 @@ def select_chapters(spark, d):
     return C.select_or_all(t(spark, d, "chapters").select("chapter_id", "book_id"), visible, "book_id")
 
 
-@query("SELECT chapter_id, book_id FROM chapters c WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.book_id = c.book_id AND x.doc_kind = 'summary')")
+@query(f"SELECT chapter_id, book_id FROM chapters c WHERE {strip_sql('content_text')} <> '' AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.book_id = c.book_id AND x.doc_kind = 'summary')")
 def missing_chapters(spark, d):
     done = t(spark, d, "documents").where("doc_kind = 'summary'").select("book_id")
-    return t(spark, d, "chapters").select("chapter_id", "book_id").join(done, "book_id", "left_anti").select("chapter_id", "book_id")
+    filled = t(spark, d, "chapters").where(X.strip(c("content_text")) != "")
+    return filled.select("chapter_id", "book_id").join(done, "book_id", "left_anti").select("chapter_id", "book_id")
 
 
 @query("SELECT chapter_id, coalesce(c.book_id IN (SELECT book_id FROM documents WHERE book_id IS NOT NULL AND doc_kind = 'show_notes'), false) AS has_notes FROM chapters c")
@@ -177,7 +137,13 @@ def sentence_edits(spark, d):
     return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.apply_edits(c("text"), edits).alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({strip_sql('text')}, '([.!?]){BLANK}+', '\\1' || chr(1), 'g'), chr(1)), lambda v: {strip_sql('v')}), lambda v: v <> '') AS parts FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, unnest(parts) AS t, unnest(range(1, len(parts) + 1)) AS k FROM p),
+r AS (SELECT doc_id, k, t, length(t) + 1 AS cur, 0 AS grp FROM f WHERE k = 1 UNION ALL
+ SELECT f.doc_id, f.k, f.t, CASE WHEN r.cur + length(f.t) + 1 > 1000 THEN length(f.t) ELSE r.cur + length(f.t) + 1 END, CASE WHEN r.cur + length(f.t) + 1 > 1000 THEN r.grp + 1 ELSE r.grp END FROM r JOIN f ON f.doc_id = r.doc_id AND f.k = r.k + 1),
+g AS (SELECT doc_id, grp, string_agg(t, ' ' ORDER BY k) AS x FROM r GROUP BY doc_id, grp),
+s AS (SELECT doc_id, grp, i, substr(x, ((i - 1) * 1000 + 1)::BIGINT, 1000) AS chunk FROM (SELECT *, unnest(range(1, (length(x) - 1) // 1000 + 2)) AS i FROM g))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, i) - 1 AS pos, chunk FROM s""")
 def pack_sentences(spark, d):
     packed = spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.pack_sentences(c("text"), 1000)).alias("pos", "chunk"))
     return packed.select("doc_id", c("pos").cast("long").alias("pos"), "chunk")
@@ -210,7 +176,10 @@ def fixed_slices(spark, d):
     return rows.select("chapter_id", c("pos").cast("long").alias("pos"), "piece")
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, {strip_sql('text')} AS s FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, s, length(s) // 2 AS half, CASE WHEN length(s) > 1000 THEN list_filter(list_transform(string_split(s, ''), lambda v, i: CASE WHEN v IN (',', ';') THEN i - 1 END), lambda i: i IS NOT NULL) ELSE [] END AS marks FROM s),
+b AS (SELECT doc_id, s, list_min(list_transform(marks, lambda i: {{'d': abs(i - half), 'i': i}})).i AS best FROM m)
+SELECT doc_id, list_filter(CASE WHEN best IS NULL THEN [s] ELSE [{strip_sql('left(s, best + 1)')}, {strip_sql('substr(s, best + 2)')}] END, lambda v: v <> '') AS parts FROM b""")
 def delimiter_split(spark, d):
     return spread(t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", X.split_at_delimiter(c("text"), 1000).alias("parts"))
 
@@ -235,7 +204,11 @@ def page_text_feed(spark, d):
     return _html(spark, d).select("chapter_id", M.strip_html_feed(c("html")).alias("text"))
 
 
-@query()
+HTML = """'<html><head><style>p { margin: 0 }</style></head><body><h1>' || coalesce(chapter_title, '') || '</h1><div class="ad">Buy (now)</div><p id="a1">' || replace(coalesce(content_text, ''), chr(10) || chr(10), '</p>' || chr(10) || '<p id="a2">') || '</p><footer>End &amp; out</footer></body></html>'"""
+
+
+@query(f"""WITH h AS (SELECT chapter_id, {HTML} AS h FROM chapters), s AS (SELECT chapter_id, substr(h, strpos(h, '<p id="a1">')) AS h FROM h)
+SELECT chapter_id, CASE WHEN strpos(h, '<p id="a2">') > 0 THEN left(h, strpos(h, '<p id="a2">') - 1) ELSE h END AS part FROM s""")
 def anchor_slices(spark, d):
     return _html(spark, d).select("chapter_id", M.slice_by_anchor(c("html"), F.lit("a1"), F.lit("a2")).alias("part"))
 
@@ -249,14 +222,28 @@ def roman_numerals(spark, d):
 RULES = (r"\([^)]*\)", r"chapter_\d+\.mp3", r"\bvol\. \d+")
 
 
-@query("SELECT chapter_id, " + "regexp_replace(" * 3 + "content_text" + "".join(f", '{r}', '', 'gis')" for r in RULES) + " AS text, len(regexp_extract_all(content_text, '" + RULES[0] + "', 0, 'is'))::BIGINT AS n_removed FROM chapters WHERE content_text IS NOT NULL")
+def rules_sql(rules) -> str:
+    """Texts after each rule in turn, and what each took away."""
+    x, parts = "content_text", []
+    for r in rules:
+        parts.append(f"list_filter(list_transform(regexp_extract_all({x}, '{r}', 0, 'is'), lambda m: {strip_sql('m')}), lambda m: m <> '')")
+        x = f"regexp_replace({x}, '{r}', '', 'gis')"
+    joined = parts[0]
+    for more in parts[1:]:
+        joined = f"list_concat({joined}, {more})"
+    return f"SELECT chapter_id, {x} AS text, {joined} AS removed FROM chapters WHERE content_text IS NOT NULL"
+
+
+@query(rules_sql(RULES))
 def apply_rules(spark, d):
-    x = c("content_text")
-    n = F.size(F.regexp_extract_all(x, F.lit("(?is)" + RULES[0]), F.lit(0))).cast("long")
-    out = x
-    for r in RULES:
-        out = F.regexp_replace(out, "(?is)" + r, "")
-    return t(spark, d, "chapters").where("content_text IS NOT NULL").select("chapter_id", out.alias("text"), n.alias("n_removed"))
+    rows = t(spark, d, "chapters").where("content_text IS NOT NULL")
+    return C.with_rules(rows, "content_text", RULES).select("chapter_id", c("content_text").alias("text"), "removed")
+
+
+@query("SELECT * FROM (VALUES (0, '\\([^)]*\\)', true), (1, '(unclosed', false), (2, '', true), (3, 'a{2,1}', false), (4, NULL, false)) v(rule_no, rule, valid)")
+def rule_check(spark, d):
+    rules = spark.createDataFrame([(0, r"\([^)]*\)"), (1, "(unclosed"), (2, ""), (3, "a{2,1}"), (4, None)], "rule_no int, rule string")
+    return C.checked_rules(rules).select("rule_no", "rule", "valid")
 
 
 @query("WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(RULES)) + ") v(rule_no, rule)), m AS (SELECT book_id, rule_no, chapter_number, chapter_id, left(regexp_extract(content_text, rule, 0, 'is'), 300) AS hit FROM chapters, r WHERE book_id IS NOT NULL AND regexp_matches(content_text, rule, 'is')) SELECT book_id, rule_no::BIGINT AS rule_no, (array_agg(hit ORDER BY chapter_number, chapter_id))[1] AS preview FROM m GROUP BY ALL")
@@ -277,7 +264,7 @@ STATE = STATE.replace("row(start_pos, is_current, model_name)", "{'a': start_pos
 
 
 def _queue(spark, d):
-    return Q.replay(Q.distinct_log(t(spark, d, "player_queue")))
+    return Q.replay(t(spark, d, "player_queue"))
 
 
 @query(STATE + "SELECT * FROM s")
@@ -285,9 +272,17 @@ def player_queue(spark, d):
     return _queue(spark, d)
 
 
-@query(f"SELECT user_id, '/pod/' || (array_agg(pod_id ORDER BY logged_time DESC, log_id DESC))[1] AS uri FROM {LOG} WHERE user_id IS NOT NULL GROUP BY user_id")
+@query(f"""WITH w AS (SELECT user_id, (array_agg('/pod/' || pod_id ORDER BY logged_time DESC, log_id DESC))[1] AS uri FROM {LOG} WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, CASE WHEN w.user_id IS NOT NULL THEN w.uri ELSE l.uri END AS uri FROM last_location l FULL JOIN w USING (user_id)""")
 def last_location(spark, d):
-    return Q.last_locations(Q.distinct_log(t(spark, d, "player_queue")))
+    writes = t(spark, d, "player_queue").select("user_id", "logged_time", "log_id", F.concat(F.lit("/pod/"), c("pod_id")).alias("uri"))
+    return Q.last_locations(t(spark, d, "last_location"), writes)
+
+
+@query(f"""WITH q AS (SELECT DISTINCT log_id, user_id, pod_id, episode_idx, logged_time FROM player_queue WHERE user_id IS NOT NULL AND episode_idx IS NOT NULL)
+SELECT log_id, row_number() OVER (PARTITION BY user_id, pod_id, episode_idx ORDER BY logged_time, log_id) = 1 AS inserted FROM q""")
+def queue_insertions(spark, d):
+    return Q.insertions(t(spark, d, "player_queue"))
 
 
 @query(STATE + "SELECT user_id, max(idx) + 1 AS next_idx FROM s GROUP BY user_id")
@@ -305,9 +300,45 @@ def queue_after_swap(spark, d):
     return Q.swap_at(_queue(spark, d), 1).select("user_id", "idx", "pod_id", "episode_idx")
 
 
-@query(STATE + "SELECT user_id, r.i AS idx, r.p AS pod_id, r.e AS episode_idx FROM (SELECT user_id, min({'k': (NOT is_current)::INT, 'i': idx, 'p': pod_id, 'e': episode_idx}) AS r FROM s GROUP BY user_id)")
+PREVIOUS = """, p AS (SELECT user_id, max({'t': logged_time, 'i': log_id, 'p': pod_id, 'e': episode_idx}) AS p FROM player_queue WHERE user_id IS NOT NULL AND episode_idx IS NOT NULL AND start_pos > 0 GROUP BY user_id)"""
+
+
+@query(STATE + PREVIOUS + """SELECT user_id, r.i AS idx, r.p AS pod_id, r.e AS episode_idx FROM (SELECT s.user_id, min({'k': CASE WHEN is_current THEN 0 WHEN p.p.p = pod_id AND p.p.e = episode_idx THEN 1 ELSE 2 END, 'i': idx, 'p': pod_id, 'e': episode_idx}) AS r FROM s LEFT JOIN p USING (user_id) GROUP BY s.user_id)""")
 def queue_current_item(spark, d):
-    return Q.current_item(_queue(spark, d))
+    """The previous item is the one whose position was saved last."""
+    played = t(spark, d, "player_queue").where("user_id IS NOT NULL AND episode_idx IS NOT NULL AND start_pos > 0")
+    previous = played.groupBy("user_id").agg(F.max(F.struct("logged_time", "log_id", "pod_id", "episode_idx")).alias("p")).select("user_id", "p.pod_id", "p.episode_idx")
+    return Q.current_item(_queue(spark, d), previous)
+
+
+@query(STATE + ", n AS (SELECT user_id, count(*) AS n, max((idx = 3)::INT) AS there FROM s GROUP BY user_id) SELECT user_id, idx, CASE WHEN there = 1 THEN idx = 3 WHEN n = 1 THEN true ELSE is_current END AS is_current FROM s JOIN n USING (user_id)")
+def queue_set_current(spark, d):
+    return Q.set_current(_queue(spark, d), F.lit(3)).select("user_id", "idx", "is_current")
+
+
+@query(STATE + "SELECT user_id, idx, pod_id, episode_idx FROM s ORDER BY user_id, idx")
+def queue_in_order(spark, d):
+    return Q.ordered(_queue(spark, d)).select("user_id", "idx", "pod_id", "episode_idx")
+
+
+EPISODES = """, k AS (SELECT book_id, chapter_number, chapter_id, chapter_title FROM chapters WHERE book_id IS NOT NULL AND chapter_number IS NOT NULL),
+e AS (SELECT 'pod' || book_id AS pod_id, chapter_number AS number, row_number() OVER (PARTITION BY book_id ORDER BY chapter_number) - 1 AS place, title, dur AS duration
+ FROM (SELECT book_id, chapter_number, min({'i': chapter_id, 't': chapter_title}).t AS title, format('{}:{:02d}', max(chapter_id) % 50, max(chapter_id) % 60) AS dur FROM k GROUP BY ALL)) """
+
+
+@query(STATE + EPISODES + """SELECT s.user_id, s.idx, coalesce(nullif(CASE WHEN a.pod_id IS NOT NULL THEN a.title ELSE b.title END, ''), 'Episode ' || s.episode_idx) AS title,
+ coalesce(nullif(k.book_title, ''), s.pod_id) AS pod_title, coalesce(CASE WHEN a.pod_id IS NOT NULL THEN a.duration ELSE b.duration END, '--:--') AS duration
+FROM s LEFT JOIN books k ON 'pod' || k.id = s.pod_id LEFT JOIN e a ON a.pod_id = s.pod_id AND a.number = s.episode_idx LEFT JOIN e b ON b.pod_id = s.pod_id AND b.place = s.episode_idx""")
+def queue_items(spark, d):
+    """Each queued item's episode: a chapter of the pod's book, whose length in the fixture is made from its id."""
+    pod = lambda x: F.concat(F.lit("pod"), x.cast("string"))
+    pods = t(spark, d, "books").select(pod(c("id")).alias("pod_id"), c("book_title").alias("pod_title"))
+    each = t(spark, d, "chapters").where("book_id IS NOT NULL AND chapter_number IS NOT NULL").groupBy("book_id", c("chapter_number").alias("number"))
+    each = each.agg(F.min(F.struct("chapter_id", "chapter_title"))["chapter_title"].alias("title"), F.max("chapter_id").alias("last"))
+    placed = numbered(each, ["book_id"], F.floor(c("number") / 4096), ["number"], "place")
+    length = F.format_string("%d:%02d", c("last") % 50, c("last") % 60)
+    episodes = placed.select(pod(c("book_id")).alias("pod_id"), "number", (c("place") - 1).alias("place"), "title", length.alias("duration"))
+    return Q.resolve_items(_queue(spark, d), pods, episodes)
 
 
 @query("""SELECT user_id, book_title, min(id) AS id, max(t) AS modified_time, (array_agg(visibility ORDER BY t DESC, id DESC))[1] AS visibility
@@ -319,14 +350,14 @@ def upsert_books(spark, d):
 @query("SELECT book_title, (array_agg(id ORDER BY (user_id <> (SELECT min(user_id) FROM books))::INT, id))[1] AS id FROM books WHERE book_title IS NOT NULL AND (user_id = (SELECT min(user_id) FROM books) OR visibility = 1) GROUP BY book_title")
 def preferred_books(spark, d):
     books = t(spark, d, "books")
-    return Q.preferred_book(books, books.agg(F.min("user_id")).first()[0])
+    return Q.preferred_book(books, books.agg(F.min("user_id").alias("me")))
 
 
 @query("SELECT id, user_id, book_title, visibility, coalesce(user_id = (SELECT min(user_id) FROM books), false) AS is_owner FROM books WHERE user_id = (SELECT min(user_id) FROM books) OR visibility = 1")
 def visible_books(spark, d):
     books = t(spark, d, "books")
-    me = books.agg(F.min("user_id")).first()[0]
-    return books.where((c("user_id") == me) | (c("visibility") == 1)).select("id", "user_id", "book_title", "visibility", F.coalesce(c("user_id") == me, F.lit(False)).alias("is_owner"))
+    me = c("me")
+    return books.crossJoin(F.broadcast(books.agg(F.min("user_id").alias("me")))).where((c("user_id") == me) | (c("visibility") == 1)).select("id", "user_id", "book_title", "visibility", F.coalesce(c("user_id") == me, F.lit(False)).alias("is_owner"))
 
 
 @query("SELECT count(*) FILTER (WHERE status IN ('queued', 'paused')) AS waiting, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status IN ('success', 'fail', 'cancelled')) AS done, count(*) AS total FROM jobs")
@@ -335,24 +366,27 @@ def job_status_counts(spark, d):
     return t(spark, d, "jobs").agg(F.count_if(s.isin("queued", "paused")).alias("waiting"), F.count_if(s == "running").alias("running"), F.count_if(s.isin("success", "fail", "cancelled")).alias("done"), F.count("*").alias("total"))
 
 
-@query("SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY id)::BIGINT - 1 AS position FROM jobs WHERE status = 'queued'")
+@query("SELECT j.id, coalesce(w.n - 1, -1) AS position FROM jobs j LEFT JOIN (SELECT id, row_number() OVER (ORDER BY id) AS n FROM jobs WHERE status = 'queued') w USING (id)")
 def queue_position(spark, d):
-    waiting = t(spark, d, "jobs").where("status = 'queued'")
-    return numbered(waiting.select("id", "user_id"), ["user_id"], F.substring("id", 1, 9), ["id"], "n").select("id", "user_id", (c("n") - 1).alias("position"))
+    """Place in the one waiting list, -1 for jobs that aren't waiting."""
+    jobs = t(spark, d, "jobs").select("id", "status")
+    placed = numbered(jobs.where("status = 'queued'").select("id"), [], F.substring("id", 1, 11), ["id"], "n")
+    return jobs.join(placed, "id", "left").select("id", F.coalesce(c("n") - 1, F.lit(-1)).cast("long").alias("position"))
 
 
-@query("SELECT id FROM (SELECT id FROM jobs WHERE status <> 'running' AND (SELECT count(*) FROM jobs) > 1000 ORDER BY id LIMIT 500)")
+@query("SELECT id FROM (SELECT id FROM jobs WHERE status <> 'running' AND (SELECT count(*) FROM jobs) > 20 ORDER BY id LIMIT 10)")
 def prune_jobs(spark, d):
-    return Q.prune(t(spark, d, "jobs"))
+    """With limits low enough to act on a small table."""
+    return Q.prune(t(spark, d, "jobs"), most=20, cut=10)
 
 
-@query()
+@query("""WITH e AS (SELECT id, i, p, map_keys(p) AS ks, list_contains(map_keys(p), 'key') AND list_contains(map_keys(p), 'value') AS kv, len(map_keys(p)) AS n FROM (SELECT id, unnest(params) AS p, generate_subscripts(params, 1) AS i FROM jobs)),
+x AS (SELECT id, i, CASE WHEN kv THEN p['key'] ELSE k END AS k, CASE WHEN kv THEN p['value'] ELSE p[k] END AS v, NOT kv AND n > 1 AS weak FROM (SELECT *, unnest(CASE WHEN kv THEN ['key'] ELSE ks END) AS k FROM e)),
+y AS (SELECT *, max(i) FILTER (WHERE NOT weak) OVER (PARTITION BY id, k) AS strong, min(i) OVER (PARTITION BY id, k) AS first FROM x WHERE k <> '')
+SELECT id, k AS name, v AS value FROM y WHERE i = coalesce(strong, first)""")
 def job_params(spark, d):
-    """Parameter bags as one map: key/value entries and one-entry maps, the last of a name wins."""
-    entry = lambda m: F.when(F.size(m) == 0, None).when(F.map_contains_key(m, "key"), F.struct(m["key"].alias("k"), m["value"].alias("v"))).otherwise(F.struct(F.element_at(F.map_keys(m), 1).alias("k"), F.element_at(F.map_values(m), 1).alias("v")))
-    pairs = F.filter(F.transform(F.coalesce("params", F.array().cast("array<map<string,string>>")), entry), lambda e: e["k"].isNotNull())
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda o: o["k"] == e["k"]))
-    return t(spark, d, "jobs").select("id", F.to_json(F.map_from_entries(F.array_sort(last))).alias("params"))
+    """One row a parameter: key/value entries and one-entry maps, the last of a name; of larger maps the first, where no other names it."""
+    return Q.normalised_params(t(spark, d, "jobs"))
 
 
 @query(f"""SELECT id, greatest(0, least(100, progress))::BIGINT AS progress, lower(trim(command)) AS command,
@@ -380,16 +414,31 @@ def _words(spark, d):
     return L.timed_words(t(spark, d, "clips"))
 
 
-@query(W + "SELECT id, p AS start, s AS \"end\" FROM (SELECT id, lag(e) OVER (PARTITION BY id ORDER BY pos) AS p, s FROM w WHERE s IS NOT NULL AND e IS NOT NULL) WHERE s > p + 0.001")
+W0 = W + """, c AS (SELECT id, start_timestamp AS t0, end_timestamp - start_timestamp AS total FROM clips WHERE end_timestamp > start_timestamp),
+o AS (SELECT w.id, pos, s - t0 AS s, e - t0 AS e FROM w JOIN c USING (id) WHERE s IS NOT NULL AND e IS NOT NULL),
+g AS (SELECT id, lag(e, 1, 0.0) OVER (PARTITION BY id ORDER BY pos) AS a, s AS b FROM o),
+gaps AS (SELECT id, a AS start, b AS "end" FROM g WHERE b > a + 0.001 UNION ALL
+ SELECT id, coalesce(l, 0), total FROM c LEFT JOIN (SELECT id, arg_max(e, pos) AS l FROM o GROUP BY id) USING (id) WHERE coalesce(l, 0) < total - 0.001)"""
+
+
+def _recorded(spark, d):
+    """(words with times from the beginning of their clip, totals) of the clips that have a length."""
+    clips = t(spark, d, "clips").where("end_timestamp > start_timestamp").select("id", c("start_timestamp").alias("t0"), (c("end_timestamp") - c("start_timestamp")).alias("total"))
+    words = _words(spark, d).join(clips.select("id", "t0"), "id").withColumn("start", c("start") - c("t0")).withColumn("end", c("end") - c("t0"))
+    return words, clips.select("id", "total")
+
+
+@query(W0 + 'SELECT id, round(start, 3) AS start, round("end", 3) AS "end" FROM gaps')
 def gap_complement(spark, d):
-    return L.speech_gaps(_words(spark, d))
+    gaps = L.speech_gaps(*_recorded(spark, d))
+    return gaps.select("id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query(W + """SELECT id, round(sum(e - s), 3) AS speech, round(greatest(0, max(e) - min(s) - sum(e - s)), 3) AS silence FROM w WHERE s IS NOT NULL AND e IS NOT NULL GROUP BY id""")
+@query(W0 + """SELECT c.id, round(coalesce(p.speech, 0), 3) AS speech, round(coalesce(q.silence, 0), 3) AS silence, round(100 * coalesce(p.speech, 0) / total, 1) AS speech_pct, round(100 * coalesce(q.silence, 0) / total, 1) AS silence_pct,
+ round(1 - coalesce(p.speech, 0) / total, 3) AS silent_part FROM c LEFT JOIN (SELECT id, sum(e - s) AS speech FROM o GROUP BY id) p USING (id) LEFT JOIN (SELECT id, sum("end" - start) AS silence FROM gaps GROUP BY id) q USING (id)""")
 def speech_totals(spark, d):
-    words = _words(spark, d).where("start IS NOT NULL AND `end` IS NOT NULL")
-    spoken = F.sum(c("end") - c("start"))
-    return words.groupBy("id").agg(F.round(spoken, 3).alias("speech"), F.round(F.greatest(F.lit(0.0), F.max("end") - F.min("start") - spoken), 3).alias("silence"))
+    words, totals = _recorded(spark, d)
+    return L.speech_totals(words, totals)
 
 
 @query(W + """, r AS (SELECT *, regexp_matches(word, '[.?!;]+$')::INT AS is_end, lead(s) OVER (PARTITION BY id ORDER BY pos) AS nxt FROM w WHERE word IS NOT NULL),
@@ -412,22 +461,47 @@ def utterances_within_budget(spark, d):
     return L.within_budget(clips, "user_id", F.floor(c("id") / 4096), ["id", "sentence"], 0.4, 1800.0).select("user_id", "id", c("sentence").cast("long").alias("sentence"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query()
+SEGMENTS = W.replace("WITH w AS", "WITH RECURSIVE w AS") + """, f AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS k, coalesce(s, 0) AS a, coalesce(e, 0) AS b, coalesce(word, '') AS t, coalesce(e, 0) - coalesce(s, 0) AS n FROM w WHERE coalesce(e, 0) - coalesce(s, 0) > 0),
+r AS (SELECT id, k, a, b, t, CASE WHEN n > 15 THEN 0 ELSE n END AS cur, 0 AS grp, n <= 15 AS kept FROM f WHERE k = 1
+ UNION ALL SELECT f.id, f.k, f.a, f.b, f.t, CASE WHEN f.n > 15 THEN 0 WHEN r.cur + f.n > 10 AND r.cur >= 8 THEN f.n ELSE r.cur + f.n END,
+  CASE WHEN f.n > 15 OR r.cur + f.n > 10 AND r.cur >= 8 THEN r.grp + 1 ELSE r.grp END, f.n <= 15 FROM r JOIN f ON f.id = r.id AND f.k = r.k + 1),
+u AS (SELECT id, grp, arg_min(a, k) AS a, arg_max(b, k) AS b, string_agg(trim(t), ' ' ORDER BY k) AS text, arg_max(cur, k) AS total FROM r WHERE kept GROUP BY id, grp),
+v AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY grp) - 1)::INT AS utterance, a AS start, b AS "end", text FROM u WHERE total BETWEEN 1 AND 15) """
+
+
+@query(SEGMENTS + "SELECT * FROM v")
 def utterances_b(spark, d):
     return L.segment_groups(_words(spark, d))
 
 
-@query()
+@query(SEGMENTS + """, x AS (SELECT c.user_id, v.*, coalesce(sum(round(("end" - start) * 1000)::BIGINT) OVER (PARTITION BY c.user_id ORDER BY v.id, utterance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v JOIN clips c ON c.id = v.id)
+SELECT user_id, id, utterance FROM x WHERE before < 60000""")
+def utterances_b_within_budget(spark, d):
+    """The first minute of each user's utterances; a run ends with the one that reaches it."""
+    groups = L.segment_groups(_words(spark, d)).join(t(spark, d, "clips").select("id", "user_id"), "id")
+    return L.within_budget(groups, "user_id", F.floor(c("id") / 4096), ["id", "utterance"], 0.0, 60.0).select("user_id", "id", "utterance")
+
+
+PACKED = W.replace("WITH w AS", "WITH RECURSIVE w AS") + """, f AS (SELECT id, pos AS k, coalesce(word, '') AS t, length(coalesce(word, '')) + 1 AS n, s FROM w),
+r AS (SELECT id, k, t, n AS cur, 0 AS line, s FROM f WHERE k = 0 UNION ALL
+ SELECT f.id, f.k, f.t, CASE WHEN r.cur + f.n > 30 THEN f.n ELSE r.cur + f.n END, CASE WHEN r.cur + f.n > 30 THEN r.line + 1 ELSE r.line END, f.s FROM r JOIN f ON f.id = r.id AND f.k = r.k + 1) """
+
+
+@query(PACKED + "SELECT id, list(words ORDER BY line) AS lines FROM (SELECT id, line, list(t ORDER BY k) AS words FROM r GROUP BY id, line) GROUP BY id")
 def line_packing(spark, d):
     words = F.transform(F.from_json("transcript", L.WORDS), lambda w: F.coalesce(w["word"], F.lit("")))
-    return t(spark, d, "clips").where("transcript IS NOT NULL").select("id", X.pack_lines(words).alias("lines"))
+    return t(spark, d, "clips").select("id", words.alias("w")).where(F.size("w") > 0).select("id", X.pack_lines(c("w")).alias("lines"))
+
 
+LENGTHS = "SELECT id, start_timestamp AS t0, end_timestamp - start_timestamp AS total FROM clips WHERE end_timestamp - start_timestamp > 0 AND end_timestamp - start_timestamp <= 60"
 
-@query(W + "SELECT w.id, pos, CASE WHEN c.start_timestamp + 5 >= e THEN 'spoken' WHEN c.start_timestamp + 5 >= s THEN 'current' ELSE 'pending' END AS state FROM w JOIN clips c ON c.id = w.id")
+
+@query(W + f""", f AS (SELECT id, t0 + frame AS moment, frame::INT AS frame FROM (SELECT *, unnest(range(0, floor(total)::BIGINT)) AS frame FROM ({LENGTHS}) WHERE total >= 1))
+SELECT f.id, frame, pos, CASE WHEN moment >= e THEN 'spoken' WHEN moment >= s THEN 'current' ELSE 'pending' END AS state FROM f JOIN w ON w.id = f.id""")
 def word_states(spark, d):
-    clips = t(spark, d, "clips")
-    at = clips.select("id", (c("start_timestamp") + 5).alias("at"))
-    return L.word_states(_words(spark, d).join(at, "id"), c("at")).select("id", "pos", "state")
+    length = c("end_timestamp") - c("start_timestamp")
+    clips = t(spark, d, "clips").where((length > 0) & (length <= 60)).select("id", c("start_timestamp").alias("start"), length.alias("length"))
+    return L.word_states(L.frames(clips, 1), _words(spark, d).select("id", "pos", "start", "end"))
 
 
 @query(W + "SELECT id, pos, round_even(coalesce(s, 0) + 12.5, 3) AS start FROM w")
@@ -435,21 +509,24 @@ def word_offsets(spark, d):
     return _words(spark, d).select("id", "pos", T.word_offset(c("start"), F.lit(12.5)).alias("start"))
 
 
-@query("""WITH s AS (SELECT id, (end_timestamp - start_timestamp) AS length, (id % 9 + 1)::INT AS n_lines FROM clips WHERE end_timestamp - start_timestamp > 0 AND end_timestamp - start_timestamp <= 60),
-f AS (SELECT *, length / 3 AS trigger, greatest(0, n_lines - 6) * 36 AS most, unnest(range(0, floor(length * 2)::BIGINT)) AS frame FROM s WHERE length * 2 >= 1)
-SELECT id, frame, CASE WHEN n_lines > 6 AND frame / 2 > trigger THEN floor(least(1.0, greatest(0.0, (frame / 2 - trigger) / (length - trigger))) * most) ELSE 0 END::BIGINT AS offset_px FROM f""")
+@query(PACKED + f""", z AS (SELECT id, max(line) + 1 AS n_lines, count(*) FILTER (WHERE line < 1) AS upto FROM r GROUP BY id),
+d AS (SELECT z.id, n_lines, r.s AS due FROM z LEFT JOIN r ON r.id = z.id AND r.k = z.upto),
+m AS (SELECT c.*, n_lines, CASE WHEN n_lines > 2 THEN coalesce(due, t0) - t0 ELSE 0.0 END AS trigger FROM ({LENGTHS}) c JOIN d USING (id)),
+y AS (SELECT *, unnest(range(0, floor(total * 4)::BIGINT)) AS frame FROM m WHERE floor(total * 4) >= 1)
+SELECT id, frame, CASE WHEN n_lines > 2 AND frame / 4 > trigger THEN floor(least(1.0, greatest(0.0, (frame / 4 - trigger) / CASE WHEN trigger < total THEN total - trigger ELSE 1.0 END)) * (n_lines - 2) * 36) ELSE 0 END::BIGINT AS offset_px FROM y""")
 def scroll_offsets(spark, d):
+    """With two visible lines, since the fixture's clips have few."""
     length = c("end_timestamp") - c("start_timestamp")
-    clips = t(spark, d, "clips").where((length > 0) & (length <= 60)).select("id", length.alias("length"), (c("id") % 9 + 1).cast("int").alias("n_lines"), (length / 3).alias("trigger"))
-    return L.scroll_offsets(clips, 2, 6, 36).select("id", c("frame").cast("long").alias("frame"), "offset_px")
+    clips = t(spark, d, "clips").where((length > 0) & (length <= 60)).select("id", c("start_timestamp").alias("start"), length.alias("length"), F.from_json("transcript", L.WORDS).alias("words")).where(F.size("words") > 0)
+    return L.scroll_offsets(clips, visible=2).select("id", c("frame").cast("long").alias("frame"), "offset_px")
 
 
-@query("""WITH k AS (SELECT user_id AS chunk_idx, (event_id // 2 % 7 + 1)::INT AS attempt, (event_id % 2)::INT AS copy, round(value / 200, 6) AS silence FROM events WHERE event_id % 7 < 3 AND value IS NOT NULL),
+@query("""WITH k AS (SELECT user_id AS chunk_idx, (event_id // 2 % 7 + 1)::INT AS attempt, (event_id % 2)::INT AS copy, round(value / 200, 6) AS silence FROM events WHERE value IS NOT NULL),
 u AS (SELECT chunk_idx, attempt, copy, min(silence) AS silence FROM k GROUP BY ALL)
 SELECT chunk_idx, coalesce(a.attempt, l.attempt) AS attempt, coalesce(a.copy, l.copy) AS copy, coalesce(a.silence, l.silence) AS silence, a IS NOT NULL AS accepted FROM (
 SELECT chunk_idx, min({'attempt': attempt, 'copy': copy, 'silence': silence}) FILTER (WHERE silence <= 0.1) AS a, min({'s': silence, 'attempt': attempt, 'copy': copy, 'silence': silence}) AS l FROM u WHERE attempt <= 5 GROUP BY chunk_idx)""")
 def best_candidate(spark, d):
-    rows = t(spark, d, "events").where("event_id % 7 < 3 AND value IS NOT NULL").select(c("user_id").alias("chunk_idx"), (F.floor(c("event_id") / 2) % 7 + 1).cast("int").alias("attempt"), (c("event_id") % 2).cast("int").alias("copy"), F.round(c("value") / 200, 6).alias("silence"))
+    rows = t(spark, d, "events").where("value IS NOT NULL").select(c("user_id").alias("chunk_idx"), (F.floor(c("event_id") / 2) % 7 + 1).cast("int").alias("attempt"), (c("event_id") % 2).cast("int").alias("copy"), F.round(c("value") / 200, 6).alias("silence"))
     return L.best_candidates(rows.groupBy("chunk_idx", "attempt", "copy").agg(F.min("silence").alias("silence")))
 
 
@@ -494,10 +571,12 @@ def tts_progress(spark, d):
     return t(spark, d, "events").where("value IS NOT NULL").select("event_id", T.stage_percent(c("event_id") % 17 + 1, F.lit(17)).alias("pct"), F.floor((c("value") / done - c("value")) * 100).cast("long").alias("eta_cs"), T.clamp_progress(F.bround(c("value") * 3)).alias("clamped"))
 
 
-@query("""SELECT p_partkey, CASE WHEN w * 720 > h * 406 THEN (720 * (w / h))::BIGINT ELSE 406 END AS nw FROM (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 50 + 1)::DOUBLE AS h FROM part)""".replace("(720 * (w / h))::BIGINT", "floor(720 * (w / h))::BIGINT"))
+@query("""WITH s AS (SELECT p_partkey, p_size::DOUBLE AS w, (p_partkey % 50 + 1)::DOUBLE AS h FROM part),
+n AS (SELECT p_partkey, CASE WHEN w / h > 406 / 720::DOUBLE THEN floor(720 * (w / h)) ELSE 406 END::BIGINT AS new_width, CASE WHEN w / h > 406 / 720::DOUBLE THEN 720 ELSE floor(406 / (w / h)) END::BIGINT AS new_height FROM s)
+SELECT *, (new_width - 406) // 2 AS left_px, (new_height - 720) // 2 AS top_px FROM n""")
 def cover_geometry(spark, d):
-    w, h = c("p_size").cast("double"), (c("p_partkey") % 50 + 1).cast("double")
-    return t(spark, d, "part").select("p_partkey", F.when(w * 720 > h * 406, F.floor(720 * (w / h))).otherwise(406).cast("long").alias("nw"))
+    g = T.fill_frame(c("p_size").cast("double"), (c("p_partkey") % 50 + 1).cast("double"), 406, 720)
+    return t(spark, d, "part").select("p_partkey", g.alias("g")).select("p_partkey", *(c(f"g.{n}").alias(n) for n in ("new_width", "new_height", "left_px", "top_px")))
 
 
 @query(r"""SELECT p_partkey, replace(replace(regexp_extract(p_name, '([^/]*)$', 1), ' ', ''), '\', '') AS pod, regexp_replace(regexp_replace(p_name, '\.[^.]+$', ''), '\s', '', 'g') AS name, regexp_replace(lower(trim(p_brand)), '-tts$', '') AS model FROM part""")
@@ -505,19 +584,18 @@ def sanitize_titles(spark, d):
     return t(spark, d, "part").select("p_partkey", X.sanitize_title(c("p_name")).alias("pod"), X.sanitize_name(c("p_name")).alias("name"), X.strip_suffix(c("p_brand")).alias("model"))
 
 
-@query("SELECT id, url_encode(video_url) AS u FROM clips WHERE false")
+@query("SELECT id, replace(url_encode(video_url), '%2F', '/') AS u FROM clips WHERE video_url IS NOT NULL")
 def quoted_urls(spark, d):
     return t(spark, d, "clips").where("video_url IS NOT NULL").select("id", X.quote_path(c("video_url")).alias("u"))
 
 
-ORACLE.pop("quoted_urls")
-
-
-@query("SELECT id, title, CASE WHEN title = '' THEN 0 ELSE coalesce(try_cast(title AS BIGINT), 9007199254740991) END AS sort_key FROM (SELECT id, trim(coalesce(regexp_extract(book_title, '([0-9]+)$', 1), '')) AS title FROM books)")
+@query("""WITH k AS (SELECT id, title, CASE WHEN title = '' THEN 0 ELSE coalesce(try_cast(title AS BIGINT), 9007199254740991) END AS sort_key FROM (SELECT id, trim(CASE WHEN id % 7 = 0 THEN 'x' ELSE coalesce(regexp_extract(book_title, '([0-9]+)$', 1), '') END) AS title FROM books))
+SELECT *, row_number() OVER (ORDER BY sort_key, id) AS place FROM k ORDER BY place""")
 def sort_indices(spark, d):
-    title = F.coalesce(F.regexp_extract("book_title", "([0-9]+)$", 1), F.lit(""))
-    rows = t(spark, d, "books").select("id", title.alias("title"))
-    return rows.select("id", "title", F.when(c("title") == "", F.lit(0)).otherwise(F.coalesce(c("title").try_cast("long"), F.lit(9007199254740991))).cast("long").alias("sort_key"))
+    """Books by the number at the end of their title; every seventh has a sign that is none."""
+    title = F.when(c("id") % 7 == 0, F.lit("x")).otherwise(F.coalesce(F.regexp_extract("book_title", "([0-9]+)$", 1), F.lit("")))
+    rows = t(spark, d, "books").select("id", title.alias("title")).withColumn("sort_key", X.numeric_key(c("title")))
+    return numbered(rows, [], F.least(F.floor(c("sort_key") / 64), F.lit(1 << 20)), ["sort_key", "id"], "place").orderBy("place")
 
 
 @query("SELECT (array_agg(model_name ORDER BY log_id))[1] AS model_name, count(*) AS n FROM player_queue WHERE model_name IS NOT NULL AND trim(model_name) <> '' GROUP BY lower(trim(model_name))")
@@ -526,12 +604,15 @@ def dedupe_names(spark, d):
     return rows.groupBy(F.lower(F.trim("model_name")).alias("k")).agg(F.min(F.struct("log_id", "model_name"))["model_name"].alias("model_name"), F.count("*").alias("n")).drop("k")
 
 
-@query("SELECT user_id, list_sort(list_distinct(list_transform(array_agg(event_id % 20), lambda x: x::BIGINT))) AS ids, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id")
+@query("SELECT user_id, list(k ORDER BY first) AS ids FROM (SELECT user_id, event_id % 20 AS k, min(ts) AS at, min({'t': ts, 'i': event_id}) AS first FROM events GROUP BY ALL) GROUP BY user_id")
 def dedupe_ids(spark, d):
-    return t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(c("event_id") % 20)).alias("ids"), F.count_distinct("event_type").alias("n_types"))
+    """The distinct ids of each user in the order of their first event."""
+    first = t(spark, d, "events").groupBy("user_id", (c("event_id") % 20).alias("k")).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    return first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "k"))), lambda x: x["k"]).alias("ids"))
 
 
-@query()
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.embedding::DOUBLE[]) AS x FROM q JOIN embeddings e ON e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS r FROM s) SELECT query_id, vec_id, round(x, 6) AS score FROM r WHERE r <= 5""")
 def speaker_similarity(spark, d):
     v = t(spark, d, "embeddings")
     return top_similar(v, v.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
@@ -555,3 +636,6 @@ def ext_grouping_sets(spark, d):
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def ext_hourly_events(spark, d):
     return t(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+from foliant.plans import records  # noqa: E402, F401  (registers its queries)

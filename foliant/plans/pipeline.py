@@ -18,7 +18,7 @@ def phase_one(entries: DataFrame) -> DataFrame:
     run = Window.partitionBy("file", "path").orderBy("pos")
     cut = M.slice_by_anchor(F.col("html"), F.col("anchor"), F.lead("anchor").over(run))
     rows = entries.where("html IS NOT NULL").withColumn("part", cut)
-    chapters = rows.select(F.col("file").alias("book_id"), F.col("pos").cast("long").alias("chapter_id"), (F.col("pos") + 1).alias("chapter_number"), F.col("title").alias("chapter_title"), M.strip_html(drop_script=True)(F.col("part")).alias("content_text"))
+    chapters = rows.select(F.col("file").alias("book_id"), F.col("pos").cast("long").alias("chapter_id"), (F.col("pos") + 1).alias("chapter_number"), F.col("title").alias("chapter_title"), F.col("href"), M.strip_html(drop_script=True)(F.col("part")).alias("content_text"))
     return C.merge_short(chapters)
 
 

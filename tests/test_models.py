@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from foliant.functions import markup as M, text as X
-from foliant.operators import prefix, queues as Q, timeline as L
+from foliant.operators import chapters as C, prefix, queues as Q, sequences as S, timeline as L
 from foliant.operators.similarity import top_similar
 
 TEXTS = [None, "", "   ", "One. Two! Three? Four", "A " * 400, "x" * 2500, "Dr. Who left. He (or she (maybe)) ran, and ran; and ran. . . . Then J. R. came.", "Wait... now.  Next\nline. 一。二"]
@@ -137,3 +137,84 @@ def test_parens_of_any_depth(spark):
     texts = ["a" + "(b" * n + ")" * n + "c" for n in (1, 8, 9, 40)] + ["((((((((((x)))))))))) (y", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.x for r in df.select(X.strip_parens_deep(F.col("t")).alias("x")).collect()] == ["ac"] * 4 + [" (y", "", None]
+
+
+def test_ignored_blocks_part_words_and_void_tags_close_nothing():
+    ads = frozenset(["Ad"])
+    assert M.strip_html_text('One<div class="ad">x</div>Two', ads) == "One. Two"
+    assert M.strip_html_text('One<div class="x AD">x<br>y<p>z</div> Two <b>three</b>', ads) == "One. Two three"
+    assert M.strip_html_text("<style>a</style>One", drop_script=True) == "One"
+
+
+def test_anchors_in_any_case():
+    doc = '<p ID="a">one</p><p Id="b">two</p>'
+    assert M.slice_by_anchor_text(doc, "A", "B") == '<p ID="a">one</p>' and M.slice_by_anchor_text(doc, "c", None) == doc
+
+
+def test_roman_numerals_keep_brackets():
+    assert M.roman_text("Louis XIV (king) rules. And I am X.") == "Louis 14 (king) rules. And I am 10. "
+    assert M.roman_text("   ") == "   " and M.roman_text(None) is None
+    assert len(M.VALUES) == 39 and M.VALUES["XXXIX"] == 39 and M.VALUES["XIV"] == 14
+
+
+def test_rule_checks_and_removed_texts(spark):
+    df = spark.createDataFrame([("a (b) c9 d10",), ("",), (None,)], "x string")
+    rows = C.with_rules(df, "x", [r"\(b\)", "(unclosed", r"([a-z])\d+", r"(x)(y)"]).collect()
+    assert [(r.x, r.removed) for r in rows] == [("a   ", ["(b)", "c", "d"]), ("", []), (None, None)]
+    got = C.checked_rules(spark.createDataFrame([(1, "(a"), (2, "a")], "rule_no int, rule string")).collect()
+    assert [r.valid for r in got] == [False, True] and "(a" in got[0].error and got[1].error is None
+
+
+def test_segments_group_by_the_sum_of_their_lengths(spark):
+    rows = [(1, 0, 0.0, 4.0, "a"), (1, 1, 10.0, 14.0, " b "), (1, 2, 20.0, 21.0, "c"), (2, 0, None, 2.0, "x"), (2, 1, 5.0, 5.0, "no"), (2, 2, 6.0, 30.0, "long"), (2, 3, 31.0, 31.5, "short")]
+    df = spark.createDataFrame(rows, "id long, pos int, start double, end double, word string")
+    got = sorted((r.id, r.utterance, r.start, r.end, r.text) for r in L.segment_groups(df).collect())
+    assert got == [(1, 0, 0.0, 21.0, "a b c"), (2, 0, 0.0, 2.0, "x")]
+
+
+def test_gaps_from_the_beginning_to_the_end(spark):
+    words = spark.createDataFrame([(1, 0, 1.0, 2.0), (1, 1, 2.0005, 3.0), (1, 2, 4.0, 3.5)], "id long, pos int, start double, end double")
+    totals = spark.createDataFrame([(1, 6.0), (2, 2.0), (3, 0.0)], "id long, total double")
+    assert sorted(map(tuple, L.speech_gaps(words, totals).collect())) == [(1, 0.0, 1.0), (1, 3.0, 4.0), (1, 3.5, 6.0), (2, 0.0, 2.0)]
+
+
+def test_first_in_first_out(spark):
+    jobs = [(i, (i * 37) % 50, i % 4) for i in range(40)]
+    df = spark.createDataFrame(jobs, "id int, a int, n int").withColumn("k", F.lit("x"))
+    got = {r.id: (r.begins, r.ends) for r in S.fifo_service(df, ["k"], F.floor(F.col("id") / 7), ["id"], F.col("a"), F.col("n")).collect()}
+    free = None
+    for i, a, n in jobs:
+        begins = a if free is None else max(a, free)
+        free = begins + n
+        assert got[i] == (begins, free)
+
+
+def test_early_stopping(spark):
+    for losses, want in (([3, 2, 2, 2, 1], (1, 2.0, 3)), ([3, 2, 2, 1, 1], (3, 1.0, None)), ([5], (0, 5.0, None))):
+        df = spark.createDataFrame([("r", k, float(x)) for k, x in enumerate(losses)], "run string, epoch int, loss double")
+        r = S.early_stopping(df, "run", "epoch", "loss", 2).first()
+        assert (r.best_epoch, r.best_loss, r.stopped_at) == want
+
+
+def test_split_is_whole_and_repeatable(spark):
+    df = spark.range(50).withColumnRenamed("id", "i")
+    a, b = (sorted(map(tuple, S.train_val_split(df.repartition(k), "i", 0.1).collect())) for k in (1, 5))
+    assert a == b and sum(p == "val" for _, p in a) == 5 and len(a) == 50
+    assert S.train_val_split(df.limit(0), "i", 0.1).count() == 0
+
+
+def test_cache(spark):
+    cache = spark.createDataFrame([("a", "old"), ("b", None)], "key string, response string")
+    new = S.stored(cache, spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("c", "3", 1)], "key string, response string, seq long"))
+    assert {r.key: r.response for r in new.collect()} == {"a": "2", "b": None, "c": "3"}
+    got = S.cached(spark.createDataFrame([("a",), ("b",), ("z",)], "key string"), new)
+    assert {r.key: r.response for r in got.collect()} == {"a": "2", "b": None, "z": None}
+
+
+def test_insertions_and_flags(spark):
+    log = spark.createDataFrame([(1, "u", "p", 1, 10), (1, "u", "p", 1, 10), (2, "u", "p", 1, 20), (3, "u", "q", 1, 5), (4, None, "q", 1, 5)], "log_id long, user_id string, pod_id string, episode_idx int, logged_time int")
+    assert {r.log_id: r.inserted for r in Q.insertions(log).collect()} == {1: True, 2: False, 3: True}
+    queue = spark.createDataFrame([("a", 1, "p", 1, True), ("a", 2, "p", 2, False), ("b", 1, "p", 1, False)], "user_id string, idx int, pod_id string, episode_idx int, is_current boolean")
+    assert {(r.user_id, r.idx): r.is_current for r in Q.set_current(queue, F.lit(2)).collect()} == {("a", 1): False, ("a", 2): True, ("b", 1): True}
+    before = spark.createDataFrame([("b", "p", 1), ("a", "p", 2)], "user_id string, pod_id string, episode_idx int")
+    assert {r.user_id: r.idx for r in Q.current_item(queue, before).collect()} == {"a": 1, "b": 1}

@@ -39,7 +39,9 @@ NATS_LINE, NATS_TERM, NATS_WORD = 4.0, 4.2, 4.5
 LEAST = 20
 #: Thresholds by language: the rules whose ends inside texts give them, the odds, the share of those ends that lies lower,
 #: and how many nats below it the threshold is. Headings and open text go on as a rule, so they must end as plausibly as
-#: the upper tenth of the ends without a mark. Signatures stand at texts' ends only, so these give their threshold.
+#: the upper tenth of the ends without a mark, and text that stops at a comma, dash or opener like the upper tenth of the lines
+#: that do. Signatures stand at texts' ends only, so these give their threshold. Without the model only U+FFFD at the end, a
+#: visible mark of a cut, and trailing dots at a source's length limit decide.
 PLAIN = ["list", "list_end", "heading", "verse", "open"]
 LEAST_OF = {
     "list_end": (["list_end"], "line", 0.05, 1.0),
@@ -48,6 +50,7 @@ LEAST_OF = {
     "verse": (["verse"], "term", 0.01, 2.0),
     "dots": (PLAIN, "term", 0.05, 0.7),
     "open": (PLAIN, "line", 0.9, 0.0),
+    "pause": (["pause"], "line", 0.9, 0.0),
 }
 #: A length of a source is a limit if it holds at least so many of its texts and this share of them.
 PILE, PILE_SHARE = 4, 0.006
@@ -235,7 +238,7 @@ def ending(text: str, kind: str | None) -> tuple[str, str] | None:
     if kind == "letter" and last == paragraph and SIGNATURE.match(last) or SIGNATURE.match(last) and last == paragraph and last in ("The End", "Fin", "Ende"):
         return "signature", body
     if c in ",،、，:：—–-(" or c in OPENERS:
-        return "cut", body
+        return "pause", body
     lines = [x for x in body.split("\n") if x.strip()]
     if kind == "verse" or len(lines) > 3 and sum(x.rstrip()[-1] not in TERMINATORS + CLOSERS for x in lines[:-1]) * 3 > 2 * (len(lines) - 1):
         return "verse", body
@@ -342,6 +345,7 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         .when(F.col("rule") == "list", below("list", "word", -NATS_WORD))
         .when(F.col("rule") == "list_end", below("list_end", "line", usual_line - NATS_LINE))
         .when(F.col("rule") == "signature", below("signature", "word", -NATS_WORD))
+        .when(F.col("rule") == "pause", below("pause", "line", 0.0))
         .otherwise(below("open", "line", 0.0))
     )
     return x.select("id", "source", cut.alias("cut"))

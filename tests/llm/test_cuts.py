@@ -88,3 +88,13 @@ def test_open_paragraph_that_ends_on_purpose(spark):
         rows.append(Row(doc_id=i, text=text, lang="en", source="s", doc_kind="chapter"))
     got = {r.id: r.cut for r in C.cut_texts(spark.createDataFrame(rows, schema)).collect()}
     assert C.ending(rows[1].text, "chapter")[0] == "open" and got == {i: i % 10 == 0 for i in range(400)}
+
+
+def test_a_comma_is_judged_by_its_odds(spark):
+    rng = random.Random(9)
+    schema, rows = "doc_id long, text string, lang string, source string, doc_kind string", []
+    for i in range(300):  # address lines end with a comma as a rule, sentences don't
+        text = "\n".join(sentence(rng) for _ in range(6)) + "\n\n" + "\n".join(["Dear Sir or Madam,", sentence(rng), "Yours most sincerely,"])
+        rows.append(Row(doc_id=i, text=text if i % 10 else text.replace("Yours most sincerely,", sentence(rng)[:12] + " and then,"), lang="en", source="s", doc_kind="letter"))
+    got = {r.id: r.cut for r in C.cut_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert all(got[i] for i in got if i % 10 == 0)

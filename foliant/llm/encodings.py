@@ -17,6 +17,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -30,8 +31,14 @@ MULTI = ("gbk", "shift_jis", "euc_jp")
 
 # Russian letters by how often they are used.
 CYR_COMMON, CYR_MID, CYR_RARE = "оеаинтсрвлкмдпу", "яыьгзбчй", "хжшюц"
+# Greek letters by how often they are used.
+GREEK_COMMON, GREEK_MID, GREEK_RARE = "αοιετσνηυρπκμλς", "ωάίόέήύδγθ", "χφβξζψώ"
 # Accented Latin letters of the Western languages here, and others of Latin-1.
 LATIN_COMMON, LATIN_RARE = "éáóíúñäöüßçãõêàèâîôùûëïœÉÁÓÍÚÑÄÖÜÇÃÕÊÀÈÂÎÔ", "åæøìòðþýÿÅÆØÌÒÐÞÝÙÛËÏ"
+# Letters of Central and Eastern European languages and of Turkish that Latin-1 lacks.
+LATIN_EASTERN = "ąćęłńśźżčďěňřšťůžľĺŕőűășțşţđğıİĄĆĘŁŃŚŹŻČĎĚŇŘŠŤŮŽĽĹŔŐŰĂȘȚŞŢĐĞāēīūģķļņĀĒĪŪĢĶĻŅėįųĖĮŲ"
+# The accents that letters of these languages are written with.
+ACCENTS = "\u0300\u0301\u0302\u0303\u0306\u0308\u030a\u030c\u0327\u0345"
 PUNCTUATION = "“”‘’«»„—–…¿¡°¬"
 SIGNS = "·•§€£©®™№†‡‚"
 
@@ -51,7 +58,7 @@ def _kind(c: str) -> tuple[str, float]:
     if o < 0xA0 or c == "�" or 0xE000 <= o < 0xF900 or unicodedata.category(c) in ("Co", "Cn"):
         return "x", 5.0
     if c in PUNCTUATION:
-        return "q", {"“": 0.0, "”": 0.0, "’": 0.0, "‘": 0.0, "—": 0.0, "–": 0.0, "«": 0.1, "»": 0.1, "„": 0.1, "…": 0.1, "¿": 0.1, "¡": 0.1, "°": 0.2}.get(c, 0.3)
+        return "<" if c in "¡¿‘„«" else ">" if c == "»" else "q", {"“": 0.0, "”": 0.0, "’": 0.0, "‘": 0.0, "—": 0.0, "–": 0.0, "«": 0.1, "»": 0.1, "„": 0.1, "…": 0.1, "¿": 0.1, "¡": 0.1, "°": 0.2}.get(c, 0.3)
     if c in SIGNS:
         return "y", 0.9
     if o == 0xA0 or unicodedata.category(c) in ("Zs", "Cf"):
@@ -65,7 +72,8 @@ def _kind(c: str) -> tuple[str, float]:
         own = 0.0 if low in CYR_COMMON else 0.15 if low in CYR_MID else 0.6 if low in CYR_RARE else 0.9 if low in "щэфъё" else 2.2
         return ("cU" if c.isupper() else "cl"), own + (0.1 if c.isupper() else 0.0)
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return ("gU" if c.isupper() else "gl"), 0.1 if c.isupper() else 0.05 if low in "αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋΐΰ" else 1.0
+        own = 0.0 if low in GREEK_COMMON else 0.2 if low in GREEK_MID else 0.5 if low in GREEK_RARE else 1.0
+        return ("gU" if c.isupper() else "gl"), own + (0.1 if c.isupper() else 0.0)
     if 0x4E00 <= o < 0xA000 or 0x3400 <= o < 0x4DC0 or 0xF900 <= o < 0xFB00:
         return "h", 0.25 if _common_han(c) else 1.6
     if 0x3041 <= o < 0x3100:
@@ -84,11 +92,11 @@ def _kind(c: str) -> tuple[str, float]:
     if 0x600 <= o < 0x700:
         return "r", 0.1 if c in "ابتثجحخدذرزسشصضطظعغفقكلمنهويةىءأإآؤئ،؟؛" or 0x64B <= o < 0x653 else 1.5
     if unicodedata.category(c) in ("Mn", "Mc"):
-        return "m", 0.2
+        return "m", 0.2 if not 0x300 <= o < 0x370 else 0.4 if c in ACCENTS else 2.0
     if 0x1F000 <= o or 0x2600 <= o < 0x27C0 or 0x2F00 <= o < 0x2FE0 or 0x1D100 <= o < 0x1D200 or 0xFB00 <= o < 0xFB07 or 0x2010 <= o < 0x2013 or 0x2070 <= o < 0x2090 or 0x2460 <= o < 0x2500:
         return "e", 0.2
     if 0x100 <= o < 0x250:
-        return ("aU" if c.isupper() else "al"), 1.8
+        return ("aU" if c.isupper() else "al"), 0.6 if c in LATIN_EASTERN else 1.8
     if c.isalpha():
         return "o", 2.0
     return "s", 2.0
@@ -124,6 +132,8 @@ def _step(a: str, b: str) -> float:
     letters = "acghdtrow"
     if a[0] in letters and b[0] in letters and len(a + b) > 1:
         return 1.0 if "h" in (a, b) or "t" in (a, b) or "d" in (a, b) else 2.0
+    if b == "<" and a[0] in letters or a == ">" and b[0] in letters:  # an opening or closing mark inside a word
+        return 1.5
     if (a in "sy" or b in "sy") and (a[0] in letters or b[0] in letters):
         return 1.0
     return 0.0
@@ -131,13 +141,15 @@ def _step(a: str, b: str) -> float:
 
 def judged(text: str) -> tuple[float, int]:
     """How implausible the characters of ``text`` are beside each other, and how many of them are plainly wrong."""
-    total, bad, last = 0.0, 0, " "
+    total, bad, last, before = 0.0, 0, " ", " "
     for c in text:
         kind, own = _kind(c)
         step = _step(last, kind)
+        if kind == "m" and c in ACCENTS and len(unicodedata.normalize("NFC", before + c)) > 1:
+            own = 2.0  # an accent that its letter never has
         total += own + step
         bad += own >= 1.0 or step >= 1.0
-        last = kind
+        last, before = kind, c
     return total, bad
 
 
@@ -195,76 +207,90 @@ def _chars_of(charset: str) -> frozenset[str]:
     return frozenset(_bytes_of(charset))
 
 
-class Paths:
-    """Steps in the order to try them: the one that worked last stands first in its list."""
+UTF8 = tuple((r, "utf_8") for r in READ_AS)
+OTHER = tuple((r, w) for r in READ_AS for w in WRITTEN_IN if w != "utf_8" and r != w)
+#: Texts looked at for one segment, and steps behind one another, at most; None for no bound.
+BUDGET, DEPTH = 400, 3
+#: Charsets whose every byte is a letter of a script without case: any bytes look well in them, so each character costs more.
+EACH = {"cp874": 0.1, "cp1256": 0.1, "iso8859_6": 0.1}
+#: A text is read on while its cost is no more than this above the best one: so much, and so much a character.
+MARGIN, MARGIN_EACH = 3.0, 0.05
 
-    def __init__(self):
-        self.utf8 = [(r, "utf_8") for r in READ_AS]
-        self.other = [(r, w) for r in READ_AS for w in WRITTEN_IN if w != "utf_8" and r != w]
 
-    def worked(self, step: tuple[str, str]) -> None:
-        own = self.utf8 if step[1] == "utf_8" else self.other
-        own.remove(step)
-        own.insert(0, step)
+@dataclass
+class Found:
+    """The cheapest text reached: itself, its cost, the cost of the start, whether well-formed UTF-8 gave it, the steps to
+    it, and whether the search ended before all was looked at."""
 
+    text: str
+    cost: float
+    start_cost: float
+    proof: bool
+    steps: list[tuple[str, str]]
+    bounded: bool
 
-def search(start: str, paths: Paths, depth: int = 3, budget: int = 400) -> tuple[str, float, float, bool, list[tuple[str, str]]]:
-    """The cheapest text reachable from ``start``, its cost, the cost of the start, whether UTF-8 explains it, the steps.
 
-    ``budget`` bounds the texts looked at for one segment, not the segments or their length.
+def search(start: str, depth: int | None = DEPTH, budget: int | None = BUDGET) -> Found:
+    """The cheapest text reachable from ``start`` by encode-decode and unescape steps, the cheapest first.
+
+    A text with no implausible character has nothing left to explain and isn't read on. Where well-formed UTF-8 explains a
+    text, only UTF-8 readings of it are tried, and behind one only a reading that leaves nothing implausible.
     """
     base, base_bad = judged(start)
     best, best_cost, proof = start, base, False
+    margin = MARGIN + MARGIN_EACH * len(start)
     seen = {hash(start)}
     came: dict[str, tuple[str, tuple[str, str]]] = {}
-
-    def steps_to(text: str) -> list[tuple[str, str]]:
-        out: list[tuple[str, str]] = []
-        while text in came:
-            text, step = came[text]
-            out.append(step)
-        return out[::-1]
-
-    queue: list[tuple[float, int, int, str]] = [(base, 0, 0, start)]
-    n = 0
-    while queue and n < budget:
-        at, level, _, text = heapq.heappop(queue)
-        if level >= depth or level and at > best_cost + 3.0:
+    queue: list[tuple[float, int, int, str, int, bool]] = [(base, 0, 0, start, base_bad, False)]
+    n, bounded = 0, False
+    while queue:
+        at, level, _, text, bad, sure_here = heapq.heappop(queue)
+        if level and at > best_cost + margin:
+            break  # the queue is in order of cost
+        if level and not bad:
             continue
-        if "&" in text and (plain := html.unescape(text)) != text and hash(plain) not in seen:
-            seen.add(hash(plain))
-            came[plain] = (text, ("", "unescape"))
+        if depth is not None and level >= depth or budget is not None and n >= budget:
+            bounded = True
+            continue
+
+        def put(out: str, step: tuple[str, str], price: float, sure: bool) -> bool:
+            """Whether ``out`` is new and cheaper than the text it was read from."""
+            nonlocal best, best_cost, proof, n
+            if hash(out) in seen:
+                return False
+            seen.add(hash(out))
+            c, wrong = judged(out)  # noqa: B023
+            if sure_here and not sure and wrong:  # noqa: B023
+                return False
+            came[out] = (text, step)  # noqa: B023
             n += 1
-            heapq.heappush(queue, (cost(plain) + 0.4, level + 1, n, plain))
+            c += price
+            if c < best_cost:
+                best, best_cost, proof = out, c, sure
+            heapq.heappush(queue, (c, level + 1, n, out, wrong, sure))  # noqa: B023
+            return c < at  # noqa: B023
+
+        if "&" in text and (plain := html.unescape(text)) != text:
+            put(plain, ("", "unescape"), 0.4 * (level + 1), False)
         chars = set(text)
         raws: dict[str, bytes | None] = {}
-        for steps in (paths.utf8, paths.other):
-            proven = False  # well-formed UTF-8 explains this text: no other reading of it is tried
+        for steps in (UTF8, OTHER):
+            proven = False
             for r, w in steps:
                 if r not in raws:
                     raws[r] = _encode(text, r) if r in MULTI or chars <= _chars_of(r) else None
-                raw = raws[r]
-                if raw is None:
-                    continue
-                out = _decode(raw, w)
-                if out is None or hash(out) in seen:
-                    continue
-                seen.add(hash(out))
-                came[out] = (text, (r, w))
-                n += 1
-                c, bad = judged(out)
-                sure = w == "utf_8" and "�" not in out
-                proven |= sure and c < at
-                c += 0.4 * level + (0.0 if sure else 0.4)
-                if c < best_cost:
-                    best, best_cost, proof = out, c, sure
-                heapq.heappush(queue, (c, level + 1, n, out))
-                if best is out and not bad and (sure or base_bad >= 3):
-                    paths.worked((r, w))
-                    return best, best_cost, base, proof, steps_to(best)
+                out = _decode(raws[r], w) if raws[r] is not None else None
+                if out is not None:
+                    sure = w == "utf_8" and "\ufffd" not in out
+                    proven |= put(out, (r, w), 0.4 * level + (0.0 if sure else 0.4 + EACH.get(w, 0.0) * len(out)), sure) and sure
             if proven:
                 break
-    return best, best_cost, base, proof, steps_to(best)
+    path: list[tuple[str, str]] = []
+    at_text = best
+    while at_text in came:
+        at_text, step = came[at_text]
+        path.append(step)
+    return Found(best, best_cost, base, proof, path[::-1], bounded)
 
 
 # Characters that plain text of these languages holds none of, or only in other surroundings.
@@ -290,13 +316,19 @@ SAFE = frozenset(
 )
 
 
+def _dense(at: list[int], length: int) -> bool:
+    """Whether rare signs make up a quarter of a run, or three of them stand within six."""
+    return len(at) * 4 > length or any(b - a <= 5 for a, b in zip(at, at[2:]))
+
+
 def suspicious(text: str) -> bool:
     """Whether the text holds characters or sequences that plain text of these scripts doesn't."""
     odd = set(text) - SAFE
     if not odd:
         return GREEK_IN_LATIN.search(text) is not None
     han = [c for c in odd if "㐀" <= c <= "鿿"]
-    if han and sum(not _kind_common(c) for c in han) * 4 > len(han):
+    rare = {c for c in han if not _kind_common(c)}
+    if rare and any(_dense([i for i, c in enumerate(run) if c in rare], len(run)) for run in RARE_HAN.findall(text)):
         return True
     return (len(han) < len(odd) or not odd) and SUSPECT.search(text) is not None
 
@@ -327,33 +359,35 @@ def plain_letters(text: str) -> str:
 class Repair:
     """Repairs fields one after the other.
 
-    What one segment teaches about the steps helps the next segments of the same text only, so a text's answer depends
-    on nothing but the text. Answers for short texts are kept.
+    A text's answer depends on nothing but the text. Answers for short texts are kept. ``bounded`` counts the segments
+    whose search ended at ``budget`` or ``depth``.
     """
 
-    def __init__(self, keep: int = 50_000, short: int = 256):
-        self.keep, self.short = keep, short
+    def __init__(self, keep: int = 50_000, short: int = 256, depth: int | None = DEPTH, budget: int | None = BUDGET):
+        self.keep, self.short, self.depth, self.budget = keep, short, depth, budget
         self.kept: dict[str, tuple[str, bool]] = {}
+        self.bounded = 0
         self._fresh()
 
     def _fresh(self) -> None:
-        self.paths = Paths()
         self.memo: dict[str, tuple[str, bool]] = {}
         self.steps: dict[str, list[tuple[str, str]]] = {}
 
     def segment(self, part: str) -> tuple[str, bool]:
         got = self.memo.get(part)
         if got is None:
-            best, after, before, proof, steps = search(part, self.paths)
-            ok = best != part and (proof and before - after >= 0.2 or before - after >= 1.5 and after <= 0.6 * before)
-            got = (best, True) if ok else (part, False)
+            x = search(part, self.depth, self.budget)
+            self.bounded += x.bounded
+            gain = x.start_cost - x.cost
+            ok = x.text != part and (x.proof and gain >= 0.2 or gain >= 1.5 and x.cost <= 0.6 * x.start_cost)
+            got = (x.text, True) if ok else (part, False)
             self.memo[part] = got
             if ok:
-                self.steps[part] = steps
+                self.steps[part] = x.steps
         return got
 
     def parts(self, text: str) -> list[tuple[str, str, bool]]:
-        """(stored, restored, damaged) for consecutive stretches of ``text``."""
+        """(read, restored, damaged) for consecutive stretches of ``text``, read with borrowed letters put back."""
         self._fresh()
         out: list[tuple[str, str, bool]] = []
         for line in re.split(r"(\n+)", plain_letters(text)):
@@ -367,6 +401,13 @@ class Repair:
             pieces, any_part = [], False
             for part in PART.findall(line):
                 fixed, hit = self.segment(part) if suspicious(part) else (part, False)
+                core = part.rstrip("。！？ \t”」』")
+                if not hit and core != part and RARE_HAN.search(core) and suspicious(core):  # its mark may be sound
+                    fixed, hit = self.segment(core)
+                    if hit:
+                        pieces += [(core, fixed, True), (part[len(core) :], part[len(core) :], False)]
+                        any_part = True
+                        continue
                 if not hit and len(runs := BY_SCRIPT.findall(part)) > 1 and suspicious(part):
                     for run in runs:
                         fixed, hit = self.segment(run) if suspicious(run) else (run, False)
@@ -382,7 +423,7 @@ class Repair:
         return out
 
     def field(self, text: str | None) -> tuple[str | None, bool]:
-        """The restored text and whether any stretch of it was decoded wrongly."""
+        """The restored text and whether any stretch of it was decoded wrongly; other stretches stay as stored."""
         if not text:
             return text, False
         if text.isascii():
@@ -392,8 +433,12 @@ class Repair:
             return text, damaged
         if text in self.kept:
             return self.kept[text]
-        parts = self.parts(text)
-        got = "".join(f for _, f, _ in parts), damaged or any(d for _, _, d in parts)
+        out, at = [], 0
+        for read, fixed, hit in self.parts(text):
+            out.append(fixed if hit else text[at : at + len(read)])
+            at += len(read)
+            damaged |= hit
+        got = "".join(out), damaged
         if len(text) <= self.short:
             if len(self.kept) >= self.keep:
                 self.kept.clear()

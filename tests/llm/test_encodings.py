@@ -1,6 +1,6 @@
 import pytest
 
-from foliant.llm.encodings import Repair, repaired_fields
+from foliant.llm.encodings import Repair, repaired_fields, search
 
 TEXTS = ["Le phare de la forêt était fermé, déjà.", "„Niemals!“, rief der Müller über die Brücke.", "El corazón de la estación, mañana.", "Усталый архивариус перевёл стёртую надпись очень медленно.", "没有人知道图书管理员打开了窄窗。", "灯台守は壊れたランプを直した。", "“Where is the key?” asked the keeper’s boy."]
 PATHS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("cp1251", "latin-1"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("gbk", "latin-1"), ("euc_jp", "latin-1")]
@@ -73,3 +73,27 @@ def test_ends_are_carried_back():
     restored, ends = Repair().aligned(bad)
     assert restored == text and len(ends) == len(text) and ends[-1] == len(bad)
     assert [bad[:e].encode("latin-1").decode() for e in ends] == [text[: i + 1] for i in range(len(text))]
+
+
+@pytest.mark.parametrize("text", ["Zażółć gęślą jaźń", "Český král", "Příliš žluťoučký kůň", "Ağır yük", "Γιατί έφυγε ο φύλακας;", "Почему он уехал?"])
+def test_other_languages_come_out_right(text):
+    assert Repair().field(text.encode().decode("latin-1")) == (text, True)
+
+
+def test_undamaged_stretches_stay_as_stored():
+    bad = "Thе old mаn left.\nLe phare Ã©tait fermÃ©."
+    assert Repair().field(bad) == ("Thе old mаn left.\nLe phare était fermé.", True)
+
+
+def test_a_damaged_part_of_a_long_text_is_seen():
+    clean = "没有人知道图书管理员为什么打开了窄窗。" * 200
+    part = "他照例听着远处的钟声".encode().decode("gbk", "ignore") + "。"
+    assert Repair().field(clean + part + clean)[1] and not Repair().field(clean)[1]
+
+
+def test_bounds_of_the_search():
+    x = search("Ã©tÃ©", budget=0)
+    assert x.text == "Ã©tÃ©" and x.bounded
+    assert search("Ã©tÃ©", depth=None, budget=None).text == "été"
+    repair = Repair(budget=0)
+    assert repair.field("Ã©tÃ©") == ("Ã©tÃ©", False) and repair.bounded

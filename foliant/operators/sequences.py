@@ -85,3 +85,24 @@ def stored(cache: DataFrame, answers: DataFrame) -> DataFrame:
     """The cache with answers (key, response, seq) put in: the last of a key wins, over what was there."""
     rows = cache.select("key", "response", F.lit(None).cast("long").alias("seq")).unionByName(answers.select("key", "response", F.col("seq").cast("long")))
     return rows.groupBy("key").agg(F.max(F.struct("seq", "response"))["response"].alias("response"))
+
+
+#: Events of one bucket of a state fold.
+FOLDED = 1024
+
+
+def fold_states(log: DataFrame, key: str, bucket: Column, order: list, event: str, transitions: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """(key, state, n): where each key's events, in order, lead from ``start``; an event without a transition changes nothing.
+
+    ``transitions``: (state, event) to state. Events are folded in buckets of FOLDED rows, each into what it makes of every
+    state; those are then applied one after the other, so a key of any length is spread over its buckets.
+    """
+    states = sorted({start, *transitions.values(), *(s for s, _ in transitions)})
+    table = F.create_map(*(F.lit(x) for (s, e), to in transitions.items() for x in (f"{s}\n{e}", to)))
+    placed = numbered(log, [key], bucket, order, "_n").withColumn("_b", F.floor((F.col("_n") - 1) / FOLDED))
+    parts = placed.groupBy(key, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(event).alias("e")))), lambda x: x["e"]).alias("events"))
+    into = F.create_map(*(x for s in states for x in (F.lit(s), F.aggregate("events", F.lit(s), lambda a, e: F.coalesce(table[F.concat(a, F.lit("\n"), e)], a)))))
+    folded = parts.select(key, "_b", F.size("events").alias("m"), into.alias("into")).groupBy(key)
+    got = folded.agg(F.array_sort(F.collect_list(F.struct("_b", F.map_entries("into").alias("x")))).alias("parts"), F.sum("m").alias("n"))
+    state = F.aggregate("parts", F.lit(start), lambda a, p: F.map_from_entries(p["x"])[a])
+    return got.select(key, state.alias("state"), "n")

@@ -533,3 +533,20 @@ def book_documents(spark, d):
     made = files.book_documents(books, t(spark, d, "chapters").where("chapter_number IS NOT NULL"))
     back = F.from_json("json", "title string, chapters array<struct<chapter_number:int,chapter_title:string,href:string>>")
     return made.select("book_id", back.alias("b")).select("book_id", c("b.title").alias("title"), F.greatest(F.size(F.coalesce("b.chapters", F.array())), F.lit(0)).alias("n_chapters"), F.try_element_at("b.chapters", F.lit(-1))["chapter_title"].alias("last"))
+
+
+# --- state folds ---------------------------------------------------------------------------------------------------
+
+# What an event makes of a visitor's state.
+MOVES = {
+    ("new", "view"): "looking", ("looking", "click"): "choosing", ("choosing", "purchase"): "buyer", ("buyer", "view"): "looking",
+    ("looking", "purchase"): "buyer", ("choosing", "view"): "looking", ("buyer", "click"): "choosing", ("new", "click"): "choosing",
+}
+MOVE_SQL = "CASE r.state || ' ' || f.event_type " + " ".join(f"WHEN '{s} {e}' THEN '{to}'" for (s, e), to in MOVES.items()) + " ELSE r.state END"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'new' AS state FROM events UNION ALL SELECT f.user_id, f.k, {MOVE_SQL} FROM r JOIN f ON f.user_id = r.user_id AND f.k = r.k + 1)
+SELECT user_id, arg_max(state, k) AS state, max(k) AS n FROM r GROUP BY user_id""")
+def visitor_states(spark, d):
+    return S.fold_states(t(spark, d, "events"), "user_id", F.to_date("ts"), ["ts", "event_id"], "event_type", MOVES, "new")

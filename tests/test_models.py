@@ -1,5 +1,6 @@
 """Folds and cleaners against plain Python models."""
 
+import random
 import re
 
 from hypothesis import given, settings, strategies as st
@@ -218,3 +219,18 @@ def test_insertions_and_flags(spark):
     assert {(r.user_id, r.idx): r.is_current for r in Q.set_current(queue, F.lit(2)).collect()} == {("a", 1): False, ("a", 2): True, ("b", 1): True}
     before = spark.createDataFrame([("b", "p", 1), ("a", "p", 2)], "user_id string, pod_id string, episode_idx int")
     assert {r.user_id: r.idx for r in Q.current_item(queue, before).collect()} == {"a": 1, "b": 1}
+
+
+def test_state_folds_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "FOLDED", 3)
+    rng = random.Random(2)
+    rows = [(k, i, rng.choice(["go", "stop", "reset", None])) for k in "ab" for i in range(50)]
+    moves = {("idle", "go"): "on", ("on", "stop"): "off", ("off", "go"): "on", ("on", "reset"): "idle", ("off", "reset"): "idle"}
+    df = spark.createDataFrame(rows, "k string, i int, e string")
+    got = {r.k: (r.state, r.n) for r in S.fold_states(df, "k", F.floor(F.col("i") / 7), ["i"], "e", moves, "idle").collect()}
+    for k in "ab":
+        state = "idle"
+        for kk, _, e in rows:
+            if kk == k:
+                state = moves.get((state, e), state)
+        assert got[k] == (state, 50)

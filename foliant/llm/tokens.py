@@ -1,6 +1,7 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary.
 
-The distinct pieces of a partition's texts are laid out in one symbol sequence. An index maps each adjacent pair that
+The distinct pieces of a batch of texts (an Arrow batch, part of a partition; pieces seen before in the partition are
+kept) are laid out in one symbol sequence. An index maps each adjacent pair that
 has a rank to all its positions; the lowest active rank is applied at all positions of its pair, from left to right,
 and the lists of the neighbouring pairs are updated. Ranks are applied in ascending order, so every piece gets exactly
 the merges that encoding it alone would give.

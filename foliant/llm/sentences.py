@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliant.llm.common import map_batches, spread, table
+from foliant.llm.common import checkpointed, map_batches, spread, table
 from foliant.llm.dictionary import RUN, Lattice, count_words
 from foliant.llm.encodings import TO_LATIN, Repair, plain_letters
 
@@ -405,8 +405,10 @@ def marked_names(df: DataFrame, text_col: str) -> list[str]:
     words = df.where(text.isNotNull()).select(F.explode(inside).alias("w"))
     marked = F.col("w").rlike("[!?]$")
     counts = words.groupBy(F.regexp_replace("w", "[!?]$", "").alias("bare")).agg(F.count("*").alias("n"), F.count_if(marked).alias("n_marked"), F.mode(F.when(marked, F.col("w")), True).alias("w"))
-    least = F.greatest(F.lit(3.0), F.lit(words.count() / 1e6))
-    return [r.w for r in counts.where((F.col("n_marked") * 2 > F.col("n")) & (F.col("n_marked") >= least)).select("w").collect()]
+    counts = checkpointed(counts)  # as long as the vocabulary; the texts are read once
+    total = counts.agg(F.sum("n").alias("total"))
+    kept = counts.where((F.col("n_marked") * 2 > F.col("n")) & (F.col("n_marked") >= 3)).join(F.broadcast(total), F.col("n_marked") >= F.col("total") / 1e6)
+    return [r.w for r in kept.select("w").collect()]
 
 
 ENDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("end_pos", T.LongType())])

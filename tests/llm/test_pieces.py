@@ -40,6 +40,9 @@ def test_defined_cases(spark):
     assert set(got) == {(i, m) for i in (4, 5) for m in ("a", "b", "wide")}
     assert got[4, "a"].cut == "forced" and got[5, "a"].cut == "natural"
     assert got[4, "a"].ends == [10, 17, 24, 31, 38, 40] and got[5, "a"].ends[0] == 10
+    wide = df.selectExpr("id", "text", "id AS part", "'x' AS model_name", "1 AS n", "text AS begin", "array(1) AS starts")
+    same = {(r.id, r.model_name): r for r in P.split_oversized(wide.union(wide), limits, "id", "text").collect()}
+    assert same == got and P.split_oversized(wide.union(wide), limits, "id", "text").count() == 2 * len(got)
     assert P.split_oversized(df, limits.limit(0), "id", "text").count() == 0
     assert P.split_oversized(df.limit(0), limits, "id", "text").count() == 0
 

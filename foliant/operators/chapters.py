@@ -110,7 +110,7 @@ def checked_rules(rules: DataFrame) -> DataFrame:
                 re.compile(r, re.S | re.I)
                 found.append((True, None))
             except (re.error, TypeError) as e:
-                found.append((False, f"Discarding invalid regex rule: {r!r} ({e})"))
+                found.append((False, f"no pattern: {r!r}: {e}"))
         return pd.DataFrame(found, columns=schema.names)
 
     return rules.select("rule_no", "rule", check("rule").alias("c")).select("rule_no", "rule", "c.valid", "c.error")

@@ -16,14 +16,16 @@ MODEL = "lower(trim(model_name))"
 # --- folders and files ---------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT pod_id, list_sort(list(DISTINCT {MODEL})) AS models, min({MODEL}) AS model FROM player_queue WHERE trim(model_name) <> '' GROUP BY pod_id")
+@query(f"""SELECT pod_id, list_sort(list(DISTINCT {MODEL})) AS models, min({MODEL}) AS model FROM player_queue WHERE trim(model_name) <> '' GROUP BY
+pod_id""")
 def default_models(spark, d):
     """The models a pod was read with, and the first by name, which is its default."""
     rows = t(spark, d, "player_queue").where("trim(model_name) <> ''").select("pod_id", F.lower(F.trim("model_name")).alias("m"))
     return rows.groupBy("pod_id").agg(F.array_sort(F.collect_set("m")).alias("models"), F.min("m").alias("model"))
 
 
-@query("SELECT id, video_file_path, row_number() OVER (ORDER BY video_file_path, id) AS place FROM clips WHERE regexp_matches(video_file_path, '[.]mp4$')")
+@query("""SELECT id, video_file_path, row_number() OVER (ORDER BY video_file_path, id) AS place FROM clips WHERE regexp_matches(video_file_path,
+'[.]mp4$')""")
 def media_files(spark, d):
     """The recordings of one kind, numbered in the order of their paths."""
     rows = t(spark, d, "clips").where(c("video_file_path").endswith(".mp4")).select("id", "video_file_path")
@@ -38,9 +40,12 @@ def checkpoint_order(spark, d):
     return numbered(rows, [], step, [step, "p_partkey"], "place").select("p_partkey", "name", "place")
 
 
-@query("""WITH p AS (SELECT DISTINCT user_id, pod_id FROM player_queue WHERE user_id IS NOT NULL), b AS (SELECT user_id, 'pod' || id AS pod_id, folder_path FROM books),
-legacy AS (SELECT DISTINCT 'pod' || book_id AS pod_id FROM chapters WHERE src_format = 'epub'), own AS (SELECT DISTINCT user_id, regexp_extract(video_file_path, '(pod[0-9]+)', 1) AS pod_id FROM clips)
-SELECT p.user_id, p.pod_id, CASE WHEN nullif(b.folder_path, '') IS NOT NULL THEN b.folder_path WHEN legacy.pod_id IS NOT NULL THEN p.pod_id WHEN own.pod_id IS NOT NULL THEN p.user_id || '/' || p.pod_id END AS folder
+@query("""WITH p AS (SELECT DISTINCT user_id, pod_id FROM player_queue WHERE user_id IS NOT NULL), b AS (SELECT user_id, 'pod' || id AS
+pod_id, folder_path FROM books),
+legacy AS (SELECT DISTINCT 'pod' || book_id AS pod_id FROM chapters WHERE src_format = 'epub'), own AS (SELECT DISTINCT user_id,
+regexp_extract(video_file_path, '(pod[0-9]+)', 1) AS pod_id FROM clips)
+SELECT p.user_id, p.pod_id, CASE WHEN nullif(b.folder_path, '') IS NOT NULL THEN b.folder_path WHEN legacy.pod_id IS NOT NULL THEN p.pod_id
+WHEN own.pod_id IS NOT NULL THEN p.user_id || '/' || p.pod_id END AS folder
 FROM p LEFT JOIN b USING (user_id, pod_id) LEFT JOIN legacy USING (pod_id) LEFT JOIN own USING (user_id, pod_id)""")
 def book_folders(spark, d):
     """A pod's folder: the book's own, else the flat one, else the one below its user, whichever exists first."""
@@ -59,8 +64,10 @@ def manifest_batches(spark, d):
     return S.batches(t(spark, d, "documents").select("doc_id", "source"), ["source"], F.floor(c("doc_id") / 4096), ["doc_id"], 32)
 
 
-@query("""WITH f AS (SELECT DISTINCT book_id, chapter_number, format('{:03d}_{}.mp3', chapter_number, chapter_id) AS file FROM chapters WHERE chapter_number IS NOT NULL AND src_format = 'epub')
-SELECT c.chapter_id, min(f.file) AS file FROM chapters c LEFT JOIN f ON f.book_id = c.book_id AND left(f.file, 4) = format('{:03d}_', c.chapter_number) GROUP BY c.chapter_id""")
+@query("""WITH f AS (SELECT DISTINCT book_id, chapter_number, format('{:03d}_{}.mp3', chapter_number, chapter_id) AS file FROM chapters WHERE
+chapter_number IS NOT NULL AND src_format = 'epub')
+SELECT c.chapter_id, min(f.file) AS file FROM chapters c LEFT JOIN f ON f.book_id = c.book_id AND left(f.file, 4) = format('{:03d}_',
+c.chapter_number) GROUP BY c.chapter_id""")
 def chapter_media(spark, d):
     """The first recording, by name, whose number is the chapter's."""
     number = lambda n: F.format_string("%03d_", n)
@@ -88,15 +95,19 @@ def _outputs(spark, d):
     return rows.select("doc_id", "old", answer.alias("answer"))
 
 
-@query(OLD + """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 5 IN (1, 4) AND len(old) = 0 THEN list_transform(old, lambda s, i: i || ' ' || left(s, 9)) ELSE old END AS items,
- CASE WHEN doc_id % 5 = 1 AND len(old) > 0 THEN 'wrong length' WHEN doc_id % 5 = 2 THEN 'not a list' WHEN doc_id % 5 = 3 THEN 'not JSON' WHEN doc_id % 5 = 4 AND len(old) > 0 THEN 'not all strings' END AS error FROM o""")
+@query(OLD + """SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 5 IN (1, 4) AND len(old) = 0 THEN list_transform(old, lambda s, i: i ||
+' ' || left(s, 9)) ELSE old END AS items,
+ CASE WHEN doc_id % 5 = 1 AND len(old) > 0 THEN 'wrong length' WHEN doc_id % 5 = 2 THEN 'not a list' WHEN doc_id % 5 = 3 THEN 'not JSON' WHEN
+doc_id % 5 = 4 AND len(old) > 0 THEN 'not all strings' END AS error FROM o""")
 def accepted_output(spark, d):
     rows = _outputs(spark, d)
     return rows.select("doc_id", R.accepted_list(c("answer"), c("old")).alias("a")).select("doc_id", c("a.items").alias("items"), c("a.error").alias("error"))
 
 
-@query(OLD + """, n AS (SELECT doc_id, old, list_transform(old, lambda s, i: CASE WHEN i = 2 THEN NULL WHEN i = 3 THEN s ELSE 'new ' || i END) AS new FROM o)
-SELECT doc_id, list_transform(new, lambda v, i: coalesce(v, old[i])) AS chunks, list_transform(list_filter(range(1, len(old) + 1), lambda i: coalesce(new[i], old[i]) <> old[i]), lambda i: i::INT) AS changed FROM n""")
+@query(OLD + """, n AS (SELECT doc_id, old, list_transform(old, lambda s, i: CASE WHEN i = 2 THEN NULL WHEN i = 3 THEN s ELSE 'new ' || i
+END) AS new FROM o)
+SELECT doc_id, list_transform(new, lambda v, i: coalesce(v, old[i])) AS chunks, list_transform(list_filter(range(1, len(old) + 1), lambda i:
+coalesce(new[i], old[i]) <> old[i]), lambda i: i::INT) AS changed FROM n""")
 def converted_chunks(spark, d):
     """A cleaner that fails on the second chunk and leaves the third as it is."""
     old = F.slice(X.filled_segments(c("text")), 1, 5)
@@ -105,8 +116,10 @@ def converted_chunks(spark, d):
     return rows.select("doc_id", c("x.chunks").alias("chunks"), F.transform("x.changes", lambda p: p["chunk_number"]).alias("changed"))
 
 
-@query("""WITH n AS (SELECT book_id, chapter_number, min({'i': chapter_id, 't': coalesce(chapter_title, '')}).t AS title FROM chapters WHERE book_id IS NOT NULL AND chapter_number IS NOT NULL GROUP BY ALL),
-a AS (SELECT book_id, list(title ORDER BY chapter_number) AS old FROM n GROUP BY book_id), b AS (SELECT book_id, list(source || ' ' || doc_id ORDER BY doc_id) AS new FROM documents WHERE book_id IS NOT NULL GROUP BY book_id)
+@query("""WITH n AS (SELECT book_id, chapter_number, min({'i': chapter_id, 't': coalesce(chapter_title, '')}).t AS title FROM chapters WHERE
+book_id IS NOT NULL AND chapter_number IS NOT NULL GROUP BY ALL),
+a AS (SELECT book_id, list(title ORDER BY chapter_number) AS old FROM n GROUP BY book_id), b AS (SELECT book_id, list(source || ' ' || doc_id
+ORDER BY doc_id) AS new FROM documents WHERE book_id IS NOT NULL GROUP BY book_id)
 SELECT book_id, CASE WHEN len(new) = len(old) THEN new ELSE old END AS titles FROM a LEFT JOIN b USING (book_id)""")
 def zipped_titles(spark, d):
     """A book's titles, replaced one for one where as many new ones came; titles of one book's contents, so a short list."""
@@ -128,7 +141,8 @@ def parsed_id_lists(spark, d):
     return rows.select("kind", R.id_list(c("json")).alias("ids"))
 
 
-@query("SELECT kind, chapter_id FROM chapters, (VALUES ('good'), ('none'), ('broken'), ('text')) v(kind) WHERE kind <> 'good' OR chapter_number IN (1, 2, 3, 4)")
+@query("""SELECT kind, chapter_id FROM chapters, (VALUES ('good'), ('none'), ('broken'), ('text')) v(kind) WHERE kind <> 'good' OR chapter_number IN
+(1, 2, 3, 4)""")
 def chapter_subset(spark, d):
     """The chapters each list selects; a broken or empty list selects all."""
     rows = t(spark, d, "chapters").select("chapter_id", "chapter_number")
@@ -139,7 +153,8 @@ def chapter_subset(spark, d):
     return out
 
 
-@query("""WITH s AS (SELECT book_id, count(*) AS n, list(chapter_id ORDER BY chapter_id) FILTER (WHERE length(content_text) > 200) AS chosen FROM chapters WHERE book_id IS NOT NULL GROUP BY book_id)
+@query("""WITH s AS (SELECT book_id, count(*) AS n, list(chapter_id ORDER BY chapter_id) FILTER (WHERE length(content_text) > 200) AS chosen
+FROM chapters WHERE book_id IS NOT NULL GROUP BY book_id)
 SELECT book_id, CASE WHEN coalesce(len(chosen), 0) < n THEN coalesce(chosen, []) END AS chosen FROM s""")
 def chapter_selection(spark, d):
     rows = t(spark, d, "chapters").where("book_id IS NOT NULL").groupBy("book_id")
@@ -150,7 +165,9 @@ def chapter_selection(spark, d):
 # --- fields --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT chapter_id, coalesce(nullif(chapter_title, ''), nullif(href, ''), 'chapter') AS label, CASE WHEN chapter_number IS NULL THEN 'chapter' ELSE 'chapter ' || chapter_number END || CASE WHEN trim(coalesce(b.book_title, '')) = '' THEN '' ELSE ' of ' || trim(b.book_title) END AS description FROM chapters c LEFT JOIN books b ON b.id = c.book_id")
+@query("""SELECT chapter_id, coalesce(nullif(chapter_title, ''), nullif(href, ''), 'chapter') AS label, CASE WHEN chapter_number IS NULL THEN 'chapter'
+ELSE 'chapter ' || chapter_number END || CASE WHEN trim(coalesce(b.book_title, '')) = '' THEN '' ELSE ' of ' || trim(b.book_title) END AS
+description FROM chapters c LEFT JOIN books b ON b.id = c.book_id""")
 def chapter_labels(spark, d):
     books = t(spark, d, "books").select(c("id").alias("book_id"), "book_title")
     rows = t(spark, d, "chapters").select("chapter_id", "book_id", "chapter_number", "chapter_title", "href").join(books, "book_id", "left")
@@ -179,7 +196,8 @@ def status_badges(spark, d):
 
 
 @query(f"""SELECT id, {cases_sql("lower(regexp_extract(video_file_path, '([^.]*)$', 1))", MEDIA, repr('application/octet-stream'))} AS media_type,
- {cases_sql("CASE WHEN start_timestamp + 5 >= end_timestamp THEN 'spoken' WHEN start_timestamp + 5 >= start_timestamp THEN 'current' ELSE 'pending' END", COLOURS)} AS colour FROM clips""")
+ {cases_sql("CASE WHEN start_timestamp + 5 >= end_timestamp THEN 'spoken' WHEN start_timestamp + 5 >= start_timestamp THEN 'current' ELSE 'pending' END", COLOURS)}
+AS colour FROM clips""")
 def clip_media(spark, d):
     at = c("start_timestamp") + 5
     state = F.when(at >= c("end_timestamp"), "spoken").when(at >= c("start_timestamp"), "current").otherwise("pending")
@@ -192,8 +210,10 @@ NAMES = (("Kokoro", "en-us", "af_bella"), (" openai-tts ", "xx", "pm_alex"), ("D
 CODES, ALIASES = list("abefhijpz"), {"en-us": "a", "en-gb": "b", "es": "e", "fr-fr": "f", "hi": "h", "it": "i", "pt-br": "p", "ja": "j", "zh": "z"}
 
 
-@query("""SELECT * FROM (VALUES (0, 'kokoro', 'a', '{"voice":"af_bella","lang":"a","speed":1.0,"format":"mp3"}'), (1, 'openai', 'p', '{"voice":"pm_alex","model":"gpt-4o-mini-tts","format":"mp3"}'),
- (2, 'dia', 'f', '{"max_new_tokens":2048,"guidance_scale":3.0,"temperature":1.6,"top_p":0.9,"top_k":45}'), (3, 'qwen3', 'e', '{"speaker":"unknown","format":"mp3","temperature":0.7}'), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL)) v(k, provider, code, params)""")
+@query("""SELECT * FROM (VALUES (0, 'kokoro', 'a', '{"voice":"af_bella","lang":"a","speed":1.0,"format":"mp3"}'), (1, 'openai', 'p',
+'{"voice":"pm_alex","model":"gpt-4o-mini-tts","format":"mp3"}'),
+ (2, 'dia', 'f', '{"max_new_tokens":2048,"guidance_scale":3.0,"temperature":1.6,"top_p":0.9,"top_k":45}'), (3, 'qwen3', 'e',
+'{"speaker":"unknown","format":"mp3","temperature":0.7}'), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL)) v(k, provider, code, params)""")
 def voice_params(spark, d):
     rows = spark.createDataFrame([(i, *n) for i, n in enumerate(NAMES)], "k int, name string, lang string, voice string")
     rows = rows.select("k", R.mapped(c("name"), R.PROVIDERS).alias("provider"), R.lang_code(c("lang"), c("voice"), ALIASES, CODES).alias("code"), "voice")
@@ -211,7 +231,9 @@ def all_voices(spark, d):
     return own.unionByName(trained.select("name", c("name").alias("code"), F.lit(True).alias("custom")))
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 0 THEN '/data/pods/' || regexp_replace(video_url, '^/pods/', '') WHEN id % 3 = 1 AND video_url LIKE '/pods/%' THEN '/data/pods/' || substr(video_url, 7) WHEN id % 3 = 1 THEN 'https://h.example' || video_url ELSE 'https://other.example/x' || video_url END AS path
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN '/data/pods/' || regexp_replace(video_url, '^/pods/', '') WHEN id % 3 = 1 AND video_url LIKE
+'/pods/%' THEN '/data/pods/' || substr(video_url, 7) WHEN id % 3 = 1 THEN 'https://h.example' || video_url ELSE 'https://other.example/x' ||
+video_url END AS path
 FROM clips WHERE video_url LIKE '/pods/%'""")
 def local_paths(spark, d):
     k = c("id") % 3
@@ -219,7 +241,8 @@ def local_paths(spark, d):
     return t(spark, d, "clips").where(c("video_url").startswith("/pods/")).select("id", R.local_path(url, "https://cdn.example/a", "/data/pods").alias("path"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ':22a' WHEN 2 THEN p_brand ELSE p_brand || ':1:2' END AS host, CASE p_partkey % 4 WHEN 2 THEN p_size ELSE 22 END::INT AS port FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ':22a' WHEN 2 THEN p_brand ELSE p_brand || ':1:2' END AS
+host, CASE p_partkey % 4 WHEN 2 THEN p_size ELSE 22 END::INT AS port FROM part""")
 def host_ports(spark, d):
     k = c("p_partkey") % 4
     x = F.when(k == 0, c("p_brand")).when(k == 1, F.concat(c("p_brand"), F.lit(":22a"))).when(k == 2, F.concat(c("p_brand"), F.lit(":"), c("p_size").cast("string"))).otherwise(F.concat(c("p_brand"), F.lit(":1:2")))
@@ -244,7 +267,8 @@ def response_images(spark, d):
     return t(spark, d, "clips").where("length(pod_title) > 0").select("id", F.decode(R.image_bytes(answer), "UTF-8").alias("image"))
 
 
-@query("SELECT chapter_id, contains(',' || lower(coalesce(lang, '')) || ',' || src_format || ',', ',epub,') OR lower(coalesce(lang, '')) IN ('fr', 'epub') AS hit FROM chapters WHERE src_format IS NOT NULL")
+@query("""SELECT chapter_id, contains(',' || lower(coalesce(lang, '')) || ',' || src_format || ',', ',epub,') OR lower(coalesce(lang, '')) IN ('fr',
+'epub') AS hit FROM chapters WHERE src_format IS NOT NULL""")
 def class_overlap(spark, d):
     """Whether the classes of an element meet the ignored ones, in any case."""
     classes = F.split(F.lower(F.concat_ws(" ", F.coalesce("lang", F.lit("")), "src_format")), " ")
@@ -254,8 +278,11 @@ def class_overlap(spark, d):
 # --- books and jobs ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH me AS (SELECT min(user_id) AS me FROM books), e AS (SELECT book_id, count(*) AS n_episodes FROM chapters WHERE {strip_sql("coalesce(content_text, '')")} <> '' GROUP BY book_id), m AS (SELECT pod_id, min({MODEL}) AS model FROM player_queue WHERE trim(model_name) <> '' GROUP BY pod_id)
-SELECT b.id, coalesce(nullif(trim(book_title), ''), regexp_extract(folder_path, '([^/]*)$', 1)) AS title, m.model, n_episodes, b.user_id = me AS is_owner, visibility
+@query(f"""WITH me AS (SELECT min(user_id) AS me FROM books), e AS (SELECT book_id, count(*) AS n_episodes FROM chapters WHERE
+{strip_sql("coalesce(content_text, '')")} <> '' GROUP BY book_id), m AS (SELECT pod_id, min({MODEL}) AS model FROM player_queue WHERE
+trim(model_name) <> '' GROUP BY pod_id)
+SELECT b.id, coalesce(nullif(trim(book_title), ''), regexp_extract(folder_path, '([^/]*)$', 1)) AS title, m.model, n_episodes, b.user_id = me
+AS is_owner, visibility
 FROM books b, me JOIN e ON e.book_id = b.id JOIN m ON m.pod_id = 'pod' || b.id WHERE b.user_id = me OR visibility = 1""")
 def library_view(spark, d):
     """The visible books that have a model and at least one chapter with text."""
@@ -277,8 +304,10 @@ def deleted_books(spark, d):
     return gone.select(F.lit("deleted").alias("state"), "id", "folder_path").unionByName(kept.select(F.lit("kept").alias("state"), "id", "folder_path"))
 
 
-@query("""WITH n AS (SELECT doc_id, source FROM documents WHERE doc_kind = 'letter'), k AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS r FROM n)
-SELECT id, pod_title, json_array_length(CASE WHEN json_valid(transcript) THEN transcript END)::INT AS n_words FROM clips UNION ALL SELECT (SELECT max(id) FROM clips) + r, source, 2 FROM k WHERE source IS NOT NULL""")
+@query("""WITH n AS (SELECT doc_id, source FROM documents WHERE doc_kind = 'letter'), k AS (SELECT doc_id, source, row_number() OVER (ORDER
+BY doc_id) AS r FROM n)
+SELECT id, pod_title, json_array_length(CASE WHEN json_valid(transcript) THEN transcript END)::INT AS n_words FROM clips UNION ALL SELECT
+(SELECT max(id) FROM clips) + r, source, 2 FROM k WHERE source IS NOT NULL""")
 def inserted_clips(spark, d):
     words = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(a).alias("start"), F.lit(a + 0.5).alias("end")) for w, a in (("one", 0.0), ("two", 0.6))))
     new = t(spark, d, "documents").where("doc_kind = 'letter'").select(c("doc_id").alias("seq"), F.lit("u").alias("user_id"), c("source").alias("pod_title"), words.alias("words"))
@@ -296,14 +325,16 @@ def episode_page(spark, d):
     return S.page(t(spark, d, "chapters").where("book_id = 1"), ["chapter_number", "chapter_id"], 2).select("chapter_id")
 
 
-@query("SELECT pod_id, row_number() OVER (ORDER BY try_cast(substr(pod_id, 4) AS BIGINT)) AS place FROM (SELECT DISTINCT pod_id FROM player_queue WHERE pod_id IS NOT NULL)")
+@query("""SELECT pod_id, row_number() OVER (ORDER BY try_cast(substr(pod_id, 4) AS BIGINT)) AS place FROM (SELECT DISTINCT pod_id FROM player_queue
+WHERE pod_id IS NOT NULL)""")
 def pods_by_number(spark, d):
     """Keys that end in a number, in the order of the numbers."""
     rows = t(spark, d, "player_queue").where("pod_id IS NOT NULL").select("pod_id").distinct().withColumn("k", F.substring("pod_id", 4, 20).try_cast("long"))
     return numbered(rows, [], F.floor(c("k") / 4096), ["k", "pod_id"], "place").select("pod_id", "place").orderBy("place")
 
 
-@query("WITH gone AS (SELECT id FROM jobs WHERE status = 'cancelled') SELECT id, row_number() OVER (ORDER BY id) AS place FROM jobs WHERE id NOT IN (SELECT id FROM gone)")
+@query("""WITH gone AS (SELECT id FROM jobs WHERE status = 'cancelled') SELECT id, row_number() OVER (ORDER BY id) AS place FROM jobs WHERE id NOT IN
+(SELECT id FROM gone)""")
 def remaining_jobs(spark, d):
     jobs = t(spark, d, "jobs").select("id", "status")
     left = S.without(jobs.select("id"), jobs.where("status = 'cancelled'"), "id")
@@ -323,9 +354,11 @@ def source_text(spark, d):
     return t(spark, d, "chapters").select("chapter_id", "book_id", "content_text").join(first, "book_id", "left").select("chapter_id", F.coalesce("text", "content_text").alias("text"))
 
 
-@query("""WITH k AS (SELECT user_id, id, (1000 * start_timestamp)::BIGINT % 100000 AS a, greatest(0, (1000 * (end_timestamp - start_timestamp))::BIGINT) AS n FROM clips WHERE user_id IS NOT NULL AND start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL),
+@query("""WITH k AS (SELECT user_id, id, (1000 * start_timestamp)::BIGINT % 100000 AS a, greatest(0, (1000 * (end_timestamp -
+start_timestamp))::BIGINT) AS n FROM clips WHERE user_id IS NOT NULL AND start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL),
 s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
-SELECT id, (max(a - before) OVER (PARTITION BY user_id ORDER BY id) + before)::BIGINT AS begins, (max(a - before) OVER (PARTITION BY user_id ORDER BY id) + before + n)::BIGINT AS ends FROM s""")
+SELECT id, (max(a - before) OVER (PARTITION BY user_id ORDER BY id) + before)::BIGINT AS begins, (max(a - before) OVER (PARTITION BY user_id
+ORDER BY id) + before + n)::BIGINT AS ends FROM s""")
 def service_times(spark, d):
     """When each user's clips would be rendered, one at a time in the order of their ids."""
     ms = lambda x: F.round(1000 * x).cast("long")
@@ -334,25 +367,30 @@ def service_times(spark, d):
     return S.fifo_service(rows, ["user_id"], F.floor(c("id") / 4096), ["id"], c("a"), c("n")).select("id", "begins", "ends")
 
 
-@query("""WITH e AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, round(avg(value), 6) AS loss FROM events WHERE value IS NOT NULL GROUP BY ALL),
-b AS (SELECT *, min(loss) OVER w AS best, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+@query("""WITH e AS (SELECT user_id, date_trunc('day', ts)::DATE AS day, round(avg(value), 6) AS loss FROM events WHERE value IS NOT NULL
+GROUP BY ALL),
+b AS (SELECT *, min(loss) OVER w AS best, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n FROM e WINDOW w AS (PARTITION BY user_id
+ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, max(CASE WHEN best IS NULL OR loss < best THEN n END) OVER (PARTITION BY user_id ORDER BY day) AS last FROM b),
 s AS (SELECT *, min(CASE WHEN n - last >= 3 THEN n END) OVER (PARTITION BY user_id) AS stop FROM l)
-SELECT user_id, min({'l': loss, 'd': day}).d AS best_epoch, min(loss) AS best_loss, max(CASE WHEN n = stop THEN day END) AS stopped_at FROM s WHERE stop IS NULL OR n <= stop GROUP BY user_id""")
+SELECT user_id, min({'l': loss, 'd': day}).d AS best_epoch, min(loss) AS best_loss, max(CASE WHEN n = stop THEN day END) AS stopped_at FROM s
+WHERE stop IS NULL OR n <= stop GROUP BY user_id""")
 def training_runs(spark, d):
     """Each user as a training run, each day as an epoch with its mean loss."""
     losses = t(spark, d, "events").where("value IS NOT NULL").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("loss"))
     return S.early_stopping(losses, "user_id", "day", "loss", 3)
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT (n - greatest(1, floor(n * 0.05)))::BIGINT AS n_train, greatest(1, floor(n * 0.05))::BIGINT AS n_val FROM n")
+@query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT (n - greatest(1, floor(n * 0.05)))::BIGINT AS n_train, greatest(1, floor(n *
+0.05))::BIGINT AS n_val FROM n""")
 def split_sizes(spark, d):
     """Sizes of a split drawn by hash; which rows are drawn is a matter of the hash."""
     parts = S.train_val_split(t(spark, d, "documents").select("doc_id"), "doc_id", 0.05)
     return parts.agg(F.count_if(c("part") == "train").alias("n_train"), F.count_if(c("part") == "val").alias("n_val"))
 
 
-@query("WITH j AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM jobs WHERE status = 'queued') SELECT id, CASE WHEN n < 8 THEN 8 // n + (k < 8 % n)::INT ELSE 1 END::INT AS copies FROM j")
+@query("""WITH j AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM
+jobs WHERE status = 'queued') SELECT id, CASE WHEN n < 8 THEN 8 // n + (k < 8 % n)::INT ELSE 1 END::INT AS copies FROM j""")
 def batch_copies(spark, d):
     """How often each waiting job of a user is tried at once when eight fit."""
     jobs = t(spark, d, "jobs").where("status = 'queued'").select("user_id", "id")
@@ -360,9 +398,11 @@ def batch_copies(spark, d):
     return placed.select("id", R.copies(c("k") - 1, c("n"), 8).alias("copies"))
 
 
-@query("""WITH p AS (SELECT event_id, value, floor(((event_id % 12) / 12::DOUBLE + (event_id % 17) / 17::DOUBLE / 12::DOUBLE) * 100)::INT AS pct FROM events WHERE value IS NOT NULL),
+@query("""WITH p AS (SELECT event_id, value, floor(((event_id % 12) / 12::DOUBLE + (event_id % 17) / 17::DOUBLE / 12::DOUBLE) * 100)::INT AS
+pct FROM events WHERE value IS NOT NULL),
 q AS (SELECT *, floor(value * 60 / (pct / 100::DOUBLE) - value * 60)::BIGINT AS s FROM p WHERE pct > 0)
-SELECT event_id, pct, CASE WHEN s >= 3600 THEN format('~{}h {}m', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN format('~{}m {}s', s // 60, s % 60) ELSE format('~{}s', s) END AS eta FROM q UNION ALL SELECT event_id, pct, '—' FROM p WHERE pct <= 0""")
+SELECT event_id, pct, CASE WHEN s >= 3600 THEN format('~{}h {}m', s // 3600, s % 3600 // 60) WHEN s >= 60 THEN format('~{}m {}s', s // 60, s
+% 60) ELSE format('~{}s', s) END AS eta FROM q UNION ALL SELECT event_id, pct, '—' FROM p WHERE pct <= 0""")
 def overall_progress(spark, d):
     """Percent done of a book's chapters with the chunks of the chapter in work, and the time left."""
     chapter, done = c("event_id") % 12 + 1, c("event_id") % 17
@@ -428,7 +468,8 @@ def cache_keys(spark, d):
     return _requests(spark, d)
 
 
-@query(f"""WITH r AS (SELECT doc_id, {KEY} AS key FROM documents WHERE source IS NOT NULL), s AS (SELECT key, arg_max('answer ' || doc_id, doc_id) AS response FROM r WHERE doc_id % 2 = 0 GROUP BY key)
+@query(f"""WITH r AS (SELECT doc_id, {KEY} AS key FROM documents WHERE source IS NOT NULL), s AS (SELECT key, arg_max('answer ' || doc_id,
+doc_id) AS response FROM r WHERE doc_id % 2 = 0 GROUP BY key)
 SELECT doc_id, response FROM r LEFT JOIN s USING (key)""")
 def cached_responses(spark, d):
     """Answers to every second request are put into an empty cache, then all requests are looked up."""
@@ -438,7 +479,8 @@ def cached_responses(spark, d):
     return S.cached(asked, S.stored(empty, answers)).select("doc_id", "response")
 
 
-@query("""WITH k AS (SELECT user_id AS chunk_idx, (event_id // 2 % 7 + 1)::INT AS attempt, round(value / 200, 6) AS silence FROM events WHERE value IS NOT NULL)
+@query("""WITH k AS (SELECT user_id AS chunk_idx, (event_id // 2 % 7 + 1)::INT AS attempt, round(value / 200, 6) AS silence FROM events WHERE
+value IS NOT NULL)
 SELECT chunk_idx, attempt, count(*) AS n_candidates, min(silence) AS least_silence, bool_or(silence <= 0.1) AS accepted FROM k GROUP BY ALL""")
 def attempt_log(spark, d):
     """One line an attempt at a chunk: candidates made, their least silence, whether one was good enough."""
@@ -446,7 +488,8 @@ def attempt_log(spark, d):
     return L.attempt_log(rows)
 
 
-@query("""WITH v AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, (e.vec_id % 40)::DOUBLE AS seconds FROM embeddings e), p AS (SELECT a.vec_id, a.v AS va, b.v AS vb FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.seconds >= 10 AND b.seconds >= 10)
+@query("""WITH v AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, (e.vec_id % 40)::DOUBLE AS seconds FROM embeddings e), p AS (SELECT
+a.vec_id, a.v AS va, b.v AS vb FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.seconds >= 10 AND b.seconds >= 10)
 SELECT vec_id, round(list_cosine_similarity(va[1:least(len(va), 30)], vb[1:least(len(vb), 30)]), 5) AS score FROM p""")
 def speaker_pairs(spark, d):
     """Neighbouring recordings of at least ten seconds, compared by their first thirty (here: values of the vector)."""
@@ -470,10 +513,15 @@ def _small_epub(number: pd.Series, title: pd.Series, lang: pd.Series) -> pd.Seri
             z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b/book.opf"/></rootfiles></container>')
             z.writestr(
                 "b/book.opf",
-                f"""<package xmlns:opf="o" xmlns:dc="d"><metadata><dc:title>{escape(title)}</dc:title><dc:creator opf:ROLE="aut" opf:file-as="W, A">A  W</dc:creator><dc:subject>s{n % 3}</dc:subject><dc:subject> </dc:subject>
-                <dc:language>{escape(lang)}</dc:language><dc:identifier>u{n}</dc:identifier><dc:identifier opf:scheme="ISBN">{n}</dc:identifier></metadata><manifest><item id="a" href="a%20b.xhtml" media-type="application/xhtml+xml"/>
-                <item id="n" href="n.xhtml" media-type="application/xhtml+xml"/><item id="t" href="t.ncx" media-type="application/x-dtbncx+xml"/><item id="e" href="cover0.png" media-type="image/png"/><item id="i" href="my-cover.png" media-type="image/png"/>
-                <item id="j" href="z.png" media-type="image/png"/></manifest><spine>{'' if n % 5 == 0 else '<itemref idref="a"/>'}<itemref idref="n" linear="NO"/></spine></package>""",
+                f"""<package xmlns:opf="o" xmlns:dc="d"><metadata><dc:title>{escape(title)}</dc:title><dc:creator opf:ROLE="aut"
+opf:file-as="W, A">A  W</dc:creator><dc:subject>s{n % 3}</dc:subject><dc:subject> </dc:subject>
+                <dc:language>{escape(lang)}</dc:language><dc:identifier>u{n}</dc:identifier><dc:identifier
+opf:scheme="ISBN">{n}</dc:identifier></metadata><manifest><item id="a" href="a%20b.xhtml" media-type="application/xhtml+xml"/>
+                <item id="n" href="n.xhtml" media-type="application/xhtml+xml"/><item id="t" href="t.ncx"
+media-type="application/x-dtbncx+xml"/><item id="e" href="cover0.png" media-type="image/png"/><item id="i" href="my-cover.png"
+media-type="image/png"/>
+                <item id="j" href="z.png" media-type="image/png"/></manifest><spine>{'' if n % 5 == 0 else '<itemref idref="a"/>'}<itemref
+idref="n" linear="NO"/></spine></package>""",
             )
             z.writestr("b/t.ncx", "<ncx><navMap><navPoint><navLabel><text>Part</text></navLabel><navPoint><navLabel><text>One</text></navLabel><content src='a%20b.xhtml#x'/></navPoint></navPoint></navMap></ncx>" if n % 2 else "<ncx/>")
             z.writestr("b/a b.xhtml", f"<p id='x'>{n}</p>")
@@ -486,8 +534,10 @@ def _small_epub(number: pd.Series, title: pd.Series, lang: pd.Series) -> pd.Seri
 
 
 @query("""WITH c AS (SELECT chapter_id AS n, trim(coalesce(lang, 'und')) AS lang FROM chapters)
-SELECT n, CASE WHEN n % 5 > 0 THEN 'opf' WHEN n % 2 = 1 THEN 'ncx' END AS source, CASE WHEN n % 2 = 1 THEN 'One' END AS title, CASE WHEN n % 5 = 0 AND n % 2 = 0 THEN NULL WHEN n % 2 = 1 THEN 'b/a b.xhtml#x' ELSE 'b/a b.xhtml' END AS href,
- CASE WHEN n % 2 = 1 THEN 'x' END AS anchor, CASE WHEN n % 5 > 0 OR n % 2 = 1 THEN '<p id=''x''>' || n || '</p>' END AS html, 'Book ' || n AS book_title, 'A W/aut/W, A' AS creator, 's' || n % 3 AS subjects, lang AS languages, n::VARCHAR AS isbn,
+SELECT n, CASE WHEN n % 5 > 0 THEN 'opf' WHEN n % 2 = 1 THEN 'ncx' END AS source, CASE WHEN n % 2 = 1 THEN 'One' END AS title, CASE WHEN n %
+5 = 0 AND n % 2 = 0 THEN NULL WHEN n % 2 = 1 THEN 'b/a b.xhtml#x' ELSE 'b/a b.xhtml' END AS href,
+ CASE WHEN n % 2 = 1 THEN 'x' END AS anchor, CASE WHEN n % 5 > 0 OR n % 2 = 1 THEN '<p id=''x''>' || n || '</p>' END AS html, 'Book ' || n AS
+book_title, 'A W/aut/W, A' AS creator, 's' || n % 3 AS subjects, lang AS languages, n::VARCHAR AS isbn,
  'b/my-cover.png' AS cover_href, (CASE WHEN n % 5 > 0 THEN 0 WHEN n % 2 = 1 THEN 1 ELSE 3 END)::INT AS n_warnings FROM c""")
 def epub_entries(spark, d):
     """A small book is set from each chapter row and read back: contents, slices, metadata, cover, warnings."""
@@ -502,10 +552,14 @@ def epub_entries(spark, d):
     )
 
 
-@query(r"""WITH c AS (SELECT book_id, chapter_number, min({'i': chapter_id, 't': coalesce(nullif(chapter_title, ''), 'Chapter ' || chapter_number)}).t AS title FROM chapters WHERE book_id IS NOT NULL AND chapter_number IS NOT NULL GROUP BY ALL),
+@query(r"""WITH c AS (SELECT book_id, chapter_number,
+min({'i': chapter_id, 't': coalesce(nullif(chapter_title, ''), 'Chapter ' || chapter_number)}).t AS title FROM chapters WHERE book_id IS NOT
+NULL AND chapter_number IS NOT NULL GROUP BY ALL),
 g AS (SELECT book_id, list(title ORDER BY chapter_number) AS titles FROM c GROUP BY book_id)
-SELECT b.id AS channel, coalesce(nullif(book_title, ''), 'Untitled Podcast') AS title, coalesce(user_id, 'Unknown') AS author, CASE WHEN b.id % 2 = 0 THEN 'https://h.example/' || b.id || '?a=1&b=2' END AS link, titles AS item_titles, len(titles)::INT AS n_items
-FROM books b JOIN g ON g.book_id = b.id WHERE NOT regexp_matches(coalesce(book_title, '') || array_to_string(titles, ''), '[\x{1}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{FFFE}\x{FFFF}]')""")
+SELECT b.id AS channel, coalesce(nullif(book_title, ''), 'Untitled Podcast') AS title, coalesce(user_id, 'Unknown') AS author, CASE WHEN b.id
+% 2 = 0 THEN 'https://h.example/' || b.id || '?a=1&b=2' END AS link, titles AS item_titles, len(titles)::INT AS n_items
+FROM books b JOIN g ON g.book_id = b.id WHERE NOT regexp_matches(coalesce(book_title, '') || array_to_string(titles, ''),
+'[\x{1}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{FFFE}\x{FFFF}]')""")
 def feed_channels(spark, d):
     """A feed of each book's chapters, written and read back; books whose titles hold characters that XML forbids are left out."""
     from foliant.sources import files
@@ -546,7 +600,8 @@ MOVE_SQL = "CASE r.state || ' ' || f.event_type " + " ".join(f"WHEN '{s} {e}' TH
 
 
 @query(f"""WITH RECURSIVE f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'new' AS state FROM events UNION ALL SELECT f.user_id, f.k, {MOVE_SQL} FROM r JOIN f ON f.user_id = r.user_id AND f.k = r.k + 1)
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 'new' AS state FROM events UNION ALL SELECT f.user_id, f.k, {MOVE_SQL} FROM r JOIN f ON
+f.user_id = r.user_id AND f.k = r.k + 1)
 SELECT user_id, arg_max(state, k) AS state, max(k) AS n FROM r GROUP BY user_id""")
 def visitor_states(spark, d):
     return S.fold_states(t(spark, d, "events"), "user_id", F.to_date("ts"), ["ts", "event_id"], "event_type", MOVES, "new")

@@ -85,8 +85,8 @@ class Book:
             found = self.by_spine(entries) if source == "opf" else entries
             if found:
                 return source, found, warnings
-            warnings.append(f"No chapters discovered when using TOC source '{source}'.")
-        return "", [], [*warnings, "Unable to extract table of contents from either OPF or NCX manifest."]
+            warnings.append(f"no entries by {source}")
+        return "", [], [*warnings, "no table of contents"]
 
     def metadata(self) -> dict:
         """The Dublin Core fields that aren't empty, their attributes by local name in any case."""

@@ -23,6 +23,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -140,39 +141,31 @@ def scan_range(read: Callable[[int, int], bytes], size: int, part: int, step: in
     return start, n, at.tobytes(), kind.tobytes(), first, latest, widest
 
 
-def stitched(ranges: list[tuple[int, bytes, bytes, int, int, int]]) -> tuple[int, array, array, int]:
+def stitched(ranges: list[tuple[int, bytes, bytes, int, int, int]]) -> tuple[int, np.ndarray | array, np.ndarray | array, int]:
     """(code points, boundaries, kinds, widest stretch) of an item from its ranges in order: (n, at, kind, first, last, widest).
 
     White space between stronger boundaries that are near each other is left out, whichever ranges they stand in.
     """
     bases = [0, *accumulate(r[0] for r in ranges)]
-    at, kind = array("i"), array("b")
     widest = since = 0
-    for base, (_, a, k, first, last, inner) in zip(bases, ranges):
-        own = array("i")
-        own.frombytes(a)
-        at.extend(x + base for x in own) if base else at.extend(own)
-        kind.frombytes(k)
+    for base, (_, _, _, first, last, inner) in zip(bases, ranges):
         if first >= 0:
             widest = max(widest, base + first - since, inner)
             since = base + last + 1
     total = bases[-1]
-    return total, *_without_fine(at, kind, total), max(widest, total - since)
-
-
-def _without_fine(at: array, kind: array, n: int) -> tuple[array, array]:
-    if SPACE not in kind:
-        return at, kind
-    strong = [0, *(a for a, k in zip(at, kind) if k < SPACE), n + 1]
-    a2, k2, j = array("i"), array("b"), 0
-    for a, k in zip(at, kind):
-        if k < SPACE:
-            j += 1
-        elif strong[j + 1] - strong[j] <= FINE or a == n:
-            continue
-        a2.append(a)
-        k2.append(k)
-    return a2, k2
+    at = np.concatenate([np.frombuffer(r[1], np.int32) + np.int64(base) if base >> 31 else np.frombuffer(r[1], np.int32) + np.int32(base) for base, r in zip(bases, ranges)] or [np.zeros(0, np.int32)])
+    kind = np.frombuffer(b"".join(r[2] for r in ranges), np.int8)
+    fine = np.flatnonzero(kind == SPACE)
+    if len(fine):
+        strong = at[kind < SPACE]
+        behind = fine - np.arange(len(fine))  # strong boundaries before each
+        low = np.where(behind > 0, strong[behind - 1], 0) if len(strong) else np.zeros(len(fine), np.int64)
+        high = np.where(behind < len(strong), strong[np.minimum(behind, len(strong) - 1)], total + 1) if len(strong) else np.full(len(fine), total + 1)
+        drop = fine[(high - low <= FINE) | (at[fine] == total)]
+        at, kind = np.delete(at, drop), np.delete(kind, drop)
+    if len(at) < 100_000:  # small tables are quicker to search as plain arrays
+        return total, array("q", at.tolist()), array("b", kind.tolist()), max(widest, total - since)
+    return total, at, kind, max(widest, total - since)
 
 
 def cut_offsets(n: int, at: array, kind: array, most: int, overlap: int) -> tuple[list[int], list[int]]:
@@ -185,16 +178,16 @@ def cut_offsets(n: int, at: array, kind: array, most: int, overlap: int) -> tupl
         if high > low:  # in the second half the strongest boundary, the last of its kind
             best = min(kind[low:high])
             if best < SPACE:
-                end = at[next(i for i in range(high - 1, low - 1, -1) if kind[i] == best)]
+                end = int(at[next(i for i in range(high - 1, low - 1, -1) if kind[i] == best)])
         if end is None:
             floor = bisect_right(at, start + overlap)
-            end = at[high - 1] if high > floor else start + most
+            end = int(at[high - 1]) if high > floor else start + most
         ends.append(end)
         back = bisect_left(at, end - overlap)
         begin = end - overlap
         if overlap and back < len(at) and at[back] < end:  # the strongest boundary inside the overlap
             inside = range(back, bisect_left(at, end))
-            begin = at[min(inside, key=lambda i: (kind[i], i))]
+            begin = int(at[min(inside, key=lambda i: (kind[i], i))])
         start = max(begin, start + 1)
         starts.append(start)
     ends.append(n)
@@ -294,7 +287,8 @@ def file_ranges(files: DataFrame, least: int, size: int = 1 << 24, halo: int = H
             for path, length, part in zip(paths, lengths, nums):
                 yield [[x] for x in (path, part, *scan_range(_reader(path), length, part, size, least, halo))]
 
-    return map_batches(parts.repartition("path", "part"), run, TABLES)
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return map_batches(parts.repartition(tasks, "path", "part"), run, TABLES)
 
 
 def split_files(files: DataFrame, limits: DataFrame, size: int = 1 << 24, halo: int = HALO) -> DataFrame:
@@ -336,7 +330,7 @@ def read_pieces(pieces: DataFrame) -> DataFrame:
                 texts.append(raw.decode("utf-8", "replace")[skip : skip + end - start])
             yield [*cols, texts]
 
-    return map_batches(pieces.select(*PLACED.names).repartition("path", "piece_no"), run, schema)
+    return map_batches(pieces.select(*PLACED.names).repartition(4 * pieces.sparkSession.sparkContext.defaultParallelism, "path", "piece_no"), run, schema)
 
 
 # --- queries -------------------------------------------------------------------------------------------------------

@@ -4,9 +4,9 @@ Two averaged perceptrons share one hashed word count of the whole corpus. The li
 heads and page numbers by features of the line's place on the page. The editor predicts operations: at a letter keep,
 replace, delete or insert, at a line's end keep or join. What an operation may put is proposed by a table of confusions
 (fixed ones and those learnt from pages of the corpus), and for a sign or digit inside a word by the whole alphabet of its
-script; a proposal must give a word that the corpus has. Both models are trained here, on pages that are set from a
-bounded sample of clean rows: wrapped, hyphenated, furnished and misread by known rules, so that pages and rows are aligned
-letter by letter and every label is known.
+script; a proposal must give a word that the corpus has. Both models are trained here, on pages that are set from every
+clean row: wrapped, hyphenated, furnished and misread by known rules, so that pages and rows are aligned letter by letter
+and every label is known. Examples are counted where the rows are; the driver trains on the different ones with their counts.
 
 Pages of any script are read; texts without hard line ends have no cases. Null and blank texts give no row. Lines are
 split at ``\\n`` only. Texts of any length are read whole. Repeated rows give repeated results; extra columns don't matter.
@@ -15,13 +15,14 @@ split at ``\\n`` only. Texts of any length are read whole. Repeated rows give re
 from __future__ import annotations
 
 import functools
+import json
 import math
 import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 from operator import ne
 
 import numpy as np
@@ -33,10 +34,9 @@ from foliant.llm.common import map_batches, spread, table
 
 #: log2 of the entries of the word count, 16 MB for any corpus.
 BITS = 22
-#: Clean rows that the models are trained on, and pages that confusions are learnt from, at most each.
-SAMPLE_ROWS = 400
-#: Rows that these are picked from, about: those whose hash lies in a part of its range that makes up so many of all rows.
-DRAWN = 5_000
+SLOTS = (1 << BITS) - 1
+#: Turns of training whose scores are taken at once, at most, and parts of a round at least.
+BLOCK, BLOCKS = 500, 500
 #: A confusion is learnt if so many different words show it, and so many times as many as another one shows on average.
 VOTES, ABOVE = 6, 4.0
 
@@ -60,9 +60,14 @@ HYPHEN = re.compile(r"([^\W\d_]+(?:[’'][^\W\d_]+)*)([-‐­¬])[ ]?$")
 WORD = re.compile(r"[^\W_]+(?:[’'†|!€£$¢§@~^-]+[^\W_]+)*[†|]?|†[^\W_]+(?:-[^\W_]+)*")
 #: Scripts that are written without spaces have no words to count.
 SPACELESS = re.compile("[฀-๿぀-ヿ㐀-鿿]")
-NO_LETTER = re.compile(r"[\W_]+")
+NAME = re.compile(r"\b[A-Z][a-z]{3,}\b")
+#: What every NUMBERED_HEAD has.
+GAP_OR_BAR = re.compile(r"\s\s|\|")
+YEAR, YEAR_END = re.compile(r"1[5-9]\d\d|20\d\d"), re.compile(r", 1[0-9]{3}$")
 # Digits and signs read for letters, letters read for digits.
-LIKE_LETTERS, LIKE_DIGITS = str.maketrans("01†589", "oltsbg"), str.maketrans("lIOoSB", "110058")
+LIKE_LETTERS, LIKE_DIGITS = tuple(zip("01†589", "oltsbg")), str.maketrans("lIOoSB", "110058")
+ASCII_LETTERS, ASCII_OTHER = bytes.maketrans(b"01589", b"olsbg"), bytes(k for k in range(128) if not chr(k).isalnum())
+SIGNS = "0123456789€£$§@|!"
 DIGITS = "0123456789lIOo|[]—–-·"
 DIRT = re.compile("[​‌⁠﻿]")
 BROKEN = re.compile(r"[-‐­¬] ?\n\s*")
@@ -75,7 +80,7 @@ def ended(line: str) -> bool:
 
 
 def _slot(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) & SLOTS
 
 
 # --- the word count ------------------------------------------------------------------------------------------------
@@ -137,28 +142,54 @@ class Perceptron:
     def best(self, features: list[str]) -> str:
         return max(self.labels, key=lambda k: self.score(k, features))
 
-    def train(self, data: list[tuple[list[str], str, tuple[str, ...]]], rounds: int = 5, seed: int = 7) -> None:
-        """``data``: features, the right label, and the labels that come into question."""
+    def train(self, data: Counter[tuple[str, str, tuple[str, ...]]], rounds: int = 5, seed: int = 7) -> None:
+        """``data``: how many examples have this key (see ``key_of``), this label, and these labels that come into question.
+
+        Equal examples of different labels offset one another, and those left over have the commonest label. A round takes
+        ``n`` equal ones in about log2(n) turns; a turn moves the weights as often as that many copies in a row would. Turns
+        that are right when their block begins are passed.
+        """
         names: dict[str, int] = {}
-        coded = [([names.setdefault(f, len(names)) for f in features], label, choices) for features, label, choices in data]
-        now, rng = 0, random.Random(seed)
-        weight, total, since = ({k: [zero] * len(names) for k in self.labels} for zero in (0.0, 0.0, 0))
+        ids, labels, allowed, parts, copies = [], [], [], [], []
+        for (key, choices), same in groupby(sorted(data.items(), key=lambda x: (x[0][0], x[0][2], x[0][1])), key=lambda x: (x[0][0], x[0][2])):
+            (n, label), (less, _) = [*sorted(((n, label) for (_, label, _), n in same), reverse=True)[:2], (0, "")][:2]
+            if n > less:
+                ids.append(np.array([names.setdefault(f, len(names)) for f in features_of(key)], np.int32))
+                labels.append(self.labels.index(label))
+                allowed.append([k in choices for k in self.labels])
+                parts.append((n - less).bit_length())
+                copies.append(-(-(n - less) // parts[-1]))
+        if not ids:
+            return
+        padded = np.full((len(ids), max(map(len, ids))), len(names), np.int32)
+        for row, own in zip(padded, ids):
+            row[: len(own)] = own
+        right, barred, turns = np.array(labels), np.where(allowed, 0.0, -np.inf), np.repeat(np.arange(len(ids)), parts)
+        weight, moved = np.zeros((2, len(self.labels), len(names) + 1))
+        pairs, size = [sum(x) == 2 for x in allowed], min(BLOCK, -(-len(turns) // BLOCKS))
+        now, rng = 0, np.random.default_rng(seed)
         for _ in range(rounds):
-            rng.shuffle(coded)
-            for ids, label, choices in coded:
-                now += 1
-                guess = max(choices, key=lambda k: sum(map(weight[k].__getitem__, ids)))  # noqa: B023
-                if guess == label:
-                    continue
-                for k, d in ((label, 1.0), (guess, -1.0)):
-                    own, sums, last = weight[k], total[k], since[k]
-                    for i in ids:
-                        sums[i] += (now - last[i]) * own[i]
-                        last[i] = now
-                        own[i] += d
-        for k in self.labels:
-            own, sums, last = weight[k], total[k], since[k]
-            self.w[k] = {f: mean for f, i in names.items() if (mean := (sums[i] + (now - last[i]) * own[i]) / max(1, now))}
+            order = rng.permutation(turns)
+            for block in np.split(order, range(size, len(order), size)):
+                sums = weight[:, padded[block]].sum(-1).T + barred[block]
+                for j in np.flatnonzero(sums.argmax(1) != right[block]).tolist():
+                    g = block[j]
+                    own, label, left = ids[g], labels[g], copies[g]
+                    while left:
+                        score = weight[:, own].sum(1) + barred[g]
+                        guess = int(score.argmax())
+                        if guess == label:
+                            break
+                        step = min(left, int((score[guess] - score[label]) // (2 * len(own))) + 1)
+                        left -= step
+                        for k, d in ((label, step), (guess, -step)):
+                            weight[k, own] += d
+                            moved[k, own] += d * (now + j)
+                        if pairs[g]:  # right now, or out of copies
+                            break
+                now += len(block)
+        mean = weight - moved / now
+        self.w = {k: {f: x for f, x in zip(names, own) if x} for k, own in zip(self.labels, mean.tolist())}
 
 
 def _band(n: float) -> str:
@@ -186,11 +217,13 @@ class Editor:
     """The two models, the confusions and the word count."""
 
     def __init__(self, counts: np.ndarray, learnt: tuple[tuple[str, str], ...] = ()):
-        self.counts, self.learnt = counts, tuple(learnt)
+        self.counts, self.learnt, self.view = counts, tuple(learnt), memoryview(np.ascontiguousarray(counts))
         self.lines = Perceptron(("text", "header", "page_no"))
         self.ops = Perceptron(OPERATIONS)
         self.memo: dict[str, list[tuple[int, str, str]]] = {}
         self.looked: dict[str, int] = {}
+        self.filled: dict[tuple[str, str], list[tuple[str, str]]] = {}
+        self.kind_of: dict[tuple, str] = {}
         self.printed = defaultdict(list)
         for printed, read in (*MISREAD, *self.learnt):
             self.printed[read].append(printed)
@@ -199,9 +232,9 @@ class Editor:
     def n(self, word: str) -> int:
         got = self.looked.get(word)
         if got is None:
-            if len(self.looked) > 500_000:
+            if len(self.looked) > 200_000:
                 self.looked.clear()
-            got = self.looked[word] = int(self.counts[_slot(word)])
+            got = self.looked[word] = self.view[_slot(word)]
         return got
 
     # characters
@@ -213,10 +246,19 @@ class Editor:
 
         def propose(i: int, read: str, printed: str) -> None:
             fixed = word[:i] + printed + word[i + len(read) :]
-            if (i, fixed) not in seen and fixed != word and self.n(fixed):
+            if (i, fixed) not in seen and fixed != word and self.view[_slot(fixed)]:
                 seen.add((i, fixed))
                 out.append((i, read, printed, fixed))
 
+        def fills(head: str, tail: str, letter: str) -> list[tuple[str, str]]:
+            """What may stand between, and the words that it gives."""
+            got = self.filled.get((head, tail))
+            if got is None:
+                if len(self.filled) > 20_000:
+                    self.filled.clear()
+                got = self.filled[head, tail] = [(x, head + x + tail) for x in ("", *alphabet(letter)) if self.view[_slot(head + x + tail)]]
+            return got
+
         sizes = (0, 1, 2) if "" in self.printed else (1, 2)
         for i in range(len(word) + ("" in self.printed)):
             for size in sizes:
@@ -229,24 +271,23 @@ class Editor:
             if letter and sum(map(str.isalpha, word)) * 2 > len(word):
                 for i, c in enumerate(word):
                     if not c.isalpha() and c not in "’'-":
-                        propose(i, c, "")
-                        for x in alphabet(letter):
-                            propose(i, c, x)
+                        for x, fixed in fills(word[:i], word[i + 1 :], letter):
+                            if (i, fixed) not in seen:
+                                seen.add((i, fixed))
+                                out.append((i, c, x, fixed))
         return out
 
-    def char_features(self, word: str, option: tuple[int, str, str, str], own: int | None = None) -> list[str]:
+    def char_values(self, word: str, option: tuple[int, str, str, str], own: int | None = None) -> tuple:
+        """What ``char_features`` names."""
         i, read, printed, fixed = option
         a, b = self.n(word) if own is None else own, self.n(fixed)
         ratio = int(2 * (math.log2(b + 1) - math.log2(a + 1)))
-        odd = not read.isalpha()
         where = "start" if i == 0 else "end" if i + len(read) == len(word) else "in"
-        ratio = max(-6, min(24, ratio))
-        listed = printed in self.printed.get(read, ())
-        return [
-            "bias", f"op={read}>{printed}", f"ratio={ratio}", f"ratio={ratio},odd={odd}", f"own={_band(a)}", f"other={_band(b)}", f"len={min(8, len(word))}",
-            f"odd={odd},{where}", f"own={_band(a)},other={_band(b)}", f"ops={read}>{printed},ratio={ratio // 4}", f"op={read}>{printed},own={min(3, int(_band(a)))}",
-            *(f"ratio>={k}" for k in range(2, ratio + 1, 2)), f"short={len(word) < 3},odd={odd}", f"mixed={any(map(str.isdigit, word)) and any(map(str.isalpha, word))}", f"listed={listed},odd={odd}",
-        ]
+        mixed = not word.isalpha() and any(map(str.isdigit, word)) and any(map(str.isalpha, word))
+        return read, printed, max(-6, min(24, ratio)), _band(a), _band(b), min(8, len(word)), where, len(word) < 3, mixed, printed in self.printed.get(read, ())
+
+    def char_features(self, word: str, option: tuple[int, str, str, str], own: int | None = None) -> list[str]:
+        return char_names(self.char_values(word, option, own))
 
     def gain(self, word: str, option: tuple[int, str, str, str], own: int | None = None) -> float:
         """How much the option's operation is preferred to keeping."""
@@ -308,41 +349,61 @@ class Editor:
 
     # lines
 
-    def line_features(self, page: "Page", k: int) -> list[str]:
+    def line_values(self, page: "Page", k: int) -> tuple:
+        """What ``line_features`` names."""
         x = page.lines[k]
         s = x.strip(" \f\t")
-        head = page.head(k)
         number = k in page.number_set and not (s[:1] in "-" and not s.endswith("-") and not s[1:].strip().isdigit())
         before, after = page.before(k), page.after(k)
-        cut = before is not None and not ended(before)
-        low = after is not None and (c := after.lstrip()[:1]).isalpha() and not c.isupper()
-        near = page.near_number(k)
-        short = len(s) < 0.75 * page.width
+        cut = before is not None and not page.ends[before]
+        low = after is not None and (c := page.lines[after].lstrip()[:1]).isalpha() and not c.isupper()
         title = page.is_title(k)
-        stops = ended(s) and not title
-        case = "upper" if s.isupper() else "title" if s[:1].isupper() or s[:1] in "“\"0123456789" else "lower"
-        part = page.close(s.lower(), PARTS_OF.get(len(s), ()))
-        twin = page.twins[page.keys[k]] > 1
-        first = before is None
-        alone = (k == 0 or not page.lines[k - 1].strip()) and (k + 1 >= len(page.lines) or not page.lines[k + 1].strip())
-        gap = "cut" if cut else "ended"
-        indented = x.startswith("      ")
-        feed = "\f" in x
-        base = f"short={short},ended={stops}"
+        upper = s.isupper()
         value = (page._value(s) or 0) if number else 0
-        band = "none" if not number else "year" if re.fullmatch(r"1[5-9]\d\d|20\d\d", s) else "small" if value <= 12 and s.isalnum() else "page"
-        last = page.place.get(k, -1) >= len(page.filled) - 1
-        plain = short and not stops and case != "lower"
-        return [
-            "bias", base, f"num={band},alone={alone},seq={page.in_sequence(k)}", f"num={band},gap={gap},low={low}", f"num={band},last={last}", f"case={case},{base}", f"numbered={head is not None},fits={len(s) <= page.width}", f"numbered={head is not None},gap={gap},low={low}", f"number={number}", f"number={number},seq={page.in_sequence(k)}", f"title={title},{base}", f"part={part},{base}", f"near={near},plain={plain}",
-            f"gap={gap},low={low},plain={plain}", f"first={first},plain={plain}", f"feed={feed},plain={plain}", f"indented={indented},plain={plain}", f"twin={twin},plain={plain}", f"alone={alone},gap={gap},plain={plain},near={near}",
-            f"blank2={page.blanks(k)},plain={plain},low={low}", f"title={title},near={near},first={first}", f"part={part},near={near},gap={gap},alone={alone},first={first}", f"upper={case == 'upper'},words={min(4, len(s.split()))},plain={plain}",
-            f"style={page.unnumbered},title={title},plain={plain},alone={alone},gap={gap}", f"year={re.search(r', 1[0-9]{3}$', s) is not None}", f"stars={not any(map(str.isalnum, s))}", f"bracket={s[:1] == '[' and not number}",
-        ]
+        return (
+            len(s) < 0.75 * page.width, page.ends[k] and not title, "none" if not number else "year" if YEAR.fullmatch(s) else "small" if value <= 12 and s.isalnum() else "page",
+            (k == 0 or not page.lines[k - 1].strip()) and (k + 1 >= len(page.lines) or not page.lines[k + 1].strip()), page.in_sequence(k), "cut" if cut else "ended", low, page.place.get(k, -1) >= len(page.filled) - 1,
+            "upper" if upper else "title" if s[:1].isupper() or s[:1] in "“\"0123456789" else "lower", page.head(k) is not None, len(s) <= page.width, number, title, page.close(s.lower(), PARTS_OF[len(s)]) if len(s) in PARTS_OF else False, page.near_number(k),
+            before is None, "\f" in x, x.startswith("      "), page.is_twin(k), page.blanks(k), min(4, len(s.split(None, 4))), page.unnumbered, "," in s[-6:] and YEAR_END.search(s) is not None, not any(map(str.isalnum, s)), s[:1] == "[" and not number,
+        )
+
+    def line_features(self, page: "Page", k: int) -> list[str]:
+        return line_names(self.line_values(page, k))
 
     def kinds(self, page: "Page") -> list[str]:
         """The kind of every line; blank lines are text."""
-        return [self.lines.best(self.line_features(page, k)) if k in page.place else "text" for k in range(len(page.lines))]
+        out = ["text"] * len(page.lines)
+        for k in page.filled:
+            values = self.line_values(page, k)
+            kind = self.kind_of.get(values)
+            if kind is None:
+                if len(self.kind_of) > 100_000:
+                    self.kind_of.clear()
+                kind = self.kind_of[values] = self.lines.best(line_names(values))
+            out[k] = kind
+        return out
+
+
+def char_names(values: tuple) -> list[str]:
+    read, printed, ratio, own, other, size, where, short, mixed, listed = values
+    odd = not read.isalpha()
+    return [
+        "bias", f"op={read}>{printed}", f"ratio={ratio}", f"ratio={ratio},odd={odd}", f"own={own}", f"other={other}", f"len={size}",
+        f"odd={odd},{where}", f"own={own},other={other}", f"ops={read}>{printed},ratio={ratio // 4}", f"op={read}>{printed},own={min(3, int(own))}",
+        *(f"ratio>={k}" for k in range(2, ratio + 1, 2)), f"short={short},odd={odd}", f"mixed={mixed}", f"listed={listed},odd={odd}",
+    ]
+
+
+def line_names(values: tuple) -> list[str]:
+    short, stops, band, alone, seq, gap, low, last, case, numbered, fits, number, title, part, near, first, feed, indented, twin, blanks, words, style, year, stars, bracket = values
+    plain = short and not stops and case != "lower"
+    base = f"short={short},ended={stops}"
+    return [
+        "bias", base, f"num={band},alone={alone},seq={seq}", f"num={band},gap={gap},low={low}", f"num={band},last={last}", f"case={case},{base}", f"numbered={numbered},fits={fits}", f"numbered={numbered},gap={gap},low={low}", f"number={number}", f"number={number},seq={seq}", f"title={title},{base}", f"part={part},{base}", f"near={near},plain={plain}",
+        f"gap={gap},low={low},plain={plain}", f"first={first},plain={plain}", f"feed={feed},plain={plain}", f"indented={indented},plain={plain}", f"twin={twin},plain={plain}", f"alone={alone},gap={gap},plain={plain},near={near}",
+        f"blank2={blanks},plain={plain},low={low}", f"title={title},near={near},first={first}", f"part={part},near={near},gap={gap},alone={alone},first={first}", f"upper={case == 'upper'},words={words},plain={plain}",
+        f"style={style},title={title},plain={plain},alone={alone},gap={gap}", f"year={year}", f"stars={stars}", f"bracket={bracket}",
+    ]
 
 
 class Page:
@@ -359,15 +420,23 @@ class Page:
         self.number_set = set(self.numbers)
         values = [(k, self._value(self.lines[k])) for k in self.numbers]
         self.sequence = {k for (k, a), (j, b) in zip(values, values[1:]) if a and b == a + 1} | {j for (k, a), (j, b) in zip(values, values[1:]) if a and b == a + 1}
-        self.matched = {k: NUMBERED_HEAD.match(self.lines[k]) for k in self.filled}
-        self.heads = {k: m for k, m in self.matched.items() if len(self.lines[k].strip()) <= self.width}
-        self.keys = {k: self._letters((m.group("t") or m.group("u")) if m else self.lines[k]) for k, m in self.matched.items()}
-        self.twins: Counter[str] = Counter()
-        for k in self.filled:
-            s = self.lines[k].strip()
-            if len(s) < 0.75 * self.width and not ended(s):
-                self.twins[self.keys[k]] += 1
-        self.unnumbered = not self.numbers and not any(h for h in self.heads.values())
+        self.matched = {k: NUMBERED_HEAD.match(x) if "  " in (x := self.lines[k]) or "|" in x or not x.isprintable() and GAP_OR_BAR.search(x) else None for k in self.filled}
+        self.heads = {k: m for k, m in self.matched.items() if m and len(self.lines[k].strip()) <= self.width}
+        self.keys: dict[int, str] = {}
+        self.ends = {k: ended(self.lines[k]) for k in self.filled}
+        self.twins: Counter[str] = Counter(self.key_at(k) for k in self.filled if not self.ends[k] and len(self.lines[k].strip()) < 0.75 * self.width)
+        self.twice = {key for key, n in self.twins.items() if n > 1}
+        self.unnumbered = not self.numbers and not self.heads
+
+    def key_at(self, k: int) -> str:
+        got = self.keys.get(k)
+        if got is None:
+            m = self.matched[k]
+            got = self.keys[k] = self._letters((m.group("t") or m.group("u")) if m else self.lines[k])
+        return got
+
+    def is_twin(self, k: int) -> bool:
+        return bool(self.twice) and self.key_at(k) in self.twice
 
     def head(self, k: int):
         return self.matched[k]
@@ -386,7 +455,12 @@ class Page:
 
     @staticmethod
     def _letters(s: str) -> str:
-        return NO_LETTER.sub("", s.lower().translate(LIKE_LETTERS))
+        if s.isascii():
+            return s.lower().encode().translate(ASCII_LETTERS, ASCII_OTHER).decode()
+        s = s.lower()
+        for a, b in LIKE_LETTERS:
+            s = s.replace(a, b)
+        return "".join(filter(str.isalnum, s))
 
     @classmethod
     def key(cls, s: str) -> str:
@@ -398,8 +472,11 @@ class Page:
         return any(sum(map(ne, s, o)) <= max(1, len(s) // 8) for o in others)
 
     def is_title(self, k: int) -> bool:
-        key, title = self.keys[k], self.title
-        if not title or not key or abs(len(key) - len(title)) > 2:
+        title = self.title
+        if not title or not self.matched[k] and len(self.lines[k].encode("ascii", "ignore").translate(None, ASCII_OTHER)) > len(title) + 2:
+            return False
+        key = self.key_at(k)
+        if not key or abs(len(key) - len(title)) > 2:
             return False
         if key == title:
             return True
@@ -408,18 +485,18 @@ class Page:
     def in_sequence(self, k: int) -> bool:
         return k in self.sequence
 
-    def before(self, k: int) -> str | None:
+    def before(self, k: int) -> int | None:
         """The nearest line above that isn't blank and not only a page number."""
         i = self.place.get(k, 0) - 1
-        while i >= 0 and (self.filled[i] in self.number_set or self.heads.get(self.filled[i])):
+        while i >= 0 and (self.filled[i] in self.number_set or self.filled[i] in self.heads):
             i -= 1
-        return self.lines[self.filled[i]] if i >= 0 else None
+        return self.filled[i] if i >= 0 else None
 
-    def after(self, k: int) -> str | None:
+    def after(self, k: int) -> int | None:
         i = self.place.get(k, -1) + 1
-        while 0 < i < len(self.filled) and (self.filled[i] in self.number_set or self.heads.get(self.filled[i])):
+        while 0 < i < len(self.filled) and (self.filled[i] in self.number_set or self.filled[i] in self.heads):
             i += 1
-        return self.lines[self.filled[i]] if 0 < i < len(self.filled) else None
+        return self.filled[i] if 0 < i < len(self.filled) else None
 
     def near_number(self, k: int) -> bool:
         return k - 1 in self.number_set or k + 1 in self.number_set and k + 1 < len(self.lines) - 1 or k - 2 in self.number_set and not self.lines[k - 1].strip()
@@ -438,7 +515,7 @@ def _misread(word: str, rng: random.Random, learnt: tuple[tuple[str, str], ...]
     """``word`` with one group misread: by a listed confusion, now and then by a digit or sign that is none of them."""
     if rng.random() < 0.08 and len(word) > 3:
         at = rng.randrange(1, len(word) - 1)
-        return word[:at] + rng.choice("0123456789€£$§@|!") + word[at + rng.choice((1, 1, 1, 0)) :]
+        return word[:at] + rng.choice(SIGNS) + word[at + rng.choice((1, 1, 1, 0)) :]
     pairs = [(a, b) for a, b in (*MISREAD[: common if rng.random() < 0.9 else len(MISREAD)], *learnt) if a in word and a]
     if not pairs or len(word) < 2:
         return None
@@ -448,6 +525,29 @@ def _misread(word: str, rng: random.Random, learnt: tuple[tuple[str, str], ...]
     return out if out != word else None
 
 
+def misreadings(word: str, n: int, learnt: tuple[tuple[str, str], ...] = (), common: int = 15) -> Counter[str]:
+    """What ``n`` draws of ``_misread`` make of ``word``, with how often; drawn at once, the same for a word each time."""
+    out: Counter[str] = Counter()
+    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")))
+    sign = 0.08 * (len(word) > 3)
+
+    def deal(k: int, made: list[tuple[str, float]]) -> None:
+        if k and made:
+            p = np.array([x for _, x in made])
+            for (w, _), m in zip(made, rng.multinomial(k, p / p.sum())):
+                if m and w != word:
+                    out[w] += int(m)
+
+    signs, few, many = rng.multinomial(n, (sign, 0.9 * (1 - sign), 0.1 * (1 - sign))).tolist()
+    if signs:
+        deal(signs, [(word[:at] + c + word[at + gone :], 3.0 if gone else 1.0) for at in range(1, len(word) - 1) for c in SIGNS for gone in (1, 0)])
+    for k, table in ((few, (*MISREAD[:common], *learnt)), (many, (*MISREAD, *learnt))):
+        if k and len(word) > 1:
+            places = [(a, b, [i for i in range(len(word)) if word.startswith(a, i)]) for a, b in table if a and a in word]
+            deal(k, [(word[:i] + b + word[i + len(a) :], 1 / len(at)) for a, b, at in places for i in at])
+    return out
+
+
 def _number(n: int, rng: random.Random, style: str) -> str:
     s = str(n)
     if rng.random() < 0.15:
@@ -527,65 +627,118 @@ def set_pages(text: str, title: str, book: str, part: str, rng: random.Random) -
     return lines, kinds, rests
 
 
-def learn_confusions(pages: list[str], counts: np.ndarray) -> tuple[tuple[str, str], ...]:
-    """(printed, read) of confusions that the table lacks but pages show: rare words that one operation alone turns into a
-    common word vote for it."""
-    editor, known = Editor(counts), {(read, printed) for printed, read in MISREAD}
-    votes: Counter[tuple[str, str]] = Counter()
-    rare = {w for text in pages for w in WORD.findall(BROKEN.sub("", text)) if len(w) > 4 and w.isalpha() and w.islower() and editor.n(w) <= 2}
-    for w in sorted(rare):
-        least, found = 30 * max(1, editor.n(w)), []
-        for i in range(len(w) + 1):
-            for size in (0, 1, 2):
-                read = w[i : i + size]
-                if len(read) == size:
-                    found += [(read, x) for x in (*alphabet(w[0]), *([""] if size == 1 else [])) if x != read and editor.n(w[:i] + x + w[i + size :]) >= least]
-        if len(set(found)) == 1:
-            votes[found[0]] += 1
+def rare_words(tokens: set[str], editor: Editor) -> set[str]:
+    """Words of pages that the corpus hardly has."""
+    return {w for token in tokens for w in WORD.findall(token) if len(w) > 4 and w.isalpha() and w.islower() and editor.n(w) <= 2}
+
+
+def vote(w: str, editor: Editor) -> tuple[str, str] | None:
+    """(read, printed) of the only operation that turns ``w`` into a common word."""
+    counts, least, found = editor.view, 30 * max(1, editor.n(w)), None
+    for i in range(len(w) + 1):
+        for size in (0, 1, 2):
+            read = w[i : i + size]
+            if len(read) == size:
+                head, tail = w[:i], w[i + size :]
+                for x in (*alphabet(w[0]), *([""] if size == 1 else [])):
+                    if x != read and counts[_slot(head + x + tail)] >= least:
+                        if found not in (None, (read, x)):
+                            return None
+                        found = read, x
+    return found
+
+
+def elected(votes: dict[tuple[str, str], int]) -> tuple[tuple[str, str], ...]:
+    """(printed, read) of confusions that the table lacks and enough words voted for."""
+    known = {(read, printed) for printed, read in MISREAD}
     new = {k: n for k, n in votes.items() if k not in known}
     total, others = sum(new.values()), max(1, len(new) - 1)
     return tuple(sorted((printed, read) for (read, printed), n in new.items() if n >= max(VOTES, ABOVE * (total - n) / others)))
 
 
-def train_editor(rows: list[tuple[str, str | None]], counts: np.ndarray, seed: int = 3, learnt: tuple[tuple[str, str], ...] = ()) -> Editor:
-    """The models from clean rows (text, title) and confusions beside those of the table."""
-    rng = random.Random(seed)
+def learn_confusions(pages: list[str], counts: np.ndarray) -> tuple[tuple[str, str], ...]:
+    """(printed, read) of confusions that the table lacks but pages show: rare words that one operation alone turns into a
+    common word vote for it."""
+    editor = Editor(counts)
+    rare = rare_words({token for text in pages for token in BROKEN.sub("", text).split()}, editor)
+    return elected(Counter(v for w in rare if (v := vote(w, editor))))
+
+
+def page_examples(editor: Editor, text: str, own: str | None, out: Counter) -> None:
+    """Count the examples of (values or features, label) that ``text`` gives as pages of one layout, the same each time."""
+    rng = random.Random(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
+    found = NAME.search(text, rng.randrange(len(text))) or NAME.search(text)
+    name = found.group() if found else "Town"
+    words = text.split()
+    at = rng.randrange(len(words))
+    phrase = " ".join(words[at : at + rng.randint(2, 5)]).strip(".,;:!?…\"”“«»").title() or "Chapter 1"
+    title = own if own and own.isprintable() else phrase
+    book = phrase if rng.random() < 0.3 else rng.choice(["The {} Letters", "Letters from {}", "A Summer in {}", "The Clock of {}", "Les portes de {}", "El jardín de {}", "Der Garten von {}"]).format(name)
+    extra = text
+    if rng.random() < 0.4 and "\n\n" in text:  # headings of the text itself
+        own_heading = rng.choice(["* * *", f"{name}, {rng.randint(1800, 1950)}", f"The {name} Papers", "Interlude", f"Part {rng.choice(['IV', 'V', 'IX', 'XI', 'II'])}", f"Les papiers de {name}", "[sic]", "- iv", f"What {name} saw", str(rng.randint(1700, 1990)), str(rng.randint(1, 12))])
+        extra = text.replace("\n\n", f"\n\n{own_heading}\n\n", 1)
+    lines, kinds, rests = set_pages(extra, title, book, rng.choice(PARTS), rng)
+    page = Page("\n".join(lines), title if rng.random() < 0.9 else None)
+    for k in page.filled:
+        out["line", editor.line_values(page, k), kinds[k]] += 1
+    flow = [k for k in page.filled if kinds[k] == "text"]
+    for k, j in zip(flow, flow[1:]):
+        if lines[k].rstrip(" ")[-1:] in HYPHENS and (m := HYPHEN.search(lines[k])) and (r := re.match(r"\s*([^\W\d_]+)", lines[j])):
+            out["join", tuple(editor.join_features(m.group(1), m.group(2), r.group(1))), "join" if rests[k] else "keep"] += 1
+
+
+def word_examples(editor: Editor, word: str, n: int, out: Counter) -> None:
+    """Count the examples of (values, label, operation) that ``n`` times ``word`` give, as printed and each misread once."""
+    if not editor.n(word):
+        return
+    for noisy, times in ((word, n), *misreadings(word, n, editor.learnt).items()):
+        for option in editor.options(noisy):
+            kind = operation(option[1], option[2])
+            out[editor.char_values(noisy, option), kind if noisy != word and option[3] == word else "keep", kind] += times
+
+
+def words_of(tokens: Counter[str]) -> Counter[str]:
+    out: Counter[str] = Counter()
+    for token, n in tokens.items():
+        for w in WORD.findall(token):
+            out[w] += n
+    return out
+
+
+def trained(counts: np.ndarray, learnt: tuple[tuple[str, str], ...], lines: Counter, ops: Counter) -> Editor:
+    """The models from examples (features, label, labels that come into question) with their counts."""
     editor = Editor(counts, learnt)
-    data: dict[str, list] = {"lines": [], "ops": []}
-    titles = [t for _, t in rows if t and len(t) > 4 and t.isprintable()] or ["Chapter 1"]
-    for turn, (text, own) in enumerate([*rows, *rows]):  # each set on two layouts
-        title = own if own and own.isprintable() else rng.choice(titles)
-        book = rng.choice(titles) if rng.random() < 0.3 else rng.choice(["The {} Letters", "Letters from {}", "A Summer in {}", "The Clock of {}", "Les portes de {}", "El jardín de {}", "Der Garten von {}"]).format(rng.choice(re.findall(r"\b[A-Z][a-z]{3,}\b", text) or ["Town"]))
-        extra = text
-        if rng.random() < 0.4 and "\n\n" in text:  # headings of the text itself
-            name = rng.choice(re.findall(r"\b[A-Z][a-z]{3,}\b", text) or ["Town"])
-            own_heading = rng.choice(["* * *", f"{name}, {rng.randint(1800, 1950)}", f"The {name} Papers", "Interlude", f"Part {rng.choice(['IV', 'V', 'IX', 'XI', 'II'])}", f"Les papiers de {name}", "[sic]", "- iv", f"What {name} saw", str(rng.randint(1700, 1990)), str(rng.randint(1, 12))])
-            extra = text.replace("\n\n", f"\n\n{own_heading}\n\n", 1)
-        lines, kinds, rests = set_pages(extra, title, book, rng.choice(PARTS), rng)
-        page = Page("\n".join(lines), title if rng.random() < 0.9 else None)
-        for k, kind in enumerate(kinds):
-            if lines[k].strip() and (kind != "text" or len(lines[k]) < 0.8 * page.width or rng.random() < 0.25):
-                data["lines"].append((editor.line_features(page, k), kind, editor.lines.labels))
-        flow = [k for k in range(len(lines)) if kinds[k] == "text" and lines[k].strip()]
-        for k, j in zip(flow, flow[1:]):
-            if (m := HYPHEN.search(lines[k])) and (r := re.match(r"\s*([^\W\d_]+)", lines[j])):
-                data["ops"].append((editor.join_features(m.group(1), m.group(2), r.group(1)), "join" if rests[k] else "keep", ("keep", "join")))
-        words = WORD.findall(text)
-        for w in rng.sample(words, min(80, len(words))) if turn < len(rows) else ():
-            if not editor.n(w):
-                continue
-            noisy = _misread(w, rng, learnt)
-            if noisy:
-                for option in editor.options(noisy):
-                    kind = operation(option[1], option[2])
-                    data["ops"].append((editor.char_features(noisy, option), kind if option[3] == w else "keep", ("keep", kind)))
-            for option in editor.options(w)[:6]:
-                data["ops"].append((editor.char_features(w, option), "keep", ("keep", operation(option[1], option[2]))))
-    editor.lines.train(data["lines"], rounds=6)
-    editor.ops.train(data["ops"], rounds=8)
+    editor.lines.train(lines, rounds=6)
+    editor.ops.train(ops, rounds=8)
     return editor
 
 
+def key_of(kind: str, values: tuple) -> str:
+    """An example as a short string."""
+    return json.dumps((kind, *values))
+
+
+def features_of(key: str) -> list[str]:
+    kind, *values = json.loads(key)
+    return {"line": line_names, "join": list, "char": char_names}[kind](values)
+
+
+def train_editor(rows: list[tuple[str, str | None]], counts: np.ndarray, learnt: tuple[tuple[str, str], ...] = ()) -> Editor:
+    """The models from clean rows (text, title) and confusions beside those of the table."""
+    editor = Editor(counts, learnt)
+    pages, chars, lines, ops = Counter(), Counter(), Counter(), Counter()
+    for text, title in rows:
+        page_examples(editor, text, title, pages)
+    for w, n in words_of(Counter(w for text, _ in rows for w in text.split())).items():
+        word_examples(editor, w, n, chars)
+    for (kind, values, label), n in pages.items():
+        (lines if kind == "line" else ops)[key_of(kind, values), label, editor.lines.labels if kind == "line" else ("keep", "join")] += n
+    for (values, label, kind), n in chars.items():
+        ops[key_of("char", values), label, ("keep", kind)] += n
+    return trained(counts, learnt, lines, ops)
+
+
 # --- use -----------------------------------------------------------------------------------------------------------
 
 
@@ -665,21 +818,112 @@ TEXT = T.StructType([T.StructField("chapter_id", T.LongType()), T.StructField("t
 
 
 CLEAN = re.compile("[a-z]{3}")
-DIRTY = re.compile("[a-z,] ?\n[a-z]|[\u0300-\u200f\u2041-\uffff]|Ã|â€|[\u0080-\u009f]|\ufffd")
+LOW_WRAP = re.compile("\n(?=[a-z])(?:(?<=[a-z,]\n)|(?<=[a-z,] \n))")
+DIRTY = re.compile("[\u0300-\u200f\u2041-\uffff\u0080-\u009f]")
+
+
+def is_clean(text: str) -> bool:
+    """Whether a text can be set as pages: Latin small letters, no hard line ends, nothing that wrong decoding leaves."""
+    if "\n" in text and LOW_WRAP.search(text) or not CLEAN.search(text):
+        return False
+    return text.isascii() or not ("Ã" in text or "â€" in text or DIRTY.search(text))
+
+
+KEYS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("label", T.StringType()), T.StructField("n", T.LongType())])
+#: Different examples and words that a task holds before it hands them on.
+HELD = 50_000
+
+
+def _batch(rows: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows)] or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "key", "label", "n"])
+
+
+def _summed(df: DataFrame, run) -> DataFrame:
+    return df.mapInArrow(run, KEYS).groupBy("kind", "key", "label").agg(F.sum("n").alias("n"))
+
+
+def gathered(df: DataFrame, kept, text_col: str, title_col: str) -> DataFrame:
+    """(kind, key, label, n) of all rows: ``line`` and ``join`` examples and the words of clean ones, rare words of pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        editor = Editor(kept.value)
+        found: Counter[tuple] = Counter()
+        tokens: Counter[str] = Counter()
+        pages: set[str] = set()
+
+        def fold() -> Iterator[pa.RecordBatch]:
+            rows = [(kind, key_of(kind, values), label, n) for (kind, values, label), n in found.items()]
+            rows += [("word", w, "", n) for w, n in words_of(tokens).items() if not SPACELESS.search(w)]
+            rows += [("rare", w, "", 1) for w in rare_words(pages, editor)]
+            for x in (found, tokens, pages):
+                x.clear()
+            for a in range(0, len(rows), 10_000):
+                yield _batch(rows[a : a + 10_000])
+
+        for batch in batches:
+            for text, title in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text or text.isspace():
+                    continue
+                if is_clean(text):
+                    page_examples(editor, text, title, found)
+                    tokens.update(text.split())
+                if "\n" in text and wrapped(text):
+                    pages.update(BROKEN.sub("", text).split())
+                if len(found) + len(tokens) + len(pages) > HELD:
+                    yield from fold()
+        yield from fold()
+
+    return _summed(df.select(F.col(text_col).alias("text"), F.col(title_col).alias("title")).where("text IS NOT NULL"), run)
 
 
 def fitted(df: DataFrame, id_col: str, text_col: str, title_col: str) -> Editor:
-    """Word counts of all rows, and the models from at most SAMPLE_ROWS clean rows and as many pages of them.
+    """Word counts, confusions and both models, each from all rows of ``df``; two readings.
 
-    Fit once and hand the editor to ``scan_noise`` and ``repaired_pages`` for any number of tables.
+    The driver gets the counts, confusions with their votes and the different examples, which have a limited number of
+    features. Fit once and hand the editor to ``scan_noise`` and ``repaired_pages`` for any number of tables.
     """
-    counts = word_counts(spread(df), text_col)
-    h = F.pmod(F.xxhash64(id_col), F.lit(1 << 40))
-    few = df.where(h < min(1 << 40, (DRAWN << 40) // max(1, df.count()))).where(F.length(text_col).between(300, 4000))
-    drawn = sorted(few.select(text_col, title_col, h.alias("h")).collect(), key=lambda r: (r[2], r[0]))
-    clean = [(r[0], r[1]) for r in drawn if CLEAN.search(r[0]) and not DIRTY.search(r[0])][:SAMPLE_ROWS]
-    pages = [r[0] for r in drawn if wrapped(r[0])][:SAMPLE_ROWS]
-    return train_editor(clean, counts, learnt=learn_confusions(pages, counts))
+    source = spread(df)
+    sc = df.sparkSession.sparkContext
+    counts = word_counts(source, text_col)
+    kept = sc.broadcast(counts)
+    rows = gathered(source, kept, text_col, title_col).persist()
+    part = lambda kind: rows.where(F.col("kind") == kind).repartition(2 * sc.defaultParallelism, "key")
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        editor = Editor(kept.value)
+        for batch in batches:
+            yield _batch([("vote", *v, 1) for w in batch["key"].to_pylist() if (v := vote(w, editor))])
+
+    lines, ops = Counter(), Counter()
+    for r in rows.where("kind IN ('line', 'join')").collect():
+        if r.kind == "line":
+            lines[r.key, r.label, ("text", "header", "page_no")] = r.n
+        else:
+            ops[r.key, r.label, ("keep", "join")] = r.n
+    learnt = elected({(r.key, r.label): r.n for r in _summed(part("rare"), votes).collect()})
+
+    def chars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        editor = Editor(kept.value, learnt)
+        found: Counter[tuple] = Counter()
+
+        def fold() -> pa.RecordBatch:
+            out = _batch([(kind, key_of("char", values), label, n) for (values, label, kind), n in found.items()])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for w, n in zip(batch["key"].to_pylist(), batch["n"].to_pylist()):
+                word_examples(editor, w, n, found)
+                if len(found) > HELD:
+                    yield fold()
+        yield fold()
+
+    for r in _summed(part("word"), chars).collect():
+        ops[r.key, r.label, ("keep", r.kind)] = r.n
+    rows.unpersist()
+    kept.unpersist()
+    return trained(counts, learnt, lines, ops)
 
 
 def _mapped(df: DataFrame, editor: Editor, id_col: str, text_col: str, title_col: str, cases: bool) -> DataFrame:

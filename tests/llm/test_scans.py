@@ -108,3 +108,22 @@ def test_pages_of_other_scripts(editor):
     assert {k for k, kind in kinds if kind == "split_word"} == {k for k, x in enumerate(lines) if x.endswith("-")}
     found, _ = S.noise(editor, CHINESE, None)
     assert {k for k, kind in found if kind == "page_no"} == {3, 7} and {kind for _, kind in found} == {"page_no"}
+
+
+def test_models_and_confusions_come_from_every_row(spark):
+    rng = random.Random(8)
+    rows = [(i, (clean_text(rng) * (9 if i % 50 == 0 else 1))[: 200 if i % 3 == 0 else None], f"Chapter {i}") for i in range(450)]
+    assert min(len(t) for _, t, _ in rows) < 300 and max(len(t) for _, t, _ in rows) > 4000
+    misread = [w.replace("w", "q", 1) for w in "walked slowly window narrow without winter wooden while".split()]
+    pages = [(1000 + i, f"Adler saw the {w}\nand the lamp.", None) for i, w in enumerate(misread)]
+    df = spark.createDataFrame(rows + pages, "chapter_id long, content_text string, chapter_title string")
+    editor = S.fitted(df, "chapter_id", "content_text", "chapter_title")
+    assert editor.learnt == (("w", "q"),)
+    whole = S.train_editor([(t, title) for _, t, title in rows], editor.counts, learnt=editor.learnt)
+    assert editor.lines.w == whole.lines.w and editor.ops.w == whole.ops.w
+
+
+def test_draws_of_misreadings_are_all_dealt():
+    for w in ("window", "the", "a", "barrel"):
+        got = S.misreadings(w, 1000)
+        assert w not in got and got == S.misreadings(w, 1000) and (len(w) < 2 or 900 < sum(got.values()) <= 1000)
